@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from granary.llm import mixing, pii
+from granary.llm import mixing, packing, pii, token_counts
 
 
 def queries() -> dict:
-    return {"op1_mixing": mixing.op1_mixing, "op3_pii": pii.op3_pii}
+    return {
+        "op1_mixing": mixing.op1_mixing,
+        "op3_pii": pii.op3_pii,
+        "op5_token_counts": token_counts.op5_token_counts,
+        "op9_packing": packing.op9_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
