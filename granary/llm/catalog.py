@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from granary.llm import mixing, packing, pii, token_counts
+from granary.llm import mixing, packing, pii, quality, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_pii": pii.op3_pii,
         "op5_token_counts": token_counts.op5_token_counts,
+        "op8_quality": quality.op8_quality,
         "op9_packing": packing.op9_packing,
     }
 
