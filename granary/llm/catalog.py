@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import exact_topk, mixing, packing, pii, quality, token_counts, toxicity
+from granary.llm import ann, exact_topk, mixing, packing, pii, quality, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_pii": pii.op3_pii,
         "op5_token_counts": token_counts.op5_token_counts,
+        "op6_ann": ann.op6_ann,
         "op7_exact_topk": exact_topk.op7_exact_topk,
         "op8_quality": quality.op8_quality,
         "op9_packing": packing.op9_packing,
