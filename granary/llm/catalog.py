@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import ann, exact_topk, mixing, packing, pii, quality, token_counts, toxicity
+from granary.llm import ann, exact_topk, line_dedup, mixing, packing, pii, quality, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -15,8 +15,9 @@ def queries() -> dict:
         "op7_exact_topk": exact_topk.op7_exact_topk,
         "op8_quality": quality.op8_quality,
         "op9_packing": packing.op9_packing,
+        "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": exact_topk.OP7_SQL}
+    return {"op7_exact_topk": exact_topk.OP7_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
