@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granary.llm import ann, exact_topk, line_dedup, mixing, packing, pii, quality, token_counts, toxicity
+from granary.llm import ann, exact_topk, line_dedup, mixing, near_duplicates, packing, pii, quality, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_mixing": mixing.op1_mixing,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_pii": pii.op3_pii,
+        "op4_near_duplicates": near_duplicates.op4_near_duplicates,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_ann": ann.op6_ann,
         "op7_exact_topk": exact_topk.op7_exact_topk,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_topk": exact_topk.OP7_SQL, "op10_line_dedup": line_dedup.OP10_SQL}
+    return {"op4_near_duplicates": near_duplicates.OP4_SQL, "op7_exact_topk": exact_topk.OP7_SQL, "op10_line_dedup": line_dedup.OP10_SQL}

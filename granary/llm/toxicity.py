@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import table
+from granary.llm.common import DOCUMENT_COLUMNS, table
 from granary.llm.features import SLOTS, Adam, Weights, held_out, labelled_sample, word_features
 
 SAMPLE = 6000
@@ -167,3 +167,9 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
     score = F.col("toxicity")
     return scored.select("doc_id", held_out().alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents' columns of the documents that score below the threshold."""
+    scored = score_documents(docs.select(*DOCUMENT_COLUMNS), train(docs, labels))
+    return scored.filter(F.col("toxicity") < threshold).select(*DOCUMENT_COLUMNS)
