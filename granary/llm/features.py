@@ -66,8 +66,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, bound: in
     id comes first. A document with several labels takes the largest; null labels, ids and texts don't count."""
     known = labels.select(F.col("doc_id"), label.alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & ~held_out()).join(known, "doc_id")
-    first = rows.withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id", F.xxhash64("text")).limit(bound)
-    return [(r.text, r.y) for r in first.select("text", "y").collect()]
+    hashed = rows.withColumn("_h", F.xxhash64("doc_id"))
+    # The limit is found on hashes alone, so that no more texts than it allows come to the driver.
+    last = hashed.select("_h").distinct().orderBy("_h").limit(bound).agg(F.max("_h")).first()[0]
+    if last is None:
+        return []
+    return [(r.text, r.y) for r in hashed.filter(F.col("_h") <= last).limit(bound).select("text", "y").collect()]
 
 
 class Adam:

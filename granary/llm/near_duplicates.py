@@ -111,7 +111,7 @@ def _kept(postings: DataFrame, sizes: DataFrame, level: int) -> DataFrame:
     lists = lists.join(sizes, "row")
     need = asked_column(F.col("n"), level)
     lists = lists.filter(F.size("tokens") >= need)
-    kept = F.slice("tokens", F.lit(1), (F.size("tokens") - need + 1).cast("int"))
+    kept = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - need + 1).cast("int"))
     cost = F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x["df"] - 1)
     return lists.select("row", "n", (F.col("weight") / F.col("n")).alias("central"), cost.alias("cost"), F.transform(kept, lambda x: x["token"]).alias("kept"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import table
 from granary.llm.features import SLOTS, Adam, Weights, held_out, labelled_sample, slot, style_features
 
-SAMPLE = 6000
+SAMPLE = 5000
 GRADES = 3
 REPEAT = slot("text", "repeats the word before")
 
@@ -67,7 +67,7 @@ def fit(sample: list[tuple[str, int]], grades: int = GRADES, steps: int = 150, r
         repeated.append(repeats(words) / len(words))
     (token, share), doc, repeat = np.concatenate(tokens, axis=1), np.concatenate(docs), np.array(repeated)
     token = token.astype(np.int64)
-    features = np.array([style_features(w) for w in known])
+    features = np.array([style_features(w) for w in known], dtype=np.int32)
     grade = np.array([y for _, y in sample])
     n = len(sample)
     rates = np.array([np.clip((grade >= k).mean(), 0.01, 0.99) for k in range(1, grades)])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import DOCUMENT_COLUMNS, table
 from granary.llm.features import SLOTS, Adam, Weights, held_out, labelled_sample, word_features
 
-SAMPLE = 6000
+SAMPLE = 5000
 THRESHOLD = 0.3
 MOST_WORDS = 40
 ENDS = (".", "!", "?")
@@ -71,14 +71,14 @@ def fit(sample: list[tuple[str, int]], steps: int = 80, rate: float = 0.2, pull:
     tokens, starts, docs, at = [], [], [], 0
     for d, (text, _) in enumerate(sample):
         words = text.split()
-        tokens.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+        tokens.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
         begin = sentence_starts(words)
         starts.append(begin + at)
-        docs.append(np.full(len(begin), d))
+        docs.append(np.full(len(begin), d, np.int32))
         at += len(words)
     token, start, doc = map(np.concatenate, (tokens, starts, docs))
-    sentence = np.repeat(np.arange(len(start)), np.diff(np.append(start, at)))
-    features = np.array([word_features(w) for w in known])
+    sentence = np.repeat(np.arange(len(start), dtype=np.int32), np.diff(np.append(start, at)))
+    features = np.array([word_features(w) for w in known], dtype=np.int32)
     label = np.array([y for _, y in sample], bool)
     usable = _telling(features, token, doc[sentence], label)
     weights, bias = Adam(SLOTS, rate, pull), Adam(1, rate)
@@ -100,10 +100,11 @@ def fit(sample: list[tuple[str, int]], steps: int = 80, rate: float = 0.2, pull:
 def _telling(features: np.ndarray, token: np.ndarray, doc: np.ndarray, label: np.ndarray, least_docs: int = 5, least_z: float = 4.0) -> np.ndarray:
     """Whether each feature's documents are labelled otherwise than chance would have it: the rest only adds noise to sums."""
     seen, toxic = np.zeros(SLOTS), np.zeros(SLOTS)
-    pairs = np.unique(np.concatenate([column[token] * len(label) + doc for column in features.T]))
-    slots, docs = pairs // len(label), pairs % len(label)
-    seen += np.bincount(slots, minlength=SLOTS)
-    toxic += np.bincount(slots, weights=label[docs], minlength=SLOTS)
+    for k, column in enumerate(features.T):
+        new = (features[:, :k] != column[:, None]).all(axis=1)[token]  # short words are their own beginnings
+        pairs = np.unique(column[token[new]].astype(np.int64) * len(label) + doc[new])
+        seen += np.bincount(pairs // len(label), minlength=SLOTS)
+        toxic += np.bincount(pairs // len(label), weights=label[pairs % len(label)], minlength=SLOTS)
     base = min(max(label.mean(), 1e-3), 1 - 1e-3)
     z = (toxic - seen * base) / np.sqrt(np.maximum(seen, 1) * base * (1 - base))
     return (seen >= least_docs) & (np.abs(z) >= least_z)
