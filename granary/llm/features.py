@@ -65,13 +65,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, bound: in
     """At most `bound` pairs (text, label) of rows that may be learnt from, the same at every run: the rows whose hashed
     id comes first. A document with several labels takes the largest; null labels, ids and texts don't count."""
     known = labels.select(F.col("doc_id"), label.alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & ~held_out()).join(known, "doc_id")
-    hashed = rows.withColumn("_h", F.xxhash64("doc_id"))
-    # The limit is found on hashes alone, so that no more texts than it allows come to the driver.
-    last = hashed.select("_h").distinct().orderBy("_h").limit(bound).agg(F.max("_h")).first()[0]
-    if last is None:
-        return []
-    return [(r.text, r.y) for r in hashed.filter(F.col("_h") <= last).limit(bound).select("text", "y").collect()]
+    ids = docs.filter(F.col("text").isNotNull() & ~held_out()).select("doc_id").distinct()
+    hashed = ids.join(known, "doc_id").withColumn("_h", F.xxhash64("doc_id"))
+    # Ids are chosen without their texts; the chosen ones, no more than the bound, go to where the texts are.
+    chosen = hashed.orderBy("_h", "doc_id").limit(bound)
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen.select("doc_id", "y")), "doc_id")
+    return [(r.text, r.y) for r in rows.select("text", "y").limit(bound).collect()]
 
 
 class Adam:
