@@ -26,7 +26,7 @@ from granary.llm.common import DOCUMENT_COLUMNS, WORD, null_safe, stored, table,
 
 ROUNDS = 24
 SLOTS_A_CHUNK = 4096
-DOCS_A_BUCKET = 4096
+DOCS_A_BUCKET = 1024
 
 
 @dataclass(frozen=True)
@@ -120,7 +120,7 @@ def laid_out(sizes: DataFrame, totals: DataFrame, buckets: int) -> DataFrame:
     totals = totals.select("source_key", "bucket", F.coalesce(F.sum("bucket_words").over(bases), F.lit(0)).alias("base"))
     within = Window.partitionBy("source_key", "bucket").orderBy("doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)
     out = sizes.withColumn("bucket", _bucket(buckets)).withColumn("start", F.sum("size").over(within) - F.col("size"))
-    return out.join(totals, ["source_key", "bucket"]).withColumn("start", F.col("start") + F.col("base")).drop("base")
+    return out.join(totals.hint("merge"), ["source_key", "bucket"]).withColumn("start", F.col("start") + F.col("base")).drop("base")
 
 
 def _bucket(buckets: int) -> Column:
@@ -150,7 +150,7 @@ def mix_counts(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     layout = laid_out(sizes, totals, buckets)
     parts = block_parts(layout, mix).select("doc_id", "source", "source_key", "size", "start", "block", "lo", "hi")
     taken = F.greatest(F.lit(0), F.least(F.col("hi"), F.col("block") * mix.block + F.coalesce("words", F.lit(0))) - F.col("lo"))
-    joined = parts.join(slots(targets, mix), ["source_key", "block"], "left")
+    joined = parts.join(slots(targets, mix).hint("merge"), ["source_key", "block"], "left")
     by_doc = joined.groupBy("source_key", "start").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.sum(taken).alias("taken"))
     empty = sizes.filter("size = 0").select("source_key", F.lit(0).cast("long").alias("start"), "doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
     of_source = targets.select("source_key", "source_size", "target")
@@ -170,7 +170,7 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     piece = F.when(whole, F.col("text")).otherwise(_words_of(F.col("lo") - F.col("start"), F.col("hi") - F.col("lo")))
     parts = parts.select("doc_id", "lang", "source", "source_key", "block", "lo", "hi", piece.alias("text"))
     cut = F.least(F.col("hi"), F.col("block") * mix.block + F.col("words")) - F.col("lo")
-    taken = parts.join(slots(targets, mix), ["source_key", "block"]).withColumn("n", cut).filter("n > 0")
+    taken = parts.join(slots(targets, mix).hint("merge"), ["source_key", "block"]).withColumn("n", cut).filter("n > 0")
     text = F.when(F.col("n") == F.col("hi") - F.col("lo"), F.col("text")).otherwise(_words_of(F.lit(0), F.col("n")))
     return taken.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 
