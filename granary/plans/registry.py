@@ -9,7 +9,7 @@ _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
 #: Modules whose import registers queries.
-MODULES: tuple[str, ...] = ("granary.plans.listing", "granary.plans.metadata", "granary.plans.joins")
+MODULES: tuple[str, ...] = tuple(f"granary.plans.{m}" for m in ("listing", "metadata", "joins", "aggregates", "windows", "topk", "texts", "chunks"))
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable:
