@@ -38,8 +38,10 @@ SIMILARITY = 75  # per cent
 SHINGLE = 5
 #: Shared tokens asked for: 1 + n // RUNGS[level].
 RUNGS = (16, 4)
-#: Candidates a document that make its prefix worth lengthening.
-DEAR = 64
+#: Documents that share a kept token with so many others on average get a longer prefix.
+DEAR = 3.0
+#: Up to so many surviving documents (16 bytes each) are sent to where the sets are; more are joined by a shuffle.
+MOST_SENT = 4_000_000
 #: The comparison of all components in all lists begins when it costs at most so many candidates for each posted token,
 #: or when comparing one document with the rest no longer makes it much cheaper.
 FINAL_COST = 2.0
@@ -102,7 +104,7 @@ def _postings(sets: DataFrame, level: int) -> DataFrame:
 def _shared(postings: DataFrame) -> DataFrame:
     """The postings of tokens that more than one document posts, with their number."""
     counts = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    return postings.join(counts, "token")
+    return postings.join(counts.hint("shuffle_hash"), "token")
 
 
 def _kept(postings: DataFrame, sizes: DataFrame, level: int) -> DataFrame:
@@ -112,12 +114,15 @@ def _kept(postings: DataFrame, sizes: DataFrame, level: int) -> DataFrame:
     need = asked_column(F.col("n"), level)
     lists = lists.filter(F.size("tokens") >= need)
     kept = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - need + 1).cast("int"))
-    cost = F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x["df"] - 1)
+    cost = F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x["df"] - 1) / F.size(kept)
     return lists.select("row", "n", (F.col("weight") / F.col("n")).alias("central"), cost.alias("cost"), F.transform(kept, lambda x: x["token"]).alias("kept"))
 
 
 def _lists(kept: DataFrame, level: int) -> DataFrame:
-    return kept.select(F.lit(level).alias("level"), F.explode("kept").alias("token"), "row", "n", "central", (F.col("rung") == level).alias("own"))
+    """The posting lists; rank puts documents that share much with others first, and no two alike."""
+    rank = F.floor(F.col("central") * (1 << 16)) * F.lit(1 << 40) + F.pmod(F.xxhash64("row"), F.lit(1 << 40))
+    rows = kept.select(F.lit(level).alias("level"), "kept", "row", "n", rank.alias("rank"), (F.col("rung") == level).alias("own"), F.col("row").alias("component"))
+    return rows.withColumn("token", F.explode("kept")).drop("kept")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -146,59 +151,61 @@ def _linked(x: np.ndarray, y: np.ndarray, level: int) -> bool:
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct pairs of rows of one list, of different components and of sizes that may link; a document of the list's own level is in each."""
     other = right.select("level", "token", F.col("row").alias("row2"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("component").alias("component2"))
-    both = left.join(other, ["level", "token"]).filter("component <> component2 and (own or own2)")
+    both = left.select("level", "token", "row", "n", "own", "component").join(other, ["level", "token"]).filter("component <> component2 and (own or own2)")
     both = both.filter(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * SIMILARITY)
     return both.select("level", F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b")).groupBy("a", "b").agg(F.min("level").alias("level"))
 
 
-def _in_components(lists: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """The lists that hold several components, each row with its component, and the list's size and largest component."""
-    if edges is None:
-        named = lists.withColumn("component", F.col("row"))
+def _open(lists: DataFrame, first: bool) -> DataFrame:
+    """The lists that hold several components and a document of their own level, with the list's size and largest component."""
+    if first:
+        counts = lists.groupBy("level", "token").agg(F.count("*").alias("size"), F.count("*").alias("parts"), F.max("row").alias("largest"), F.bool_or("own").alias("any_own"))
     else:
-        found = connected_components(edges).select(F.col("node").alias("row"), "component")
-        named = lists.join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
-    named = stored(named, "lists")
-    counts = named.groupBy("level", "token", "component").agg(F.count("*").alias("here"), F.max("own").alias("has_own"))
-    largest = counts.groupBy("level", "token").agg(F.sum("here").alias("size"), F.count("*").alias("parts"), F.max(F.struct("here", "component")).alias("top"), F.max("has_own").alias("any_own"))
-    open_ = largest.filter("parts > 1 and any_own").select("level", "token", "size", F.col("top.component").alias("largest"))
-    return named.join(open_, ["level", "token"])
+        parts = lists.groupBy("level", "token", "component").agg(F.count("*").alias("here"), F.bool_or("own").alias("any_own"))
+        counts = parts.groupBy("level", "token").agg(F.sum("here").alias("size"), F.count("*").alias("parts"), F.max_by("component", "here").alias("largest"), F.bool_or("any_own").alias("any_own"))
+    return lists.join(counts.filter("parts > 1 and any_own").drop("parts", "any_own"), ["level", "token"])
 
 
 def _star_pairs(open_: DataFrame, first: bool) -> DataFrame:
-    """Pairs of each list's most central document (outside the largest component, after the first round) with the others."""
+    """Pairs of each list's first document (after the first round, of those outside the largest component) with the others."""
     leaders = open_.filter("own") if first else open_.filter("component <> largest")
-    chosen = leaders.groupBy("level", "token").agg(F.max(F.struct("central", "row", "n", "component", "own")).alias("l"))
-    chosen = chosen.select("level", "token", "l.row", "l.n", "l.component", "l.own")
+    chosen = leaders.groupBy("level", "token").agg(*(F.max_by(c, "rank").alias(c) for c in ("row", "n", "own", "component")))
     return _pairs(chosen, open_)
 
 
+def _candidates(sets: DataFrame, kept: DataFrame) -> DataFrame:
+    """The sets of the documents kept, with their rung."""
+    few = kept.select("row", "rung")
+    if few.count() <= MOST_SENT:
+        few = F.broadcast(few)
+    return sets.select("row", "sig", "n", "planes").join(few, "row")
+
+
 def links(sets: DataFrame) -> DataFrame | None:
     """Edges (a, b) between rows with different sets that reach the threshold: enough of them to join all that link."""
     sizes = sets.select("row", "n")
     firsts = sets.filter("n > 0").groupBy("sig").agg(F.min("row").alias("row")).select("row")
-    posted = _shared(_postings(sets, 0)).select("token", "row").join(firsts, "row", "left_semi")
-    posted = stored(posted, "postings")
+    posted = stored(_shared(_postings(sets, 0)).select("token", "row").join(firsts, "row"), "postings")
     kept = stored(_kept(_shared(posted), sizes, 0).withColumn("rung", (F.col("cost") > DEAR).cast("int")), "kept")
-    candidates = stored(sets.select("row", "sig", "n", "planes").join(kept.select("row", "rung"), "row"), "candidates")
+    candidates = stored(_candidates(sets, kept), "candidates")
     dear = candidates.filter("rung = 1")
     longer = _kept(_shared(stored(_postings(dear, 1), "postings-longer")), sizes, 1).withColumn("rung", F.lit(1))
     lists = stored(_lists(kept, 0).unionByName(_lists(longer, 1)), "lists")
     posted_tokens = lists.count()
-    if not posted_tokens:
-        return None
     edges: list[DataFrame] = []
     last = float("inf")
     while True:
-        known = reduce(DataFrame.unionByName, edges) if edges else None
-        open_ = stored(_in_components(lists, known), "open")
-        cost = open_.filter("component <> largest").agg(F.sum(F.col("size"))).first()[0] or 0
+        open_ = stored(_open(lists, not edges), "open")
+        cost = open_.filter("component <> largest").agg(F.sum("size")).first()[0] or 0
         if cost == 0:
-            return known
+            return reduce(DataFrame.unionByName, edges) if edges else None
         if edges and (cost <= FINAL_COST * posted_tokens or cost > GAIN * last):
             break
         last = cost
         edges.append(stored(_verified(_star_pairs(open_, not edges), candidates), "links"))
+        # A list with one component stays so: later rounds see the open lists only.
+        found = connected_components(reduce(DataFrame.unionByName, edges)).withColumnRenamed("node", "row")
+        lists = open_.drop("size", "largest", "component").join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
     edges.append(stored(_verified(_pairs(open_.filter("component <> largest"), open_), candidates), "links"))
     return reduce(DataFrame.unionByName, edges)
 

@@ -59,10 +59,10 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("dear", [nd.DEAR, 2])
+@pytest.mark.parametrize("dear", [nd.DEAR, 0.5])
 def test_components_equal_the_plain_version(documents, monkeypatch, dear):
     monkeypatch.setattr(nd, "DEAR", dear)
-    texts = corpus(dear)
+    texts = corpus(int(dear))
     out = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(documents(texts)).collect()}
     assert out == plain(texts)
 
