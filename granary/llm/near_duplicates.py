@@ -7,7 +7,8 @@ the first |x| - least overlap + l tokens of each: a longer prefix is paid for by
    dropped, and then documents with fewer than l tokens left: they have no partner. Equal sets count as one.
 2. The tokens left are ordered by how many documents post them. A document keeps all but its l - 1 commonest: any partner
    shares one of those kept. What they would cost in candidates is estimated from the same counts; documents for which
-   that is much lengthen their prefixes to l = 1 + |x| / 4 and are filtered again among themselves.
+   that is much lengthen their prefixes until all that a partner must share is asked for, and are filtered again among
+   themselves: they stay only if other such documents share three quarters of their tokens.
 3. Candidates come from the posting lists, but only as far as they can still join two components: first each list's
    document that shares most with others is compared with the rest of the list, and components are formed; then, in the
    lists that still hold several components, every document outside the list's largest component is compared with all
@@ -36,15 +37,17 @@ from granary.llm.shingles import from_planes, set_hash, shingle_sets, to_planes
 
 SIMILARITY = 75  # per cent
 SHINGLE = 5
-#: Shared tokens asked for: 1 + n // RUNGS[level].
-RUNGS = (16, 4)
-#: Documents that share a kept token with so many others on average get a longer prefix.
-DEAR = 3.0
+#: At first 1 + n // RUNG shared tokens are asked for; at the level FULL the prefix is the whole set.
+RUNG = 16
+FULL = 1
+#: A document's candidates are estimated from the documents that share a kept token, on average and at most (a long list
+#: counts one for each LONG_LIST of it); those dearer than DEAR get a longer prefix.
+DEAR, LONG_LIST = 4.0, 16
 #: Up to so many surviving documents (16 bytes each) are sent to where the sets are; more are joined by a shuffle.
 MOST_SENT = 4_000_000
 #: The comparison of all components in all lists begins when it costs at most so many candidates for each posted token,
 #: or when comparing one document with the rest no longer makes it much cheaper.
-FINAL_COST = 2.0
+FINAL_COST = 25.0
 GAIN = 0.7
 
 
@@ -54,7 +57,7 @@ def _least_overlap(n, of=SIMILARITY):
 
 def asked(n, level: int):
     """How many shared tokens the prefix of a set of n asks for; numbers or arrays."""
-    return np.minimum(1 + n // RUNGS[level], _least_overlap(n))
+    return _least_overlap(n) if level == FULL else np.minimum(1 + n // RUNG, _least_overlap(n))
 
 
 def prefix_length(n, level: int):
@@ -62,9 +65,10 @@ def prefix_length(n, level: int):
 
 
 def asked_column(n: Column, level: int, of: int = SIMILARITY) -> Column:
-    """What any partner asks for at least: a partner of n has at least its least overlap."""
+    """What is shared with any partner at least. A partner may have no more than the least overlap, and ask for less; in
+    whole sets all that is shared shows."""
     small = F.ceil(n * of / 100)
-    return F.least(1 + F.floor(small / RUNGS[level]), F.ceil(small * of / 100))
+    return small if level == FULL else F.least(1 + F.floor(small / RUNG), F.ceil(small * of / 100))
 
 
 def document_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -114,14 +118,19 @@ def _kept(postings: DataFrame, sizes: DataFrame, level: int) -> DataFrame:
     need = asked_column(F.col("n"), level)
     lists = lists.filter(F.size("tokens") >= need)
     kept = F.slice("tokens", F.lit(1), F.greatest(F.lit(0), F.size("tokens") - need + 1).cast("int"))
-    cost = F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x["df"] - 1) / F.size(kept)
-    return lists.select("row", "n", (F.col("weight") / F.col("n")).alias("central"), cost.alias("cost"), F.transform(kept, lambda x: x["token"]).alias("kept"))
+    others = F.aggregate(kept, F.lit(0).cast("long"), lambda a, x: a + x["df"] - 1) / F.size(kept)
+    cost = others + F.try_element_at(kept, F.lit(-1))["df"] / LONG_LIST
+    # What the set can share with another at most: the tokens found shared, and all that the prefix leaves out.
+    least = F.ceil(F.col("n") * SIMILARITY / 100)
+    left_out = F.lit(0) if level == FULL else least - F.least(1 + F.floor(F.col("n") / RUNG), least)
+    most = F.size("tokens") + left_out
+    return lists.select("row", "n", most.alias("most"), (F.col("weight") / F.col("n")).alias("central"), cost.alias("cost"), F.transform(kept, lambda x: x["token"]).alias("kept"))
 
 
 def _lists(kept: DataFrame, level: int) -> DataFrame:
     """The posting lists; rank puts documents that share much with others first, and no two alike."""
     rank = F.floor(F.col("central") * (1 << 16)) * F.lit(1 << 40) + F.pmod(F.xxhash64("row"), F.lit(1 << 40))
-    rows = kept.select(F.lit(level).alias("level"), "kept", "row", "n", rank.alias("rank"), (F.col("rung") == level).alias("own"), F.col("row").alias("component"))
+    rows = kept.select(F.lit(level).alias("level"), "kept", "row", "n", "most", rank.alias("rank"), (F.col("rung") == level).alias("own"), F.col("row").alias("component"))
     return rows.withColumn("token", F.explode("kept")).drop("kept")
 
 
@@ -149,10 +158,10 @@ def _linked(x: np.ndarray, y: np.ndarray, level: int) -> bool:
 
 
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs of rows of one list, of different components and of sizes that may link; a document of the list's own level is in each."""
-    other = right.select("level", "token", F.col("row").alias("row2"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("component").alias("component2"))
-    both = left.select("level", "token", "row", "n", "own", "component").join(other, ["level", "token"]).filter("component <> component2 and (own or own2)")
-    both = both.filter(F.least("n", "n2") * 100 >= F.greatest("n", "n2") * SIMILARITY)
+    """Distinct pairs of rows of one list, of different components, of sizes and shared tokens that may link; a document of the list's own level is in each."""
+    other = right.select("level", "token", F.col("row").alias("row2"), F.col("n").alias("n2"), F.col("most").alias("most2"), F.col("own").alias("own2"), F.col("component").alias("component2"))
+    both = left.select("level", "token", "row", "n", "most", "own", "component").join(other, ["level", "token"]).filter("component <> component2 and (own or own2)")
+    both = both.filter((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * SIMILARITY) & (F.least("most", "most2") * (100 + SIMILARITY) >= (F.col("n") + F.col("n2")) * SIMILARITY))
     return both.select("level", F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b")).groupBy("a", "b").agg(F.min("level").alias("level"))
 
 
@@ -169,10 +178,26 @@ def _open(lists: DataFrame, first: bool) -> DataFrame:
 def _star_pairs(open_: DataFrame, first: bool) -> DataFrame:
     """Pairs of each list's first document (after the first round, of those outside the largest component) with the others."""
     leaders = open_.filter("own") if first else open_.filter("component <> largest")
-    chosen = leaders.groupBy("level", "token").agg(*(F.max_by(c, "rank").alias(c) for c in ("row", "n", "own", "component")))
+    chosen = leaders.groupBy("level", "token").agg(*(F.max_by(c, "rank").alias(c) for c in ("row", "n", "most", "own", "component")))
     return _pairs(chosen, open_)
 
 
+def _final_pairs(open_: DataFrame) -> DataFrame:
+    """All pairs of different components: none has both in the largest, and each has a document of the list's own level."""
+    minor = F.col("component") != F.col("largest")
+    first = _pairs(open_.filter(minor & F.col("own")), open_)
+    rest = _pairs(open_.filter(~minor & F.col("own")), open_.filter(minor & ~F.col("own")))
+    return first.unionByName(rest).groupBy("a", "b").agg(F.min("level").alias("level"))
+
+
+def _final_cost(open_: DataFrame) -> int:
+    """How many rows those pairs are drawn from."""
+    minor = F.col("component") != F.col("largest")
+    n = lambda test: F.count(F.when(test, 1))
+    lists = open_.groupBy("level", "token").agg(F.max("size").alias("size"), n(minor & F.col("own")).alias("a"), n(~minor & F.col("own")).alias("b"), n(minor & ~F.col("own")).alias("c"))
+    return lists.agg(F.sum(F.col("a") * F.col("size") + F.col("b") * F.col("c"))).first()[0] or 0
+
+
 def _candidates(sets: DataFrame, kept: DataFrame) -> DataFrame:
     """The sets of the documents kept, with their rung."""
     few = kept.select("row", "rung")
@@ -189,14 +214,14 @@ def links(sets: DataFrame) -> DataFrame | None:
     kept = stored(_kept(_shared(posted), sizes, 0).withColumn("rung", (F.col("cost") > DEAR).cast("int")), "kept")
     candidates = stored(_candidates(sets, kept), "candidates")
     dear = candidates.filter("rung = 1")
-    longer = _kept(_shared(stored(_postings(dear, 1), "postings-longer")), sizes, 1).withColumn("rung", F.lit(1))
-    lists = stored(_lists(kept, 0).unionByName(_lists(longer, 1)), "lists")
+    longer = _kept(_shared(stored(_postings(dear, FULL), "postings-longer")), sizes, FULL).withColumn("rung", F.lit(FULL))
+    lists = stored(_lists(kept, 0).unionByName(_lists(longer, FULL)), "lists")
     posted_tokens = lists.count()
     edges: list[DataFrame] = []
     last = float("inf")
     while True:
         open_ = stored(_open(lists, not edges), "open")
-        cost = open_.filter("component <> largest").agg(F.sum("size")).first()[0] or 0
+        cost = _final_cost(open_)
         if cost == 0:
             return reduce(DataFrame.unionByName, edges) if edges else None
         if edges and (cost <= FINAL_COST * posted_tokens or cost > GAIN * last):
@@ -206,7 +231,7 @@ def links(sets: DataFrame) -> DataFrame | None:
         # A list with one component stays so: later rounds see the open lists only.
         found = connected_components(reduce(DataFrame.unionByName, edges)).withColumnRenamed("node", "row")
         lists = open_.drop("size", "largest", "component").join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
-    edges.append(stored(_verified(_pairs(open_.filter("component <> largest"), open_), candidates), "links"))
+    edges.append(stored(_verified(_final_pairs(open_), candidates), "links"))
     return reduce(DataFrame.unionByName, edges)
 
 
