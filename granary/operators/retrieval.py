@@ -105,4 +105,4 @@ def tag_boosts(bindings: DataFrame, signals: DataFrame, most: float = 0.10, each
     """Boost of each target from the tags that it shares with signals (tag, confidence, source), at most `most`."""
     gain = each * F.col("confidence") * scoring.signal_weight(F.col("source")) * scoring.distance_decay(F.col("distance"))
     per_tag = bindings.join(signals, "tag").groupBy("target", "tag").agg(F.max(gain).alias("gain"))
-    return per_tag.groupBy("target").agg(F.round(F.least(F.lit(most), F.sum("gain")), 6).alias("boost"))
+    return per_tag.groupBy("target").agg(F.round(F.least(F.lit(most), F.sum("gain")), 4).alias("boost"))
