@@ -2,7 +2,7 @@
 
 Centroids are fitted on a bounded sample by k-means that charges full clusters more, so that lists come out of like
 length. Every vector goes to its nearest list and, if it lies near a boundary, to some more: lists whose centroid is not
-much further, and not on the same side as one already taken. A graph over the centroids, held in memory, is searched
+much further and does not lie close by one already taken. A graph over the centroids, held in memory, is searched
 from fixed entry points to find the lists of a vector or a query; a query then reads the lists whose distance is within
 a ratio of the nearest one's. What the lists hold is scored exactly, on the original vectors.
 
@@ -34,8 +34,9 @@ SAMPLE = 32_768
 LIST_VECTORS = 96
 MOST_LISTS = 4096
 REPLICAS, BOUNDARY = 4, 0.12
-RATIO = 0.35
-BEAM_ASSIGN, BEAM_SEARCH = 32, 192
+SAME_SIDE = 0.35
+RATIO = 0.16
+BEAM_ASSIGN, BEAM_SEARCH = 32, 256
 DEGREE = 24
 PART_VECTORS = 2048
 BATCH = 512
@@ -128,7 +129,7 @@ def build_index(sample: np.ndarray, norm: float, total: int) -> Index:
 
 
 def _homes(index: Index, vectors: np.ndarray) -> list[list[int]]:
-    """The lists of each vector: the nearest, and boundary ones that lie another way from it."""
+    """The lists of each vector: the nearest, and boundary ones that lie another way from it (see SAME_SIDE)."""
     lists, far = index.nearest(index.points(vectors), BEAM_ASSIGN)
     out = []
     for row, distance in zip(lists, far, strict=True):
@@ -136,7 +137,7 @@ def _homes(index: Index, vectors: np.ndarray) -> list[list[int]]:
         for c, d in zip(row[1:], distance[1:], strict=True):
             if c < 0 or d > (1 + BOUNDARY) * distance[0] or len(chosen) == REPLICAS:
                 break
-            if ((index.centroids[chosen] - index.centroids[c]) ** 2).sum(axis=1).min() > d * d:
+            if ((index.centroids[chosen] - index.centroids[c]) ** 2).sum(axis=1).min() > (SAME_SIDE * d) ** 2:
                 chosen.append(int(c))
         out.append(chosen)
     return out
@@ -150,7 +151,6 @@ def _choose(index: Index, sizes: np.ndarray, vectors: np.ndarray, k: int) -> lis
     for row, distance in zip(lists, far, strict=True):
         row, distance = row[row >= 0], distance[row >= 0]
         held = np.cumsum(sizes[row]) - sizes[row]
-        # The distance to the farthest point that could be of use is at least what the added component makes it.
         some = (distance <= (1 + RATIO) * distance[0]) | (held < (k + 1) * REPLICAS)
         if held[-1] + sizes[row[-1]] < (k + 1) * REPLICAS:
             row, some = np.flatnonzero(sizes > 0), np.ones((sizes > 0).sum(), bool)

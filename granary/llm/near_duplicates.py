@@ -128,10 +128,13 @@ def _kept(postings: DataFrame, sizes: DataFrame, level: int) -> DataFrame:
 
 
 def _lists(kept: DataFrame, level: int) -> DataFrame:
-    """The posting lists; rank puts documents that share much with others first, and no two alike."""
+    """The posting lists; rank puts documents that share much with others first, and no two alike.
+
+    Where a token is the first that two documents share, they share none before it: `most` counts from there.
+    """
     rank = F.floor(F.col("central") * (1 << 16)) * F.lit(1 << 40) + F.pmod(F.xxhash64("row"), F.lit(1 << 40))
     rows = kept.select(F.lit(level).alias("level"), "kept", "row", "n", "most", rank.alias("rank"), (F.col("rung") == level).alias("own"), F.col("row").alias("component"))
-    return rows.withColumn("token", F.explode("kept")).drop("kept")
+    return rows.select("*", F.posexplode("kept").alias("pos", "token")).withColumn("most", F.col("most") - F.col("pos")).drop("kept", "pos")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
