@@ -215,3 +215,41 @@ def test_decoding_and_paths(spark, tmp_path):
     assert out == {"a.txt": ("知识库检索平台", "gb18030"), "b.txt": ("é", "utf-8")}
     assert one(spark, files.is_temporary(F.lit("t/documents/temp/x")), None) and not one(spark, files.is_temporary(F.lit("t/documents/x")), None)
     assert one(spark, files.parser_for(F.lit("a/b.MD")), None) == "markdown"
+
+
+# Markdown and rules
+
+
+def table_text(rows):
+    return "| a | b |\n| --- | --- |\n" + "\n".join(f"| {i} | {'w ' * n}|" for i, n in enumerate(rows))
+
+
+def test_table_parts_repeat_the_header_and_lose_nothing(spark):
+    from granary.operators import markdown
+
+    body = table_text([3, 5, 200, 1, 4])
+    parts = one(spark, markdown.split_table(F.col("v"), 40), body)
+    assert len(parts) > 2 and all(p.startswith("| a | b |\n| --- | --- |\n") for p in parts)
+    assert [line for p in parts for line in p.split("\n")[2:]] == body.split("\n")[2:]
+
+
+def test_code_list_and_small_pieces(spark):
+    from granary.operators import markdown
+
+    code = "```py\n" + "\n".join(f"x{i} = {i}" for i in range(30)) + "\n```"
+    parts = one(spark, markdown.split_code(F.col("v"), 30), code)
+    assert len(parts) > 1 and all(p.startswith("```py\n") and p.endswith("\n```") for p in parts)
+    items = one(spark, markdown.split_list(F.col("v"), 6), "- a b\n  more\n- c\n- d e f g h i j")
+    assert items[0].startswith("- a b\n  more") and "\n".join(items) == "- a b\n  more\n- c\n- d e f g h i j"
+    merged = one(spark, markdown.merge_small(F.array(F.lit("a b c d"), F.lit("e"), F.lit("f g h i j"), F.lit("k")), 3, 6), None)
+    assert merged == ["a b c d\n\ne", "f g h i j\n\nk"]
+
+
+def test_rules(spark):
+    from granary.operators import rules
+
+    status = rules.enhancement(F.col("v"), F.lit("text"), F.lit(True), least=3)["reason"]
+    assert one(spark, status, " ") == "empty" and one(spark, status, "a b") == "short" and one(spark, status, "1 2 3 4 5") == "numeric" and one(spark, status, "a b c d") == "ok"
+    assert one(spark, rules.usable_summary("v"), "too short") is None
+    assert rules.merged_config({"a": {"x": 1, "y": 2}}, {"a": {"y": 3}}, {"b": 4}) == {"a": {"x": 1, "y": 3}, "b": 4}
+    assert one(spark, rules.merged_maps(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3")))["b"]) == "3"
