@@ -124,9 +124,10 @@ def weighted_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("doc").agg(F.max_by("size", F.struct(F.col("chars"), -F.col("size"))).alias("body_size"), F.max("chars").alias("chars"))
 
 
-@query("SELECT text AS question, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT lower(left(text, 4)) AS question, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1")
 def duplicate_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy(F.col("text").alias("question")).agg(F.count("*").alias("n")).filter("n > 1")
+    """Openings that more than one message has, without regard to case."""
+    return table(spark, sf_dir, "conversations").groupBy(F.lower(F.substring("text", 1, 4)).alias("question")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 @query(

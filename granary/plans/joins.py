@@ -119,12 +119,12 @@ def neighbor_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT u.user_id, u.n, o.n_orders FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) u JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) o ON u.user_id = o.o_custkey
-    WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event_type = 'purchase')"""
+    WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event_type = 'purchase' AND e.value > 250)"""
 )
 def due_without_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joined work that has nothing in flight."""
     events = table(spark, sf_dir, "events")
-    running = events.filter("event_type = 'purchase'").select("user_id")
+    running = events.filter("event_type = 'purchase' and value > 250").select("user_id")
     per_user = events.groupBy("user_id").agg(F.count("*").alias("n"))
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("n_orders"))
     return per_user.join(orders, "user_id").join(running, "user_id", "left_anti")
