@@ -43,7 +43,7 @@ def style_features(word: str) -> tuple[int, int]:
 class Weights(dict):
     """For each word seen, the sum of its features' weights; a bounded number of words is kept."""
 
-    KEPT = 1_000_000
+    KEPT = 300_000
 
     def __init__(self, weights: np.ndarray, features: Callable[[str], tuple[int, ...]]):
         super().__init__()

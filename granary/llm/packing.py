@@ -34,6 +34,7 @@ LENGTH = 4096
 END = 2
 BUCKETS, DIMENSIONS, BITS = 256, 4, 12
 WORDS_KEPT = 1_000_000
+DOCS_AT_ONCE = 512
 #: A special token of the vocabulary, put between words that are encoded in one call.
 BETWEEN = "<|startoftext|>"
 
@@ -129,13 +130,13 @@ def tokenized(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(tokenizer_path(model))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = words.encode([t or b"" for t in batch.column("text").to_pylist()])
-            arrays = [np.frombuffer(x, "<u2") for x in ids]
-            out = [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(a) for a in arrays], pa.int64()), pa.array(curve_keys(arrays))]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "tokens", "key"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, DOCS_AT_ONCE):
+                batch = whole.slice(first, DOCS_AT_ONCE)
+                ids = words.encode([t or b"" for t in batch.column("text").to_pylist()])
+                arrays = [np.frombuffer(x, "<u2") for x in ids]
+                out = [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(a) for a in arrays], pa.int64()), pa.array(curve_keys(arrays))]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "ids", "tokens", "key"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))

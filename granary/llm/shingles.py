@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _BLANKS = np.array([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
