@@ -89,12 +89,14 @@ def document_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _postings(sets: DataFrame, level: int) -> DataFrame:
-    """token and row of the prefixes; of equal sets in one batch only the first posts."""
+    """token and row of the prefixes; of equal sets in one batch only that of the smallest row posts, so that of all does."""
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, firsts = np.unique(batch.column("sig").to_numpy(), return_index=True)
             rows, planes = batch.column("row").to_numpy(), batch.column("planes")
+            # A batch can span files that are read in another order than they were written.
+            order = np.argsort(rows)
+            firsts = order[np.unique(batch.column("sig").to_numpy()[order], return_index=True)[1]]
             for some in np.array_split(np.sort(firsts), max(1, len(firsts) // 512)):
                 keys = [from_planes(planes[int(i)].as_py()) for i in some]
                 keys = [k[: int(prefix_length(len(k), level))] for k in keys]

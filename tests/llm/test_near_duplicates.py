@@ -67,6 +67,18 @@ def test_components_equal_the_plain_version(documents, monkeypatch, dear):
     assert out == plain(texts)
 
 
+def test_copies_over_many_files(documents):
+    """A batch of the stored sets spans files that are not in the order of their rows."""
+    random.seed(11)
+    texts = []
+    for _ in range(30):
+        base = [f"w{random.randrange(10**6)}" for _ in range(random.randint(30, 60))]
+        texts += [" ".join(base)] * 12 + [" ".join(edited(base, 1))] * 12
+    random.shuffle(texts)
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(documents(texts).repartition(24)).collect()}
+    assert out == plain(texts)
+
+
 def test_one_of_each(documents):
     texts = ["a b c d e f g", "A b c d e f g", None, "", "other words stand here", "a b c d e f g"]
     out = nd.one_of_each(documents(texts))
