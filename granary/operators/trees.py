@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.sources.scratch import scratch_path
+
 
 def prefixes(path: Column | str) -> Column:
     """All prefixes of a dotted path, shortest first, the path itself last."""
@@ -35,12 +37,23 @@ def level(path: Column) -> Column:
     return F.size(F.split(path, r"\."))
 
 
-def closure(links: DataFrame, child: str, parent: str, most: int = 16) -> DataFrame:
-    """Every (node, ancestor, distance) of parent links, in steps that double the distance, until nothing is added."""
+def closure(links: DataFrame, child: str, parent: str) -> DataFrame:
+    """Every (node, ancestor, distance) of parent links, in steps that double the distance, until nothing is added.
+
+    The distance is that of the shortest way. In a cycle each node is an ancestor of all, itself included.
+    """
     step = links.filter(F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("distance"))
-    reached, done = step, 1
-    while done < most:
-        further = reached.alias("a").join(reached.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node"), F.col("b.ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
-        reached = reached.unionByName(further.filter(F.col("distance") > done)).groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+    reached, done = _written(step.distinct()), 1
+    # All pairs up to `done` are known. A pair further apart passes through one that is exactly so far apart.
+    while not (ends := reached.filter(F.col("distance") == done)).isEmpty():
+        further = ends.alias("a").join(reached.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node"), F.col("b.ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
+        reached = _written(reached.unionByName(further).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
         done *= 2
-    return reached.filter(F.col("distance") <= most)
+    return reached
+
+
+def _written(pairs: DataFrame) -> DataFrame:
+    """The pairs from a scratch table, so that a round doesn't repeat those before it."""
+    path = scratch_path(pairs.sparkSession, "closure")
+    pairs.write.parquet(path)
+    return pairs.sparkSession.read.schema(pairs.schema).parquet(path)

@@ -187,6 +187,14 @@ def test_moves_and_closure(spark):
     assert trees.closure(links, "c", "p").count() == 66
 
 
+def test_closure_of_deep_chains_and_cycles(spark):
+    links = spark.createDataFrame([(i, i - 1) for i in range(1, 41)] + [(100, 101), (101, 102), (102, 100), (200, None)], "c int, p int")
+    chain = {(i, j, i - j) for i in range(1, 41) for j in range(i)}
+    cycle = {(100 + i, 100 + (i + d) % 3, d) for i in range(3) for d in (1, 2, 3)}
+    rows = [tuple(r) for r in trees.closure(links, "c", "p").collect()]
+    assert len(rows) == len(chain | cycle) and set(rows) == chain | cycle
+
+
 def test_changes(spark):
     old, new = (spark.createDataFrame(rows, "id int, v string") for rows in ([(1, "a"), (2, "b"), (3, None)], [(2, "c"), (3, None), (4, "d")]))
     assert {r.id: r.action for r in changes(old, new, ["id"], ["v"]).collect()} == {1: "delete", 2: "update", 3: "keep", 4: "insert"}
