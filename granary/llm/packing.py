@@ -15,9 +15,9 @@ none, are separate documents. No rows give no pieces. Other columns are not read
 from __future__ import annotations
 
 import functools
-import itertools
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,47 +33,66 @@ MODEL = "word_bpe_49k.json"
 LENGTH = 4096
 END = 2
 BUCKETS, DIMENSIONS, BITS = 256, 4, 12
-WORDS_KEPT = 1_000_000
+#: What words and what word parts a worker keeps from text to text, in bytes, with ENTRY for each one's objects.
+BYTES_KEPT, ENTRY = 96 << 20, 150
 DOCS_AT_ONCE = 512
-#: A special token of the vocabulary, put between words that are encoded in one call.
-BETWEEN = "<|startoftext|>"
+#: Words of ASCII and Latin letters, which one rule cuts (in lower case) as the vocabulary's own does (fixed value).
+LATIN = re.compile("[!-~\u00c0-\u012f\u0131-\u024f]+")
+PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u024f]+")
+
+
+class _Kept(dict):
+    """Ids, two bytes each, of what was asked for; emptied when it holds more than BYTES_KEPT."""
+
+    def __init__(self, encode: Callable):
+        super().__init__()
+        self._encode, self._bytes = encode, 0
+
+    def __missing__(self, key: str | bytes) -> bytes:
+        if self._bytes > BYTES_KEPT:
+            self.clear()
+            self._bytes = 0
+        ids = self[key] = self._encode(key)
+        self._bytes += len(key) + len(ids) + ENTRY
+        return ids
 
 
 class WordTokenizer:
-    """Token ids of texts, word by word: blanks never join words, so that a text's ids are its words' ids in a row."""
+    """Token ids of texts, word by word: blanks never join words, so that a text's ids are its words' ids in a row.
+
+    Words are cut into parts by the library's own steps (Latin words by their rule), and parts are merged by its
+    model; a word that may hold a special token goes through the library as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self._model = Tokenizer.from_file(path)
-        self._between = self._model.token_to_id(BETWEEN)
-        if self._model.get_vocab_size() > 1 << 16:
+        self._library = Tokenizer.from_file(path)
+        self._model, self._normalizer, self._cutter = self._library.model, self._library.normalizer, self._library.pre_tokenizer
+        if self._library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self._ids: dict[bytes, bytes] = {}
-
-    def _encoded(self, text: str) -> np.ndarray:
-        return np.array(self._model.encode(text, add_special_tokens=False).ids, dtype=np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        for first in range(0, len(words), 2000):
-            some = words[first : first + 2000]
-            plain = [w for w in some if b"<|" not in w]
-            ids = self._encoded(BETWEEN.join(w.decode() for w in plain) if plain else BETWEEN)
-            ends = np.append(np.flatnonzero(ids == self._between), len(ids))
-            begins = np.append(0, ends[:-1] + 1)
-            packed = ids.astype("<u2").tobytes()
-            self._ids.update((w, packed[2 * b : 2 * e]) for w, b, e in zip(plain, begins.tolist(), ends.tolist(), strict=False))
-            self._ids.update((w, self._encoded(w.decode()).astype("<u2").tobytes()) for w in set(some) - set(plain))
+        letters = [chr(x) for x in range(0xC0, 0x250)]
+        self._bytes = {ord(x): "".join(part for part, _ in self._cutter.pre_tokenize_str(x)) for x in letters}
+        self._parts, self._words = _Kept(self._of_part), _Kept(self._of_word)
+
+    def _of_part(self, part: str) -> bytes:
+        return b"".join([t.id.to_bytes(2, "little") for t in self._model.tokenize(part)])
+
+    def _of_word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if "<|" in text:
+            return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        if LATIN.fullmatch(text):
+            parts = PARTS.findall(text.lower())
+            if not text.isascii():
+                parts = [part.translate(self._bytes) for part in parts]
+        else:
+            parts = [part for part, _ in self._cutter.pre_tokenize_str(self._normalizer.normalize_str(text))]
+        return b"".join(map(self._parts.__getitem__, parts))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids, two bytes each, with the end token."""
-        if len(self._ids) > WORDS_KEPT:
-            self._ids.clear()
-        split = [t.split() for t in texts]  # bytes split at the six ASCII blanks only
-        if new := set(itertools.chain.from_iterable(split)) - self._ids.keys():
-            self._learn(sorted(new))
-        ids, end = self._ids.__getitem__, np.array([END], "<u2").tobytes()
-        return [b"".join(map(ids, words)) + end for words in split]
+        ids, end = self._words.__getitem__, np.array([END], "<u2").tobytes()
+        return [b"".join(map(ids, t.split())) + end for t in texts]  # bytes split at the six ASCII blanks only
 
 
 @functools.cache
@@ -116,10 +135,10 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     """The curve places of documents given by their token ids."""
-    vectors = np.zeros((len(ids), BUCKETS))
-    for row, tokens in zip(vectors, ids, strict=True):
-        mixed = tokens.astype(np.uint32) * np.uint32(2654435761)
-        row += np.bincount(mixed >> 24, weights=1.0 - 2.0 * ((mixed >> 23) & 1), minlength=BUCKETS)
+    mixed = np.concatenate(ids).astype(np.uint32) * np.uint32(2654435761)
+    slots = np.repeat(np.arange(len(ids)) * BUCKETS, [len(x) for x in ids]) + (mixed >> 24)
+    signs = 1.0 - 2.0 * ((mixed >> 23) & 1)
+    vectors = np.bincount(slots, weights=signs, minlength=len(ids) * BUCKETS).reshape(len(ids), BUCKETS)
     norms = np.maximum(np.sqrt((vectors**2).sum(axis=1, keepdims=True)), 1e-9)
     placed = vectors / norms @ projection()
     return hilbert_keys(np.clip((placed + 3.0) / 6.0 * (1 << BITS), 0, (1 << BITS) - 1))
@@ -194,7 +213,7 @@ def pack(docs: DataFrame, length: int = LENGTH, model: str = MODEL) -> DataFrame
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     rows = stored(tokenized(docs, model).withColumn("row", F.monotonically_increasing_id()), "pack-tokens")
-    placed = rows.select("doc_id", "ids", "row").join(positions(rows).hint("shuffle_hash"), "row")
+    placed = rows.select("doc_id", "ids", "row").join(positions(rows).hint("merge"), "row")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
