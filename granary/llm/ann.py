@@ -1,21 +1,26 @@
 """Approximate nearest neighbours with balanced posting lists.
 
 Centroids are fitted on a bounded sample by k-means that charges full clusters more, so that lists come out of like
-length. Every vector goes to its nearest list and, if it lies near a boundary, to some more: lists whose centroid is not
-much further and does not lie close by one already taken. A graph over the centroids, held in memory, is searched
-from fixed entry points to find the lists of a vector or a query; a query then reads the lists whose distance is within
-a ratio of the nearest one's. What the lists hold is scored exactly, on the original vectors.
+length: about the square root of the number of vectors, as is their number. Every vector goes to its nearest list and, if
+it lies near a boundary, to some more: lists whose centroid is not much further and does not lie close by one already
+taken. A graph over the centroids, held in memory, is searched from fixed entry points to find the lists of a vector or
+a query; a query then reads the lists whose distance is within a ratio of the nearest one's. What the lists hold is
+scored exactly, on the original vectors.
+
+Lists are read in rounds, nearest first, each round twice as many as all before. Only what is not below the kth score
+found so far leaves a list, so that a query gathers a few times k rows however much the index holds.
 
 Inner products become distances by one more component, sqrt(M^2 - |x|^2) with M the greatest norm, 0 for queries.
 
-Every vector is indexed; only the centroids come from the sample (at most SAMPLE distinct vectors, by hash). Vectors that
-are null, zero, or hold null or non-finite components take no part; neither do rows without an id. Equal vectors are
-indexed once with their smallest ids (see `vectors`). Vectors of different lengths are never compared: each length has
-its own index. Empty tables give no rows.
+Every vector is indexed; only the centroids come from the sample (at most SAMPLE distinct vectors and SAMPLE_BYTES, by
+hash; there are at most a quarter as many lists). Vectors that are null, zero, or hold null or non-finite components take
+no part; neither do rows without an id. Equal vectors are indexed once with their smallest ids (see `vectors`). Vectors of
+different lengths are never compared: each length has its own index. Empty tables give no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,20 +31,23 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import stored, table
 from granary.llm.exact_topk import is_query, ranked
-from granary.llm.vectors import distinct_vectors, matrix, packed, usable
+from granary.llm.vectors import BLOCK, distinct_vectors, matrix, packed, usable
 
 K = 20
 EVERY = 20
-SAMPLE = 32_768
-LIST_VECTORS = 96
-MOST_LISTS = 4096
+SAMPLE, SAMPLE_BYTES = 32_768, 64 << 20
 REPLICAS, BOUNDARY = 4, 0.12
 SAME_SIDE = 0.35
-RATIO = 0.16
-BEAM_ASSIGN, BEAM_SEARCH = 32, 256
+RATIO = 0.14
+#: Lists kept in sight while walking the graph; a query's grow until the ratio leaves some of them out.
+BEAM_ASSIGN, BEAM_SEARCH = 32, 128
 DEGREE = 24
-PART_VECTORS = 2048
+#: The first round reads so many lists of each query, each further one GROWTH times as many as all before.
+FIRST, GROWTH = 4, 2
+PART_VECTORS, PART_QUERIES = 2048, 512
 BATCH = 512
+#: By what scores of one matrix product may differ from sums in a fixed order, as a part of the norms' product.
+ROUNDING = 1e-12
 
 
 @dataclass(frozen=True)
@@ -114,7 +122,7 @@ def _balanced_means(points: np.ndarray, lists: int, rounds: int = 12) -> np.ndar
 
 def build_index(sample: np.ndarray, norm: float, total: int) -> Index:
     """Centroids for `total` vectors from a sample of them, with a graph of near neighbours and a few random far ones."""
-    lists = int(np.clip(total // LIST_VECTORS, 1, min(MOST_LISTS, max(1, len(sample) // 4))))
+    lists = max(1, min(math.isqrt(total), len(sample) // 4))
     rest = np.sqrt(np.maximum(norm**2 - (sample**2).sum(axis=1), 0.0))
     centroids = _balanced_means(np.concatenate([sample, rest[:, None]], axis=1), lists)
     rng = np.random.default_rng(5)
@@ -143,10 +151,22 @@ def _homes(index: Index, vectors: np.ndarray) -> list[list[int]]:
     return out
 
 
+def _within(index: Index, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists and distances of points of which the last are beyond the ratio, unless there are no more."""
+    beam = BEAM_SEARCH
+    lists, far = index.nearest(points, beam)
+    while beam < len(index.centroids) and (short := np.isfinite(far[:, -1]) & (far[:, -1] <= (1 + RATIO) * far[:, 0])).any():
+        beam *= 2
+        more, further = index.nearest(points[short], beam)
+        wider = ((0, 0), (0, more.shape[1] - lists.shape[1]))
+        lists, far = np.pad(lists, wider, constant_values=-1), np.pad(far, wider, constant_values=np.inf)
+        lists[short], far[short] = more, further
+    return lists, far
+
+
 def _choose(index: Index, sizes: np.ndarray, vectors: np.ndarray, k: int) -> list[np.ndarray]:
-    """The lists that each query reads: within the ratio of the nearest, and on until they must hold k candidates."""
-    points = index.questions(vectors)
-    lists, far = index.nearest(points, BEAM_SEARCH)
+    """The lists that each query reads, nearest first: within the ratio, and on until they must hold k candidates."""
+    lists, far = _within(index, index.questions(vectors))
     out = []
     for row, distance in zip(lists, far, strict=True):
         row, distance = row[row >= 0], distance[row >= 0]
@@ -158,22 +178,44 @@ def _choose(index: Index, sizes: np.ndarray, vectors: np.ndarray, k: int) -> lis
     return out
 
 
+def _sample(vectors: DataFrame, width: int) -> np.ndarray:
+    """The vectors whose keys come first, no more than the bounds allow."""
+
+    def as_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"v": [np.asarray(x, np.float64).tobytes() for x in frame["vector"]]})
+
+    most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * width)))
+    first = vectors.select("vector", "key").orderBy("key").limit(most).mapInPandas(as_bytes, "v binary")
+    return np.frombuffer(b"".join(r.v for r in first.collect()), np.float64).reshape(-1, width)
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Dealt over as many tasks as a shuffle has, however few bytes there are: the work is in the graph."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+
+
+def _in_parts(rows: DataFrame, size: int) -> DataFrame:
+    """rows with part, so that about `size` rows share a list and a part. There is a count a list, and few lists."""
+    counts = rows.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+    return rows.join(F.broadcast(counts), "list").withColumn("part", F.pmod("key", "parts").cast("int")).drop("parts")
+
+
 def _of_width(vectors: DataFrame, queries: DataFrame, width: int, k: int) -> DataFrame:
+    """width, key, vec_id, score of the k nearest found of each query vector of one length."""
     spark = vectors.sparkSession
     mine = vectors.filter(F.size("vector") == width)
     total, norm = mine.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    sample = np.array([r.vector for r in mine.orderBy("key").limit(SAMPLE).select("vector").collect()], dtype=np.float64)
-    sent = spark.sparkContext.broadcast(build_index(sample, norm, total))  # at most MOST_LISTS centroids
+    sent = spark.sparkContext.broadcast(build_index(_sample(mine, width), norm, total))  # as many lists as a quarter of the sample, at most
 
     def assigned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
                 yield frame.assign(list=_homes(sent.value, np.array(frame["vector"].tolist(), dtype=np.float64)))
 
-    homes = mine.mapInPandas(assigned, "vector array<double>, ids array<long>, key long, list array<int>")
-    postings = stored(homes.withColumn("list", F.explode("list")), "ann-postings")
+    homes = stored(_spread(mine).mapInPandas(assigned, "vector array<double>, ids array<long>, key long, list array<int>"), "ann-homes")
     sizes = np.zeros(len(sent.value.centroids), np.int64)
-    for r in postings.groupBy("list").count().collect():  # one row a list
+    for r in homes.select(F.explode("list").alias("list")).groupBy("list").count().collect():  # one row a list
         sizes[r["list"]] = r["count"]
 
     def routed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,35 +223,63 @@ def _of_width(vectors: DataFrame, queries: DataFrame, width: int, k: int) -> Dat
             if len(frame):
                 yield frame.assign(list=_choose(sent.value, sizes, np.array(frame["vector"].tolist(), dtype=np.float64), k))
 
-    asked = queries.filter(F.size("vector") == width).mapInPandas(routed, "vector array<double>, ids array<long>, key long, list array<int>")
-    asked = asked.withColumn("list", F.explode("list"))
+    asked = _spread(queries.filter(F.size("vector") == width)).mapInPandas(routed, "vector array<double>, ids array<long>, key long, list array<int>")
+    asked = stored(asked.select("key", "vector", F.col("list").alias("lists")), "ann-asked")
     # A list is cut into parts of bounded size; each part of its vectors meets each part of its queries.
-    parts = spark.createDataFrame([(i, int(-(-n // PART_VECTORS))) for i, n in enumerate(sizes.tolist()) if n], "list int, parts int")
-    cut = postings.join(F.broadcast(parts), "list").withColumn("part", F.pmod("key", "parts").cast("int"))
-    blocks = cut.withColumn("block", F.col("list")).groupBy("list", "part").applyInPandas(lambda f: packed(f, "key"), "block int, width int, keys binary, ids array<array<bigint>>, vectors binary")
-    questions = asked.withColumn("block", F.col("list")).groupBy("list", F.pmod(F.col("key"), F.lit(8)).alias("q_part")).applyInPandas(lambda f: packed(f, "key", ids=False), "block int, width int, keys binary, ids array<array<bigint>>, vectors binary")
-    questions = questions.select("block", F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors"))
+    cut = _in_parts(homes.withColumn("list", F.explode("list")), PART_VECTORS)
+    blocks = cut.withColumn("block", F.col("list")).groupBy("list", "part").applyInPandas(lambda f: packed(f, "key"), BLOCK)
+    blocks = stored(blocks, "ann-blocks")
 
     def scored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                yield _nearest_of(row, k)
-
-    found = blocks.join(questions, "block").mapInPandas(scored, "key long, vec_id long, score double")
-    return found.withColumn("width", F.lit(width))
-
-
-def _nearest_of(row, k: int) -> pd.DataFrame:
-    """The k best of one part of a list for each query that reads it."""
+                yield _nearest_of(row, k, norm)
+
+    best: DataFrame | None = None
+    at, step, most = 0, FIRST, asked.agg(F.max(F.size("lists"))).first()[0]
+    while at < most:
+        now = asked.filter(F.size("lists") > at).select("key", "vector", F.explode(F.slice("lists", at + 1, step)).alias("list"))
+        least = F.lit(float("-inf"))
+        if best is not None:
+            known = best.groupBy("key").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+            now, least = now.join(known, "key", "left"), F.coalesce("kth", least)
+        now = _in_parts(now.withColumn("least", least), PART_QUERIES)
+        questions = now.withColumn("block", F.col("list")).groupBy("list", "part").applyInPandas(_questions, "block int, q_keys binary, q_vectors binary, q_least binary")
+        found = blocks.join(questions, "block").mapInPandas(scored, "key long, vec_id long, score double")
+        if best is not None:
+            found = found.unionByName(best)
+        # A vector may be found in several lists.
+        once = found.groupBy("key", "vec_id").agg(F.max("score").alias("score"))
+        nth = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))
+        best = stored(once.withColumn("_n", nth).filter(F.col("_n") <= k).drop("_n"), "ann-best")
+        at, step = at + step, (at + step) * GROWTH
+    return best.withColumn("width", F.lit(width))
+
+
+def _questions(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row that holds the queries of a part: their keys, vectors and the scores that they have no use below."""
+    vectors = np.array(frame["vector"].tolist(), dtype=np.float64)
+    arrays = {"q_keys": frame["key"].to_numpy(np.int64), "q_vectors": vectors, "q_least": frame["least"].to_numpy(np.float64)}
+    return pd.DataFrame({"block": [frame["block"].iloc[0]], **{name: [x.tobytes()] for name, x in arrays.items()}})
+
+
+def _nearest_of(row, k: int, norm: float) -> pd.DataFrame:
+    """The k best of one part of a list for each query that reads it, as far as they reach what the query has."""
     keys, q, c = np.frombuffer(row.q_keys, np.int64), matrix(row.q_vectors, row.width), matrix(row.vectors, row.width)
-    # Summed in one order for every list, so that a vector scores the same wherever it is found.
-    scores = np.stack([(c * x).sum(axis=1) for x in q])
-    few = min(k, scores.shape[1])
-    kth = -np.partition(-scores, few - 1, axis=1)[:, few - 1]
-    q_row, c_row = np.nonzero(scores >= kth[:, None])
+    least = np.frombuffer(row.q_least, np.float64)
+    near = q @ c.T
+    few = min(k, near.shape[1])
+    kth = -np.partition(-near, few - 1, axis=1)[:, few - 1]
+    slack = ROUNDING * row.width * np.linalg.norm(q, axis=1) * norm
+    q_row, c_row = np.nonzero(near >= (np.maximum(kth, least) - slack)[:, None])
+    # Summed in one order, so that a vector scores the same wherever it is found.
+    scores = (q[q_row] * c[c_row]).sum(axis=1)
+    some = scores >= least[q_row]
+    q_row, c_row, scores = q_row[some], c_row[some], scores[some]
     ids = [row.ids[x] for x in c_row]
     times = np.fromiter(map(len, ids), np.int64, len(ids))
-    return pd.DataFrame({"key": np.repeat(keys[q_row], times), "vec_id": np.concatenate([np.asarray(x, np.int64) for x in ids]), "score": np.repeat(scores[q_row, c_row], times)})
+    flat = np.concatenate([np.asarray(x, np.int64) for x in ids]) if ids else np.zeros(0, np.int64)
+    return pd.DataFrame({"key": np.repeat(keys[q_row], times), "vec_id": flat, "score": np.repeat(scores, times)})
 
 
 def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
@@ -226,10 +296,7 @@ def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         found = one if found is None else found.unionByName(one)
     if found is None:
         return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # A vector may be found in several lists.
-    once = found.groupBy("width", "key", "vec_id").agg(F.max("score").alias("score"))
-    best = F.row_number().over(Window.partitionBy("width", "key").orderBy(F.desc("score"), "vec_id"))
-    return ranked(asked, once.withColumn("_n", best).filter(F.col("_n") <= k + 1).drop("_n"), k)
+    return ranked(asked, found, k)
 
 
 def op6_ann(spark, sf_dir: str) -> DataFrame:
