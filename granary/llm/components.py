@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import stored
+from granary.llm.common import discard, stored
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -29,8 +29,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """node and component (its least node) of every node with an edge (a, b), a <> b; each round is written to the shared folder."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    before: list[DataFrame] = []
     while True:
         down = stored(_small_star(_large_star(down)), "stars")
+        discard(*before)
+        before = [down]
         # Done when no node that others hang on hangs on another one itself.
         if down.select("b").distinct().join(down.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() and _one_parent(down):
             break

@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import DOCUMENT_COLUMNS, stored, table
+from granary.llm.common import DOCUMENT_COLUMNS, discard, null_safe, stored, table
 from granary.llm.components import connected_components
-from granary.llm.shingles import from_planes, set_hash, shingle_sets, to_planes
+from granary.llm.shingles import from_planes, set_hash, shingle_sets, slices, to_planes
 
 SIMILARITY = 75  # per cent
 SHINGLE = 5
@@ -43,8 +43,8 @@ FULL = 1
 #: A document's candidates are estimated from the documents that share a kept token, on average and at most (a long list
 #: counts one for each LONG_LIST of it); those dearer than DEAR get a longer prefix.
 DEAR, LONG_LIST = 4.0, 16
-#: Up to so many surviving documents (16 bytes each) are sent to where the sets are; more are joined by a shuffle.
-MOST_SENT = 4_000_000
+#: Up to so many surviving documents (under 64 bytes each, 64 MB) are sent to where the sets are; more are joined by a shuffle.
+MOST_SENT = 1_000_000
 #: The comparison of all components in all lists begins when it costs at most so many candidates for each posted token,
 #: or when comparing one document with the rest no longer makes it much cheaper.
 FINAL_COST = 25.0
@@ -71,8 +71,8 @@ def asked_column(n: Column, level: int, of: int = SIMILARITY) -> Column:
     return small if level == FULL else F.least(1 + F.floor(small / RUNG), F.ceil(small * of / 100))
 
 
-def document_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """row, doc_id, n (set size), sig (hash of the set), planes (its keys)."""
+def document_sets(docs: DataFrame, size: int = SHINGLE, tie: Column | None = None) -> DataFrame:
+    """row, doc_id, tie (0 where none is given), n (set size), sig (hash of the set), planes (its keys)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +82,11 @@ def document_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 n.append(len(keys))
                 sig.append(set_hash(keys))
                 planes.append(to_planes(keys))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(planes, pa.binary())], ["doc_id", "n", "sig", "planes"])
+            found = [pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(planes, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), *found], ["doc_id", "tie", "n", "sig", "planes"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(sets, f"doc_id {kind}, n long, sig long, planes binary")
+    tie = F.lit(0) if tie is None else tie
+    rows = docs.select("doc_id", "text", tie.cast("long").alias("tie")).mapInArrow(sets, f"doc_id {kind}, tie long, n long, sig long, planes binary")
     return rows.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -93,12 +95,12 @@ def _postings(sets: DataFrame, level: int) -> DataFrame:
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, planes = batch.column("row").to_numpy(), batch.column("planes")
+            rows, planes = batch.column("row").to_numpy(), slices(batch.column("planes"))
             # A batch can span files that are read in another order than they were written.
             order = np.argsort(rows)
             firsts = order[np.unique(batch.column("sig").to_numpy()[order], return_index=True)[1]]
-            for some in np.array_split(np.sort(firsts), max(1, len(firsts) // 512)):
-                keys = [from_planes(planes[int(i)].as_py()) for i in some]
+            for some in np.array_split(np.sort(firsts), max(1, len(firsts) // 256)):
+                keys = [from_planes(planes[i]) for i in some.tolist()]
                 keys = [k[: int(prefix_length(len(k), level))] for k in keys]
                 if keys:
                     owners = np.repeat(rows[some], [len(k) for k in keys])
@@ -110,7 +112,7 @@ def _postings(sets: DataFrame, level: int) -> DataFrame:
 def _shared(postings: DataFrame) -> DataFrame:
     """The postings of tokens that more than one document posts, with their number."""
     counts = postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    return postings.join(counts.hint("shuffle_hash"), "token")
+    return postings.join(counts.hint("merge"), "token")
 
 
 def _kept(postings: DataFrame, sizes: DataFrame, level: int) -> DataFrame:
@@ -144,7 +146,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("level", "x", "y"))
+            columns = batch.column("level").to_pylist(), slices(batch.column("x")), slices(batch.column("y"))
             good = np.fromiter((_linked(from_planes(x), from_planes(y), level) for level, x, y in zip(*columns, strict=True)), bool, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], ["a", "b"])
 
@@ -211,24 +213,30 @@ def _candidates(sets: DataFrame, kept: DataFrame) -> DataFrame:
     return sets.select("row", "sig", "n", "planes").join(few, "row")
 
 
-def links(sets: DataFrame) -> DataFrame | None:
-    """Edges (a, b) between rows with different sets that reach the threshold: enough of them to join all that link."""
-    sizes = sets.select("row", "n")
+def links(sets: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Stored edges (a, b) between rows with different sets that reach the threshold, enough of them to join all that
+    link, and the scratch tables that they no longer need. The table `sets` itself is gone after this."""
+    sizes = stored(sets.select("row", "n"), "sizes")
     firsts = sets.filter("n > 0").groupBy("sig").agg(F.min("row").alias("row")).select("row")
     posted = stored(_shared(_postings(sets, 0)).select("token", "row").join(firsts, "row"), "postings")
     kept = stored(_kept(_shared(posted), sizes, 0).withColumn("rung", (F.col("cost") > DEAR).cast("int")), "kept")
     candidates = stored(_candidates(sets, kept), "candidates")
+    discard(posted, sets)
     dear = candidates.filter("rung = 1")
-    longer = _kept(_shared(stored(_postings(dear, FULL), "postings-longer")), sizes, FULL).withColumn("rung", F.lit(FULL))
+    longer_posted = stored(_postings(dear, FULL), "postings-longer")
+    longer = _kept(_shared(longer_posted), sizes, FULL).withColumn("rung", F.lit(FULL))
     lists = stored(_lists(kept, 0).unionByName(_lists(longer, FULL)), "lists")
+    discard(kept, longer_posted)
     posted_tokens = lists.count()
     edges: list[DataFrame] = []
+    used: list[DataFrame] = [lists]
     last = float("inf")
     while True:
         open_ = stored(_open(lists, not edges), "open")
+        discard(*used)
         cost = _final_cost(open_)
         if cost == 0:
-            return reduce(DataFrame.unionByName, edges) if edges else None
+            return edges, [open_, candidates, sizes]
         if edges and (cost <= FINAL_COST * posted_tokens or cost > GAIN * last):
             break
         last = cost
@@ -236,35 +244,50 @@ def links(sets: DataFrame) -> DataFrame | None:
         # A list with one component stays so: later rounds see the open lists only.
         found = connected_components(reduce(DataFrame.unionByName, edges)).withColumnRenamed("node", "row")
         lists = open_.drop("size", "largest", "component").join(found, "row", "left").withColumn("component", F.coalesce("component", "row"))
+        used = [open_]
     edges.append(stored(_verified(_final_pairs(open_), candidates), "links"))
-    return reduce(DataFrame.unionByName, edges)
+    return edges, [open_, candidates, sizes]
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs."""
-    sets = stored(document_sets(docs), "sets")
-    rows = sets.select("doc_id", "row", "sig", "n")
+def grouped(docs: DataFrame, tie: Column | None = None) -> DataFrame:
+    """doc_id, tie, n, group of every row of docs; the group is null where there are no words."""
+    sets = stored(document_sets(docs, tie=tie), "sets")
+    rows = stored(sets.select("doc_id", "tie", "row", "sig", "n"), "rows")
     classes = rows.filter("n > 0").groupBy("sig").agg(F.min("row").alias("first"))
-    edges = links(sets)
+    edges, used = links(sets)
+    discard(*used)
     named = rows.filter("n > 0").join(classes, "sig")
-    if edges is None:
-        named = named.withColumn("group", F.col("first"))
-    else:
-        components = stored(connected_components(edges), "components")
+    if edges:
+        components = stored(connected_components(reduce(DataFrame.unionByName, edges)), "components")
+        discard(*edges)
         named = named.join(components.withColumnRenamed("node", "first"), "first", "left").withColumn("group", F.coalesce("component", "first"))
-    groups = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    linked = named.select("doc_id", "n", "group").join(groups, "group").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    else:
+        named = named.withColumn("group", F.col("first"))
+    alone = rows.filter("n = 0").withColumn("group", F.lit(None).cast("long"))
+    return named.select("doc_id", "tie", "n", "group").unionByName(alone.select("doc_id", "tie", "n", "group"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs."""
+    rows = grouped(docs)
+    named = rows.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    linked = rows.filter("group is not null").join(named, "group").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = rows.filter("group is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents' columns of one document of each group, that with the smallest doc_id, and of all without an id.
-
-    Rows that are equal throughout count as one document."""
-    kept = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.select(*DOCUMENT_COLUMNS).filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates()
-    return named.unionByName(docs.select(*DOCUMENT_COLUMNS).filter("doc_id is null"))
+    """The documents' columns of one document of each group, that with the smallest doc_id (null last, ties to the
+    smaller hash of the row), and of all without words. Rows that are equal throughout count as one document."""
+    rows = docs.select(*DOCUMENT_COLUMNS)
+    tie = F.xxhash64(*DOCUMENT_COLUMNS)
+    found = grouped(rows, tie).withColumn("key", null_safe("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "key")).alias("first")
+    chosen = found.filter("group is not null").groupBy("group").agg(first).select("first.key", "first.tie")
+    kept = chosen.unionByName(found.filter("group is null").select("key", "tie"))
+    # One shuffle of the texts serves the join and the search for equal rows.
+    keyed = rows.withColumn("key", null_safe("doc_id")).withColumn("tie", tie)
+    return keyed.join(kept, ["key", "tie"], "left_semi").dropDuplicates(["key", "tie"]).select(*DOCUMENT_COLUMNS)
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

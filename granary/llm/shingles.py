@@ -115,7 +115,15 @@ def to_planes(keys: np.ndarray) -> bytes:
     return np.ascontiguousarray((keys >> np.uint64(16)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:].T).tobytes()
 
 
-def from_planes(planes: bytes) -> np.ndarray:
+def slices(column: pa.Array) -> list[memoryview]:
+    """The values of a binary column without nulls, not copied."""
+    wide = pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    data = memoryview(column.buffers()[2] or b"")
+    return [data[b:e] for b, e in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def from_planes(planes: bytes | memoryview) -> np.ndarray:
     """Sorted 48-bit keys."""
     six = np.frombuffer(planes, np.uint8).reshape(6, -1)
     wide = np.zeros((six.shape[1], 8), np.uint8)

@@ -7,6 +7,7 @@ import pytest
 from granary.llm import near_duplicates as nd
 from granary.llm.components import connected_components
 from granary.llm.shingles import from_planes, set_hash, shingle_sets, to_planes
+from pyspark.sql import functions as F
 
 
 def plain_set(text):
@@ -53,6 +54,8 @@ def corpus(seed):
         texts.append(" ".join(chain))
     passage = new(40)
     texts += [" ".join(new(random.choice([5, 20, 100])) + passage + new(10)) for _ in range(60)]
+    common = new(30)
+    texts += [" ".join(common + new(random.choice([3, 30, 90]))) for _ in range(200)]
     texts += [" ".join(new(random.randint(1, 200))) for _ in range(60)]
     texts += random.choices(texts, k=40)
     random.shuffle(texts)
@@ -83,8 +86,12 @@ def test_one_of_each(documents):
     texts = ["a b c d e f g", "A b c d e f g", None, "", "other words stand here", "a b c d e f g"]
     out = nd.one_of_each(documents(texts))
     assert sorted(r.doc_id for r in out.collect()) == [0, 2, 3, 4] and len(out.columns) == 5
-    ids = [(None, "a b c d e f", "s"), (7, "a b c d e f", "s"), (7, "a b c d e f", "s"), (9, "a b c d e f", "s")]
-    assert sorted(str(r.doc_id) for r in nd.one_of_each(documents(ids)).collect()) == ["7", "None"]
+    ids = [(None, "a b c d e f", "s"), (7, "a b c d e f", "s"), (7, "a b c d e f", "s"), (9, "a b c d e f", "s"), (7, "A b c d e f", "s")]
+    ids += [(None, "no id at all here", "s"), (None, "no id at all here", "t"), (None, None, "s"), (None, None, "s"), (7, "other words of one id", "s")]
+    out = sorted((str(r.doc_id), str(r.text).lower()) for r in nd.one_of_each(documents(ids)).collect())
+    assert out == [("7", "a b c d e f"), ("7", "other words of one id"), ("None", "no id at all here"), ("None", "none")]
+    clashing = documents(ids).withColumns({c: F.lit(1) for c in ("row", "tie", "n", "sig", "planes", "group", "key")})
+    assert nd.one_of_each(clashing).count() == 4 and nd.near_duplicates(clashing).count() == len(ids)
 
 
 def test_no_rows_and_no_links(documents):
