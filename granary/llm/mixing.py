@@ -6,10 +6,11 @@ slot is cut so that the words taken equal the target. All slots of all sources a
 length through a pseudorandom permutation: the source counts of a shard are a multinomial draw, given the totals (draws
 that ignore the totals would let a small source miss its target by the sampling noise). Within a source, slot k of a
 pass stands for block pi(k), pi being a pseudorandom permutation of the source's blocks; slots and blocks meet in a
-join on (source, block).
+join on (source, block). The shard and the place of each slot go with what it takes: documents come with their first and
+last shard, pieces of the mix with shard and place.
 
-Everything is a DataFrame expression. Running sums are taken within buckets of documents and over the buckets' totals,
-so that a source that holds most rows is spread over many tasks.
+Everything is a DataFrame expression. Running sums are taken within buckets of documents, over the buckets of a group and
+over the groups' totals, so that a source that holds most rows is spread over many tasks.
 
 Null and empty texts have size 0 and are never taken; a null source is a source of its own (the last); repeated rows
 are separate documents; with no words at all every target is 0. Other columns of the input are not read.
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from granary.llm.common import DOCUMENT_COLUMNS, WORD, null_safe, stored, table, text_or_empty
 
 ROUNDS = 24
-SLOTS_A_CHUNK = 4096
-DOCS_A_BUCKET = 1024
+#: Slots made from one row, and tasks that make them.
+SLOTS_A_CHUNK, MOST_TASKS = 4096, 20_000
+DOCS_A_BUCKET, BUCKETS_A_GROUP = 256, 1024
 
 
 @dataclass(frozen=True)
@@ -90,7 +92,9 @@ def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
 def slots(targets: DataFrame, mix: Mix) -> DataFrame:
     """Output slots: shard, place, source_key, pass, block, words (from the block's beginning)."""
     chunks = targets.filter("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / SLOTS_A_CHUNK))))
-    chunks = chunks.repartition("source_key", "chunk")
+    # Few bytes, but much work for each: as many tasks as chunks.
+    tasks = targets.agg(F.sum(F.ceil(F.col("slots") / SLOTS_A_CHUNK))).first()[0] or 1
+    chunks = chunks.repartition(min(int(tasks), MOST_TASKS), "source_key", "chunk")
     first = F.col("chunk") * SLOTS_A_CHUNK
     out = chunks.withColumn("slot", F.explode(F.sequence(first, F.least(first + SLOTS_A_CHUNK, F.col("slots")) - 1)))
     out = out.withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("k", F.col("slot") % F.col("blocks"))
@@ -116,8 +120,12 @@ def sized(docs: DataFrame, *carried: str) -> DataFrame:
 
 def laid_out(sizes: DataFrame, totals: DataFrame, buckets: int) -> DataFrame:
     """Adds bucket and start, the document's first word among its source's; totals: words by (source_key, bucket)."""
-    bases = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("source_key", "bucket", F.coalesce(F.sum("bucket_words").over(bases), F.lit(0)).alias("base"))
+    before = lambda *keys: Window.partitionBy("source_key", *keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("group", F.floor(F.col("bucket") / BUCKETS_A_GROUP))
+    groups = totals.groupBy("source_key", "group").agg(F.sum("bucket_words").alias("group_words"))
+    groups = groups.select("source_key", "group", F.coalesce(F.sum("group_words").over(before("group")), F.lit(0)).alias("group_base"))
+    base = F.coalesce(F.sum("bucket_words").over(before("group", "bucket")), F.lit(0))
+    totals = totals.withColumn("base", base).join(groups, ["source_key", "group"]).select("source_key", "bucket", (F.col("base") + F.col("group_base")).alias("base"))
     within = Window.partitionBy("source_key", "bucket").orderBy("doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)
     out = sizes.withColumn("bucket", _bucket(buckets)).withColumn("start", F.sum("size").over(within) - F.col("size"))
     return out.join(totals.hint("merge"), ["source_key", "bucket"]).withColumn("start", F.col("start") + F.col("base")).drop("base")
@@ -145,20 +153,24 @@ def block_parts(layout: DataFrame, mix: Mix) -> DataFrame:
 
 
 def mix_counts(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken: how many words of each document the mix takes."""
+    """doc_id, source, size, source_size, target, taken: how many words of each document the mix takes; pieces,
+    first_shard, last_shard: the slots that take some, and the shards among which they lie (null where nothing is taken)."""
     sizes, targets, totals, buckets = _plan(docs, mix)
     layout = laid_out(sizes, totals, buckets)
     parts = block_parts(layout, mix).select("doc_id", "source", "source_key", "size", "start", "block", "lo", "hi")
     taken = F.greatest(F.lit(0), F.least(F.col("hi"), F.col("block") * mix.block + F.coalesce("words", F.lit(0))) - F.col("lo"))
-    joined = parts.join(slots(targets, mix).hint("merge"), ["source_key", "block"], "left")
-    by_doc = joined.groupBy("source_key", "start").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.sum(taken).alias("taken"))
-    empty = sizes.filter("size = 0").select("source_key", F.lit(0).cast("long").alias("start"), "doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
+    joined = parts.join(slots(targets, mix).hint("merge"), ["source_key", "block"], "left").withColumn("taken", taken)
+    some = F.when(F.col("taken") > 0, F.col("shard"))
+    by_doc = joined.groupBy("source_key", "start").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.sum("taken").alias("taken"), F.count(some).alias("pieces"), F.min(some).alias("first_shard"), F.max(some).alias("last_shard"))
+    none = [F.lit(0).cast("long").alias(c) for c in ("taken", "pieces")] + [F.lit(None).cast("long").alias(c) for c in ("first_shard", "last_shard")]
+    empty = sizes.filter("size = 0").select("source_key", F.lit(0).cast("long").alias("start"), "doc_id", "source", "size", *none)
     of_source = targets.select("source_key", "source_size", "target")
-    return by_doc.unionByName(empty).join(of_source, "source_key").select("doc_id", "source", "size", "source_size", "target", "taken")
+    return by_doc.unionByName(empty).join(of_source, "source_key").select("doc_id", "source", "size", "source_size", "target", "taken", "pieces", "first_shard", "last_shard")
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The mix itself: for each slot the words that it takes, a row for each document in it, with the documents' columns.
+    """The mix itself: for each slot the words that it takes, a row for each document in it, with the documents' columns
+    and the slot's shard and place; `in_shards` lays it out.
 
     A document taken whole keeps its text as it was; a part has its words with single blanks between them. A document
     that is taken twice comes twice; n_chars is counted anew.
@@ -172,7 +184,12 @@ def mix_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     cut = F.least(F.col("hi"), F.col("block") * mix.block + F.col("words")) - F.col("lo")
     taken = parts.join(slots(targets, mix).hint("merge"), ["source_key", "block"]).withColumn("n", cut).filter("n > 0")
     text = F.when(F.col("n") == F.col("hi") - F.col("lo"), F.col("text")).otherwise(_words_of(F.lit(0), F.col("n")))
-    return taken.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
+    return taken.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS, "shard", "place")
+
+
+def in_shards(mixed: DataFrame) -> DataFrame:
+    """The mix with each shard in one partition, in the order of its slots. A shard has a bounded number of words."""
+    return mixed.repartition("shard").sortWithinPartitions("shard", "place", "doc_id")
 
 
 def _words_of(first: Column, n: Column) -> Column:

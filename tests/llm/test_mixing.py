@@ -1,6 +1,7 @@
 import collections
 
-from granary.llm.mixing import Mix, mix_counts, mix_documents, permuted, shard_counts, slots, source_targets, sized
+import xxhash
+from granary.llm.mixing import DOCS_A_BUCKET, Mix, in_shards, mix_counts, mix_documents, permuted, shard_counts, slots, source_targets, sized
 from pyspark.sql import functions as F
 
 
@@ -20,6 +21,69 @@ def plain_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
     return target
 
 
+def hashed(*values):
+    """The engine's 64-bit hash of a row of whole numbers and strings; nulls leave it as it was."""
+    h = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else (v if isinstance(v, bytes) else int(v).to_bytes(8, "little", signed=True))
+            h = xxhash.xxh64_intdigest(data, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def int4(x):
+    return x.to_bytes(4, "little", signed=True)
+
+
+def plain_permuted(x, n, key, rounds=24):
+    for r in range(1, rounds + 1):
+        partner = (hashed(key, int4(r)) % n - x) % n
+        if hashed(key, int4(-r), max(x, partner)) % 2 == 0:
+            x = partner
+    return x
+
+
+def plain_mix(rows, mix):
+    """For each row: words taken, slots that take some, their least and greatest shard; everything word by word."""
+    sizes, of_source = [len((t or "").split()) for _, t, _ in rows], collections.defaultdict(list)
+    for i, (_, _, s) in enumerate(rows):
+        of_source[s].append(i)
+    total = {s: sum(sizes[i] for i in of) for s, of in of_source.items()}
+    target, buckets = plain_targets(total), max(1, len(rows) // DOCS_A_BUCKET)
+    found = {i: (0, []) for i in range(len(rows))}
+    order = sorted(total, key=lambda s: (s is None, s.encode() if s is not None else b""))
+    take = {s: min(round(target[s] + 1e-12), int(2 * total[s])) for s in order}
+    blocks = {s: -(-total[s] // mix.block) for s in order}
+    slots = {s: take[s] // total[s] * blocks[s] + -(-(take[s] % total[s]) // mix.block) if total[s] else 0 for s in order}
+    first = 0
+    for s in order:
+        key = "null" if s is None else "=" + s
+        at = sorted(of_source[s], key=lambda i: (hashed(rows[i][0]) % buckets, rows[i][0], hashed(rows[i][0], rows[i][1]), sizes[i]))
+        owner = [i for i in at for _ in range(sizes[i])]
+        for slot in range(slots[s]):
+            turn, k = divmod(slot, blocks[s])
+            whole = total[s] // mix.block
+            block = plain_permuted(k, whole, hashed(int4(mix.seed), key, turn)) if k < whole else whole
+            here = owner[block * mix.block : (block + 1) * mix.block]
+            if turn == take[s] // total[s]:
+                here = here[: take[s] % total[s] - k * mix.block]
+            shard = plain_permuted(first + slot, sum(slots.values()), hashed(int4(mix.seed), "shards")) // mix.shard_slots
+            for i, n in collections.Counter(here).items():
+                found[i] = (found[i][0] + n, [*found[i][1], shard])
+        first += slots[s]
+    return [(n, len(shards), min(shards, default=None), max(shards, default=None)) for n, shards in found.values()]
+
+
+def test_equal_to_the_plain_version(documents):
+    rows = [(i, t, s) for i, (_, t, s) in enumerate(corpus())] + [(i, " ".join(f"h{i}_{j}" for j in range(i % 90)), "hot") for i in range(200, 900)]
+    mix = Mix(block=16, shard_slots=8)
+    clashing = documents(rows).withColumns({c: F.lit(1) for c in ("size", "start", "bucket", "block", "group", "shard", "tie", "source_key")})
+    out = {r.doc_id: (r.taken, r.pieces, r.first_shard, r.last_shard) for r in mix_counts(clashing, mix).collect()}
+    assert [out[i] for i, _, _ in rows] == plain_mix(rows, mix)
+    long = [(0, "word " * 300_000, "a"), (1, "b c", "b")]
+    assert {r.doc_id: (r.size, r.taken) for r in mix_counts(documents(long)).collect()} == {0: (300_000, 450_003 - 4), 1: (2, 4)}
+
+
 def corpus():
     rows = []
     for i in range(120):
@@ -51,6 +115,8 @@ def test_documents_hold_the_words_taken(documents):
     rows = [r for r in corpus()[:120] if r[0] != 20]
     mix = Mix(block=16, shard_slots=8)
     counts = {r.doc_id: r.taken for r in mix_counts(documents(rows), mix).collect()}
+    mixed = in_shards(mix_documents(documents(rows), mix)).withColumn("part", F.spark_partition_id())
+    assert mixed.groupBy("shard").agg(F.countDistinct("part").alias("n")).filter("n > 1").isEmpty()
     words = collections.Counter()
     allowed = {i: set((t or "").split()) for i, t, _ in rows}
     for r in mix_documents(documents(rows), mix).collect():
