@@ -52,6 +52,21 @@ class Model:
         return np.zeros(GRADES - 1) if z is None else _sigmoid(z - self.thresholds)
 
 
+def loss_and_slopes(z: np.ndarray, thresholds: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean loss of the grades at scores z, its slope in each score and in each threshold."""
+    n, at = len(z), np.arange(len(z))
+    tails = _sigmoid(z[:, None] - thresholds)
+    # The likelihood of a grade is the difference of two neighbouring tails.
+    upper = np.concatenate([np.ones((n, 1)), tails], axis=1)[at, grade]
+    lower = np.concatenate([tails, np.zeros((n, 1))], axis=1)[at, grade]
+    likely = np.maximum(upper - lower, 1e-9)
+    slope = tails * (1 - tails)
+    at_upper = np.concatenate([np.zeros((n, 1)), slope], axis=1)[at, grade]
+    at_lower = np.concatenate([slope, np.zeros((n, 1))], axis=1)[at, grade]
+    by_threshold = [(np.where(grade == k + 1, at_upper, 0.0) - np.where(grade == k, at_lower, 0.0)) @ (1 / likely) / n for k in range(len(thresholds))]
+    return float(-np.log(likely).mean()), -(at_upper - at_lower) / likely / n, np.array(by_threshold)
+
+
 def fit(sample: list[tuple[str, int]], grades: int = GRADES, steps: int = 150, rate: float = 0.3, shrink: float = 1e-5) -> Model:
     """Weights and ordered thresholds that make the sample's grades likely."""
     sample = [(t, y) for t, y in sample if t.split()]
@@ -79,18 +94,7 @@ def fit(sample: list[tuple[str, int]], grades: int = GRADES, steps: int = 150, r
         per_word = weights.value[features].sum(axis=1)
         z = np.bincount(doc, weights=per_word[token] * share, minlength=n) + weights.value[REPEAT] * repeat
         thresholds = first.value[0] + np.concatenate([[0.0], np.cumsum(np.exp(gaps.value))])
-        tails = _sigmoid(z[:, None] - thresholds)
-        # The likelihood of a grade is the difference of two neighbouring tails.
-        upper = np.concatenate([np.ones((n, 1)), tails], axis=1)[np.arange(n), grade]
-        lower = np.concatenate([tails, np.zeros((n, 1))], axis=1)[np.arange(n), grade]
-        likely = np.maximum(upper - lower, 1e-9)
-        slope = tails * (1 - tails)
-        at_upper = np.concatenate([np.zeros((n, 1)), slope], axis=1)[np.arange(n), grade]
-        at_lower = np.concatenate([slope, np.zeros((n, 1))], axis=1)[np.arange(n), grade]
-        g = -(at_upper - at_lower) / likely / n
-        by_threshold = np.zeros(grades - 1)
-        for k in range(grades - 1):
-            by_threshold[k] = (np.where(grade == k + 1, at_upper, 0.0) - np.where(grade == k, at_lower, 0.0)) @ (1 / likely) / n
+        _, g, by_threshold = loss_and_slopes(z, thresholds, grade)
         by_word = np.bincount(token, weights=g[doc] * share, minlength=len(known))
         gradient = sum(np.bincount(column, weights=by_word, minlength=SLOTS) for column in features.T)
         gradient[REPEAT] += g @ repeat

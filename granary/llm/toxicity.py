@@ -59,7 +59,17 @@ class Model:
         return words, starts, np.add.reduceat(values, starts) + self.bias
 
     def score(self, text: str) -> float:
-        return float(-np.expm1(_log_clean(self.sentences(text)[2]).sum()))
+        return float(-np.expm1(_log_clean(self.sentences(text)[2]).sum())) + 0.0  # never -0.0
+
+
+def loss_and_slopes(z: np.ndarray, doc: np.ndarray, label: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean loss of documents labelled `label`, whose sentences `doc` have logits z, and its slope in each logit."""
+    p = 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
+    log_clean = np.maximum(np.bincount(doc, weights=_log_clean(z), minlength=len(label)), -40.0)
+    clean = np.exp(log_clean)
+    loss = -np.where(label, np.log(np.maximum(1.0 - clean, 1e-6)), log_clean).mean()
+    # d loss / d z is p for clean documents, and -p * clean / (1 - clean) for toxic ones.
+    return float(loss), np.where(label[doc], -p * (clean / np.maximum(1.0 - clean, 1e-6))[doc], p) / len(label)
 
 
 def fit(sample: list[tuple[str, int]], steps: int = 80, rate: float = 0.2, pull: float = 1e-3) -> Model:
@@ -86,10 +96,7 @@ def fit(sample: list[tuple[str, int]], steps: int = 80, rate: float = 0.2, pull:
     for _ in range(steps):
         per_word = weights.value[features].sum(axis=1)
         z = np.bincount(sentence, weights=per_word[token], minlength=len(start)) + bias.value[0]
-        p = 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
-        clean = np.exp(np.maximum(np.bincount(doc, weights=_log_clean(z), minlength=len(sample)), -40.0))
-        # d loss / d z is p for clean documents, and -p * clean / (1 - clean) for toxic ones.
-        g = np.where(label[doc], -p * (clean / np.maximum(1.0 - clean, 1e-6))[doc], p) / len(sample)
+        _, g = loss_and_slopes(z, doc, label)
         by_word = np.bincount(token, weights=g[sentence], minlength=len(known))
         gradient = sum(np.bincount(column, weights=by_word, minlength=SLOTS) for column in features.T)
         weights.step(np.where(usable, gradient * 100, 0.0))
