@@ -6,7 +6,7 @@ until it is one value wide. A last pass keeps the scores not below the kth and b
 themselves never leave a block before that: only bin counts do, and of those only the bins at or above the block's own
 kth score, for the kth of all can't be lower.
 
-Scores are inner products of whole numbers; they are exact while they stay below 2 ** 53. Blocks hold a bounded number
+Scores are inner products of whole numbers, exact below 2 ** 53; vectors that could reach that raise an error. Blocks hold a bounded number
 of vectors; a block of queries meets each block of candidates once a pass.
 
 Queries and candidates follow the rules in `vectors`; an empty table gives no rows, and a query with fewer candidates
@@ -30,7 +30,8 @@ K = 20
 EVERY = 20
 SCALE = 64.0
 BINS = 128
-QUERY_BLOCK, CANDIDATE_BLOCK = 1024, 4096
+#: Each candidate goes to each block of queries: large ones, scored a slice at once.
+QUERY_BLOCK, QUERY_SLICE, CANDIDATE_BLOCK = 8192, 1024, 4096
 
 
 def quantised(rows: DataFrame) -> DataFrame:
@@ -72,8 +73,12 @@ def _counts(row, k: int, bins: int, top: int) -> pd.DataFrame:
     q, c = matrix(row.q_vectors, row.width), matrix(row.c_vectors, row.width)
     keys = np.frombuffer(row.q_keys, np.int64)
     low, wide = _ranges(row.states, len(keys), top, bins)
-    scores = _scores(q, c)
     times = np.fromiter(map(len, row.c_ids), np.int64, len(c))
+    return pd.concat([_counts_of(row, keys[i : i + QUERY_SLICE], q[i : i + QUERY_SLICE], c, times, low[i : i + QUERY_SLICE], wide[i : i + QUERY_SLICE], k, bins) for i in range(0, len(keys), QUERY_SLICE)])
+
+
+def _counts_of(row, keys: np.ndarray, q: np.ndarray, c: np.ndarray, times: np.ndarray, low: np.ndarray, wide: np.ndarray, k: int, bins: int) -> pd.DataFrame:
+    scores = _scores(q, c)
     high = low + wide * bins
     # The bins go down from high: bin 0 is the highest. What lies above the range was counted in the pass before.
     at = np.floor((high[:, None] - 1 - scores) / wide[:, None]).astype(np.int64)
@@ -110,6 +115,8 @@ def select_topk(queries: DataFrame, candidates: DataFrame, k: int, bins: int = B
     norms = candidates.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     others = queries.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     top = math.isqrt(math.ceil((norms or 0.0) * (others or 0.0))) + 1
+    if top >= 1 << 53:
+        raise ValueError("scores may pass 2 ** 53, where doubles are no longer exact")
     states = None
     widths = _passes(top, bins)
     ranges: DataFrame | None = None
@@ -165,12 +172,17 @@ def _kept(row, k: int) -> pd.DataFrame:
     """The scores of one pair of blocks that are not below the query's kth, at most k a query."""
     keys = np.frombuffer(row.q_keys, np.int64)
     least, _ = np.frombuffer(row.states, np.float64).reshape(-1, 2).T
-    scores = _scores(matrix(row.q_vectors, row.width), matrix(row.c_vectors, row.width))
-    q_row, c_row = np.nonzero(scores >= least[:, None])
+    q, c = matrix(row.q_vectors, row.width), matrix(row.c_vectors, row.width)
+    found = []
+    for i in range(0, len(keys), QUERY_SLICE):
+        scores = _scores(q[i : i + QUERY_SLICE], c)
+        at = np.nonzero(scores >= least[i : i + QUERY_SLICE, None])
+        found.append((at[0] + i, at[1], scores[at]))
+    q_row, c_row, scores = map(np.concatenate, zip(*found, strict=True))
     ids = [row.c_ids[c] for c in c_row]
     times = np.fromiter(map(len, ids), np.int64, len(ids))
     flat = np.concatenate([np.asarray(x, np.int64) for x in ids]) if ids else np.zeros(0, np.int64)
-    q_row, score = np.repeat(q_row, times), np.repeat(scores[q_row, c_row], times).astype(np.int64)
+    q_row, score = np.repeat(q_row, times), np.repeat(scores, times).astype(np.int64)
     order = np.lexsort((flat, -score, q_row))
     q_row, score, flat = q_row[order], score[order], flat[order]
     place = np.arange(len(q_row)) - np.searchsorted(q_row, q_row)

@@ -36,6 +36,7 @@ CONTEXT = {
 }
 PRIOR = {"email": 0.85, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
 CONTEXT_CHARS = 48
+CHUNK = 512
 
 
 def luhn_valid(digits: Column) -> Column:
@@ -86,12 +87,18 @@ def _spans(kind: str, text: Column, matches: Column) -> Column:
     between = F.split(text, PATTERNS[kind], -1)
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(matches)).alias("gap"), matches.alias("hit"))
 
-    def place(done: Column, pair: Column) -> Column:
-        last = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0))
+    def place(done: Column, pair: Column, base: Column) -> Column:
+        last = F.coalesce(F.try_element_at(done, F.lit(-1))["end"], base)
         start = last + F.length(pair["gap"])
         return F.array_append(done, F.struct(start.alias("start"), (start + F.length(pair["hit"])).alias("end"), pair["hit"].alias("hit")))
 
-    placed = F.aggregate(pairs, F.lit(None).cast("array<struct<start:int,end:int,hit:string>>"), lambda a, x: place(F.coalesce(a, F.array().cast("array<struct<start:int,end:int,hit:string>>")), x))
+    # A fold copies what it has gathered at each step: it runs over chunks of matches, from where each chunk begins.
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / CHUNK).cast("int")), lambda i: F.slice(pairs, i * CHUNK + 1, F.lit(CHUNK)))
+    lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["hit"])))
+    bases = F.aggregate(lengths, F.array(F.lit(0)), lambda done, n: F.array_append(done, F.element_at(done, -1) + n))
+    empty = F.array().cast("array<struct<start:int,end:int,hit:string>>")
+    spans = F.zip_with(chunks, F.slice(bases, F.lit(1), F.size(chunks)), lambda c, base: F.aggregate(c, empty, lambda done, x: place(done, x, base)))
+    placed = F.flatten(spans)
     valid = F.filter(placed, lambda x: _confirmed(kind, x["hit"]))
 
     def scored(x: Column) -> Column:
@@ -109,14 +116,15 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Confirmed matches only. A null or empty text has none; the columns of docs stay (a column named spans is replaced).
     """
-    out = docs.withColumn("_t", F.coalesce(F.col(text), F.lit("")))
+    others = [c for c in docs.columns if c != "spans"]
+    out = docs.select(F.struct(*others).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     none = F.array().cast("array<string>")
     for kind, pattern in PATTERNS.items():
-        found = F.regexp_extract_all(F.col("_t"), F.lit(pattern), F.lit(0))
-        out = out.withColumn(f"_m_{kind}", F.when(F.contains(F.col("_t"), F.lit(NEEDED[kind])), found).otherwise(none) if kind in NEEDED else found)
+        found = F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0))
+        out = out.withColumn(f"m_{kind}", F.when(F.contains(F.col("text"), F.lit(NEEDED[kind])), found).otherwise(none) if kind in NEEDED else found)
     for kind in PATTERNS:
-        out = out.withColumn(f"_s_{kind}", F.when(F.size(f"_m_{kind}") > 0, _spans(kind, F.col("_t"), F.col(f"_m_{kind}"))).otherwise(F.array().cast(f"array<{SPAN}>")))
-    return out.withColumn("spans", F.array_sort(F.concat(*(F.col(f"_s_{k}") for k in PATTERNS)))).drop("_t", *(f"_{p}_{k}" for k in PATTERNS for p in "ms"))
+        out = out.withColumn(f"s_{kind}", F.when(F.size(f"m_{kind}") > 0, _spans(kind, F.col("text"), F.col(f"m_{kind}"))).otherwise(F.array().cast(f"array<{SPAN}>")))
+    return out.select("row.*", F.array_sort(F.concat(*(F.col(f"s_{k}") for k in PATTERNS))).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:

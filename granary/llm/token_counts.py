@@ -14,6 +14,7 @@ Null texts count as empty: 0 bytes, 0 tokens. Repeated rows come back as often a
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from granary.llm.common import table, text_or_empty
 
 BLANK = "▁"
-WORDS_KEPT = 1_000_000
+#: Words, and pairs of pieces, that a worker keeps; longer words aren't kept (but for a note of so many bytes of them).
+WORDS_KEPT, LONGEST_KEPT, LONG_BYTES = 700_000, 64, 4 << 20
 LIMIT = 4096
 MODEL = "piece_bpe_32k.model"
 
@@ -132,12 +134,14 @@ class PrefixCounter:
             for part in parts:
                 run += 1
                 if part:
-                    total += self._with_run(run, words[part], part in words.lone)
+                    n = words[part]
+                    total += self._with_run(run, n, part in words.lone)
                     run = 0
             total += self._run(run)
-        if len(words) > WORDS_KEPT:
+        if len(words) > WORDS_KEPT or words.long > LONG_BYTES:
             words.clear()
             words.lone.clear()
+            words.long = 0
         if len(self._pairs) > WORDS_KEPT:
             self._pairs.clear()
         return total
@@ -162,6 +166,21 @@ class PrefixCounter:
         return np.array(out, dtype=np.int64)
 
 
+    def longest_prefix(self, text: str, n: int, budget: int) -> int:
+        """Characters of the longest prefix whose own encoding has at most budget tokens, of a text with n tokens.
+
+        Only as much of the table as the budget reaches into is made: counts at the ends of words never fall."""
+        upto = len(text) if n <= budget else 4 * budget + 1
+        if n <= budget:
+            return upto
+        while True:
+            end = text.find(" ", upto)
+            table = self.prefixes(text if end < 0 else text[:end])
+            if end < 0 or table[-1] > budget:
+                return int(np.flatnonzero(table <= budget)[-1])
+            upto *= 2
+
+
 class _Words(dict):
     """For each word seen, its count with the blank before it; lone: the words whose blank is a piece of its own."""
 
@@ -169,12 +188,16 @@ class _Words(dict):
         super().__init__()
         self._counter = counter
         self.lone: set[str] = set()
+        self.long = 0
 
     def __missing__(self, word: str) -> int:
         counts, lone = self._counter.table_of(BLANK + word)
         if lone[-1]:
             self.lone.add(word)
-        self[word] = counts[-1]
+        if len(word) <= LONGEST_KEPT:
+            self[word] = counts[-1]
+        else:
+            self.long += len(word)
         return counts[-1]
 
 
@@ -189,18 +212,20 @@ def _texts(batch: pa.RecordBatch) -> list[str]:
 
 
 def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes (of UTF-8), n_tokens, over_limit."""
+    """doc_id, n_bytes (of UTF-8), n_tokens, over_limit, fitting_chars: characters of the longest prefix within the limit."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer_path(model)).count
+        tables = counter(tokenizer_path(model))
         for batch in batches:
-            n = pa.array([count(t) for t in _texts(batch)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], ["doc_id", "n_bytes", "n_tokens"])
+            texts = _texts(batch)
+            n = [tables.count(t) for t in texts]
+            fitting = pa.array(map(tables.longest_prefix, texts, n, itertools.repeat(limit)), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(n, pa.int64()), fitting], ["doc_id", "n_bytes", "n_tokens", "fitting_chars"])
 
     rows = docs.select("doc_id", "text", F.octet_length(text_or_empty()).cast("long").alias("n_bytes"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(counted, f"doc_id {kind}, n_bytes long, n_tokens long")
-    return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    out = rows.mapInArrow(counted, f"doc_id {kind}, n_bytes long, n_tokens long, fitting_chars long")
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fitting_chars")
 
 
 def prefix_tables(docs: DataFrame, model: str = MODEL) -> DataFrame:

@@ -1,7 +1,7 @@
 from collections import defaultdict
 
 from granary.llm.line_dedup import Spread, dedup_lines
-from hypothesis import strategies as st  # noqa: F401
+from pyspark.sql import functions as F
 
 
 def plain(rows, sites=3, least=5):
@@ -46,3 +46,14 @@ def test_empty_table_and_long_text(documents):
     assert dedup_lines(documents(["a"]).limit(0)).count() == 0
     long = "x y z w v " * 50_000
     assert dedup_lines(documents([long])).first().text == long
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(documents):
+    text = "\n".join(f"this line stands on every site {i}" for i in range(3))
+    rows = [(i, text, f"s{i}") for i in range(5)] + [(2, text, "s2"), (None, text, "s7"), (None, "own words only in this line", "s8")]
+    clashing = documents(rows).withColumns({c: F.lit(1) for c in ("tie", "place", "line", "site", "cut", "stays", "raw")})
+    out = sorted(((str(r.doc_id), r.n_removed, r.text) for r in dedup_lines(clashing).collect()))
+    assert len(out) == len(rows)
+    # Nulls come first: the row without an id keeps the lines.
+    assert out[-2:] == [("None", 0, "own words only in this line"), ("None", 0, text)]
+    assert all(r[1:] == (3, "") for r in out[:-2])

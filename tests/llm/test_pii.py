@@ -20,6 +20,7 @@ TEXTS = [
     "account DE89 3704 0044 0532 0130 00, not DE88370400440532013000",
     "7" * 70_000 + " " + "a" * 70_000 + " " + "1 " * 30_000,
     "x@y.zz " * 300,
+    "x@y.zz  é 1.2.3.4 " * 20_000,
 ]
 
 
@@ -61,4 +62,6 @@ def test_checksums_and_context(documents):
 def test_empty_table_and_clashing_columns(documents, spark):
     docs = documents(["x@y.zz"])
     assert digest(find_personal_data(docs.limit(0))).count() == 0
-    assert digest(find_personal_data(docs.withColumnRenamed("lang", "spans").withColumnRenamed("source", "_t"))).first().n_email == 1
+    found = find_personal_data(docs.withColumnRenamed("lang", "spans").withColumnsRenamed({"source": "row", "n_chars": "m_email"}))
+    assert found.columns == ["doc_id", "text", "row", "m_email", "spans"] and found.first().row == "s0"
+    assert digest(found).first().n_email == 1

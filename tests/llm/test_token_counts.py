@@ -34,7 +34,17 @@ def test_rows(documents):
     assert [rows[i].n_tokens for i in range(5)] == [len(LIBRARY.encode(t or "")) for t in texts]
     assert [rows[i].n_bytes for i in range(5)] == [len((t or "").encode()) for t in texts]
     assert [rows[i].over_limit for i in range(5)] == [False] * 4 + [True]
+    assert [rows[i].fitting_chars for i in range(4)] == [0, 0, 11, 11]
     assert count_tokens(documents(texts).limit(0)).count() == 0
+    clashing = documents(texts).withColumnsRenamed({"n_chars": "n_bytes", "lang": "n_tokens", "source": "fitting_chars"})
+    assert sorted(map(str, count_tokens(clashing).collect())) == sorted(map(str, rows.values()))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(list(" abtheing.\né日▁😀") + ["  ", "the "]), max_size=60).map("".join), st.integers(1, 12))
+def test_the_longest_prefix_within_a_budget(text, budget):
+    fitting = [k for k in range(len(text) + 1) if len(LIBRARY.encode(text[:k])) <= budget]
+    assert COUNTER.longest_prefix(text, COUNTER.count(text), budget) == max(fitting)
 
 
 def test_budgets_are_answered_from_the_table(documents):
