@@ -101,6 +101,10 @@ def folder_ids(path: Column) -> Column:
     return F.transform(parts, lambda p: F.substring(p, F.lit(3), F.length(p)))
 
 
+# Fixed value: what windows of ideographs are worth in a rank.
+FALLBACK_WEIGHT = 0.08
+
+
 def weighted_terms(text: Column, tokens: Column, strict: list[str], loose: list[str], phrases: list[tuple[str, float]], words: list[tuple[str, float]]) -> Column:
     """A lexical rank: all strict tokens, any loose tokens (by the share found), and boosts for up to three phrases and terms."""
     found = lambda wanted: F.size(F.array_intersect(tokens, F.array(*map(F.lit, wanted)).cast("array<string>")))

@@ -31,13 +31,21 @@ def strip(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of blanks as one blank, none at the ends."""
-    return strip(F.regexp_replace(c, r"[\s　]+", " "))
+    return F.btrim(F.regexp_replace(c, r"[\s\u3000]+", " "), F.lit(" "))
+
+
+#: One mark or blank of those that separate lexical tokens.
+_SEPARATOR = "[" + "".join("\\" + c if c.isascii() else c for c in LEXICAL_PUNCTUATION) + r"\s\u3000]"
 
 
 def normalize_lexical(c: Column | str) -> Column:
     """Lower case, punctuation and line ends as blanks, blanks drawn together."""
-    spaces = " " * len(LEXICAL_PUNCTUATION)
-    return collapse(F.translate(F.lower(col(c)), LEXICAL_PUNCTUATION, spaces))
+    return F.btrim(F.regexp_replace(F.lower(col(c)), f"{_SEPARATOR}+", " "), F.lit(" "))
+
+
+def lexical_tokens(c: Column | str) -> Column:
+    """The distinct words of the normalised text."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(col(c)), f"{_SEPARATOR}+")), "")
 
 
 def ascii_terms(c: Column | str) -> Column:

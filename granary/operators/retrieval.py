@@ -48,14 +48,13 @@ def best_of_each(rows: DataFrame, by: str, k: int, order: list[Column]) -> DataF
 
 
 def lexical_recall(rows: DataFrame, strict: list[str], loose: list[str], phrases: list[tuple[str, float]], words: list[tuple[str, float]], k: int, body: str = "text", tie: str = "doc_id") -> DataFrame:
-    """Rows that hold all strict or any loose token; phrases and words only add to the score."""
-    tokens = F.array_distinct(F.split(text.normalize_lexical(body), " "))
-    both = rows.withColumn("tokens", tokens)
+    """Rows that hold all strict or any loose token; phrases and words only add to the score.
+
+    Tokens are made once, behind a generator, for the test and for the score."""
+    once = rows.select("*", F.explode(F.array(F.struct(text.lexical_tokens(body).alias("tokens"), F.lower(body).alias("lowered")))).alias("_x"))
     wanted = F.array(*map(F.lit, dict.fromkeys([*strict, *loose]))).cast("array<string>")
-    strict_ok = F.size(F.array_except(F.array(*map(F.lit, strict)).cast("array<string>"), F.col("tokens"))) == 0 if strict else F.lit(False)
-    hit = both.filter(strict_ok | F.arrays_overlap("tokens", wanted))
-    score = text.lexical_score(scoring.weighted_terms(F.col(body), F.col("tokens"), strict, loose, phrases, words))
-    return hit.withColumn("score", F.round(score, 4)).orderBy(F.desc("score"), tie).limit(k).drop("tokens")
+    score = text.lexical_score(scoring.weighted_terms(F.col("_x.lowered"), F.col("_x.tokens"), strict, loose, phrases, words))
+    return once.filter(F.arrays_overlap("_x.tokens", wanted)).withColumn("score", F.round(score, 4)).orderBy(F.desc("score"), tie).limit(k).drop("_x")
 
 
 def fuse(hits: DataFrame, search: Search) -> DataFrame:
