@@ -19,6 +19,9 @@ QUESTION_WORDS = ("如何", "怎么", "为什么", "原因", "是否", "能否",
 ANSWER_WORDS = ("步骤", "处理", "解决", "配置", "设置", "排查", "修复", "原因", "办法")
 TABLE_WORDS = ("统计", "汇总", "合计", "平均", "同比", "环比", "筛选", "地区", "年份", "产品")
 
+# Headings of a question-and-answer row.
+QA_HEADINGS = {"question": "问题", "similar": "相似问题", "category": "分类", "tags": "标签", "answer": "答案"}
+
 
 def col(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
@@ -295,7 +298,9 @@ def row_hash(row: Column) -> Column:
 
 
 def qa_markdown(question: Column, answer: Column, similar: Column, category: Column, tags: Column) -> Column:
-    """A question-and-answer row as Markdown; parts that are empty are left out."""
-    bullets = F.array_join(F.transform(similar, lambda s: F.concat(F.lit("- "), s)), "\n")
-    part = lambda title, body: F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(f"## {title}\n"), body))
-    return F.concat_ws("\n\n", part("Question", question), part("Similar questions", bullets), part("Answer", answer), part("Category", category), part("Tags", F.array_join(tags, ", ")))
+    """A question-and-answer row as Markdown; parts that are empty are left out, but for the question and the answer."""
+    bullets = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
+    part = lambda name, body: F.concat(F.lit(f"## {QA_HEADINGS[name]}\n"), body)
+    filled = lambda name, body: F.when(F.coalesce(body, F.lit("")) != "", part(name, body))
+    return strip(F.concat_ws("\n\n", part("question", col(question)), filled("similar", bullets(similar)), filled("category", category), filled("tags", bullets(tags)), part("answer", col(answer))))
+

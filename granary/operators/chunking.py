@@ -44,9 +44,13 @@ def packed(pieces: Column, budget: int, joiner: str, size=F.length, overlap: int
 
     A piece over the budget stands alone. size(piece) is taken once a piece; joiners don't count.
     """
+    return packed_sized(F.transform(pieces, lambda p: F.struct(p.alias("p"), size(p).cast("long").alias("n"))), budget, joiner, overlap)
+
+
+def packed_sized(sized: Column, budget: int, joiner: str, overlap: int = 0) -> Column:
+    """As `packed`, of pieces with their sizes: structs of p and n. Finished chunks are copied only as one is added."""
     kind = "struct<done:array<string>,open:array<struct<p:string,n:bigint>>,sum:bigint>"
     start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<struct<p:string,n:bigint>>").alias("open"), F.lit(0).cast("long").alias("sum"))
-    sized = F.transform(pieces, lambda p: F.struct(p.alias("p"), size(p).cast("long").alias("n")))
     text = lambda open_: F.array_join(F.transform(open_, lambda x: x["p"]), joiner)
     total = lambda open_: F.aggregate(open_, F.lit(0).cast("long"), lambda a, x: a + x["n"])
 
