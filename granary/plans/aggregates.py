@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text
+from granary.operators import layout
 from granary.plans.registry import query
 from granary.sources.tables import table
 
@@ -69,7 +70,9 @@ def retrieval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The box around all elements of a page."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page")).agg(F.min("l_linenumber").alias("x0"), F.min("l_quantity").alias("y0"), F.max("l_linenumber").alias("x1"), F.max("l_quantity").alias("y1"))
+    q = F.col("l_quantity")
+    elements = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("x0"), q.alias("y0"), F.col("l_linenumber").alias("x1"), q.alias("y1"))
+    return layout.boxes(elements, "page")
 
 
 VOTE_SQL = """
@@ -99,8 +102,7 @@ def type_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fused_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of readings that fall into one bucket the one of best confidence, originals favoured."""
     conf = F.col("value") + F.when(F.col("event_type") == "view", 3).otherwise(0)
-    rows = table(spark, sf_dir, "events").select(F.floor(F.col("value") / 5).alias("bucket"), "event_id", conf.alias("conf"))
-    return rows.groupBy("bucket").agg(F.max_by("event_id", F.struct("conf", "event_id")).alias("event_id"), F.max("conf").alias("conf"))
+    return layout.best_readings(table(spark, sf_dir, "events").withColumn("bucket", F.floor(F.col("value") / 5)), ["bucket"], "event_id", conf)
 
 
 @query(
@@ -109,9 +111,8 @@ def fused_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def repeated_signatures_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows without those whose signature recurs on a large share of the pages, as headers and footers do."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.round(F.col("l_quantity") / 5).alias("y"))
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("l_suppkey", "y"))).withColumn("pages", F.count("*").over(Window.partitionBy("l_suppkey")))
-    return rows.filter(~((F.col("pages") >= 3) & (F.col("n") >= F.floor(0.15 * F.col("pages"))))).select("l_orderkey", "l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    return layout.without_repeated(rows, "l_suppkey", F.round(F.col("l_quantity") / 5)).select("l_orderkey", "l_linenumber")
 
 
 @query(
@@ -120,14 +121,14 @@ def repeated_signatures_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def weighted_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The commonest size of each document, weighted by characters."""
-    sizes = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("doc"), F.round("l_quantity", 0).alias("size")).agg(F.sum("l_linenumber").alias("chars"))
-    return sizes.groupBy("doc").agg(F.max_by("size", F.struct(F.col("chars"), -F.col("size"))).alias("body_size"), F.max("chars").alias("chars"))
+    spans = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "doc")
+    return layout.body_size(spans, "doc", "l_quantity", "l_linenumber")
 
 
-@query("SELECT lower(left(text, 4)) AS question, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT lower(trim(p_name)) AS question, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")
 def duplicate_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Openings that more than one message has, without regard to case."""
-    return table(spark, sf_dir, "conversations").groupBy(F.lower(F.substring("text", 1, 4)).alias("question")).agg(F.count("*").alias("n")).filter("n > 1")
+    """Questions that more than one row has, without regard to case and blanks at the ends; here part names."""
+    return table(spark, sf_dir, "part").groupBy(F.lower(F.trim("p_name")).alias("question")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 @query(

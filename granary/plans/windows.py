@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.operators import layout
 from granary.plans.registry import query
 from granary.sources.tables import table
 
@@ -93,11 +94,8 @@ def gap_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of a page split into two columns where they spread widely, and read column by column."""
-    page = Window.partitionBy("l_orderkey")
-    low, high = F.min("l_quantity").over(page), F.max("l_quantity").over(page)
-    rows = table(spark, sf_dir, "lineitem").withColumn("spread", high - low).withColumn("mid", (high + low) / 2)
-    rows = rows.withColumn("col", F.when((F.col("spread") > 10) & (F.col("l_quantity") >= F.col("mid")), 2).otherwise(1))
-    return rows.select("l_orderkey", "l_linenumber", "col", F.row_number().over(page.orderBy("col", "l_shipdate", "l_linenumber")).alias("reading_order"))
+    rows = layout.two_columns(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_quantity", ["l_shipdate", "l_linenumber"], 10.0)
+    return rows.select("l_orderkey", "l_linenumber", "col", "reading_order")
 
 
 @query(
