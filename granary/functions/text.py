@@ -302,5 +302,5 @@ def qa_markdown(question: Column, answer: Column, similar: Column, category: Col
     bullets = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
     part = lambda name, body: F.concat(F.lit(f"## {QA_HEADINGS[name]}\n"), body)
     filled = lambda name, body: F.when(F.coalesce(body, F.lit("")) != "", part(name, body))
-    return strip(F.concat_ws("\n\n", part("question", col(question)), filled("similar", bullets(similar)), filled("category", category), filled("tags", bullets(tags)), part("answer", col(answer))))
+    return strip(F.concat_ws("\n\n", part("question", strip(col(question))), filled("similar", bullets(similar)), filled("category", category), filled("tags", bullets(tags)), part("answer", strip(col(answer)))))
 

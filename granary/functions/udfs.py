@@ -70,16 +70,8 @@ def embed(df: DataFrame, body: str, dimensions: int = 64) -> DataFrame:
 
 
 def register_all(spark: SparkSession) -> None:
-    """SQL names for functions that have none of their own."""
-
-    @F.udtf(returnType="position int, content string")
-    class FixedChunks:
-        """fixed_chunks(text, size, overlap): windows of a text, for use in SQL with LATERAL."""
-
-        def eval(self, text: str, size: int, overlap: int):
-            if not 0 <= overlap < size:
-                raise ValueError("overlap must be less than size")
-            for i, at in enumerate(range(0, len(text or ""), size - overlap)):
-                yield i, text[at : at + size]
-
-    spark.udtf.register("fixed_chunks", FixedChunks)
+    """SQL names for functions that have none of their own: fixed_chunks(text, size, overlap), windows of a text, for LATERAL."""
+    spark.sql(
+        """CREATE OR REPLACE TEMPORARY FUNCTION fixed_chunks(body STRING, size INT, overlap INT) RETURNS TABLE (position INT, content STRING)
+        RETURN SELECT p, substring(body, p * (size - overlap) + 1, size) FROM (SELECT explode(IF(length(body) > 0, sequence(0, CAST((length(body) - 1) DIV (size - overlap) AS INT)), CAST(array() AS ARRAY<INT>))) AS p)"""
+    )

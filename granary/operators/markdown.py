@@ -117,8 +117,7 @@ def section_chunks(sections: DataFrame, key: str, size: int, limit: int) -> Data
     """
     units, head = mixed_units("content"), mixed_units("path")
     whole = (units < 1.5 * size) & (units + head <= limit)
-    # The path's length differs by section: pieces are cut for the least room any path leaves.
-    budget = min(size, max(1, limit - 60))
+    budget = F.least(F.lit(size).cast("long"), F.greatest(F.lit(1).cast("long"), F.lit(limit) - head))
     children = merge_small(packed(F.filter(F.split("content", r"\n\s*\n|\n"), lambda x: strip(x) != ""), budget, "\n", size=mixed_units), max(1, size // 4), budget)
     cut = sections.filter(strip(F.col("content")) != "").select(key, "section", "path", "content", units.alias("units"), whole.alias("whole")).withColumn("children", F.when(F.col("whole"), F.array("content")).otherwise(children))
     leaves = cut.select(key, "section", F.when(F.col("whole"), "section").otherwise("child").alias("role"), F.posexplode("children").alias("position", "content"))

@@ -53,11 +53,11 @@ def complex_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH l AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations)
-    SELECT conv_id, section::BIGINT AS section, max(CASE WHEN role = 'user' THEN rtrim(left(regexp_replace(text, '[\\s#]+', ' ', 'g'), 30)) END) AS heading, count(CASE WHEN role <> 'user' THEN 1 END) AS n_lines FROM l WHERE section > 0 GROUP BY 1, 2""".replace("\\\\", "\\")
+    SELECT conv_id, section::BIGINT AS section, max(CASE WHEN role = 'user' THEN trim(regexp_replace(text, '[\\s#]+', ' ', 'g')) END) AS heading, count(CASE WHEN role <> 'user' THEN 1 END) AS n_lines FROM l WHERE section > 0 GROUP BY 1, 2""".replace("\\\\", "\\")
 )
 def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown sections; here user turns are headings of a conversation's text."""
-    flat = F.substring(F.regexp_replace("text", r"[\s#]+", " "), 1, 30)
+    flat = F.regexp_replace("text", r"[\s#]+", " ")
     line = F.when(F.col("role") == "user", F.concat(F.lit("## "), flat)).otherwise(F.concat(F.lit("x "), F.regexp_replace("text", r"[\s#]+", " ")))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])
     whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(parts, "\n").alias("body"))

@@ -68,11 +68,11 @@ def bound_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.bound_collections(saved, drafts, collections).select("session_id", "kb_id", "role", "place")
 
 
-@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 45) AND s_suppkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7 AND l_quantity > 49) AND s_suppkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def deletable_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags that no binding of two kinds uses."""
     tags = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tag_id"))
-    used = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_suppkey").alias("tag_id"))
+    used = table(spark, sf_dir, "lineitem").filter("l_linenumber = 7 AND l_quantity > 49").select(F.col("l_suppkey").alias("tag_id"))
     more = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").cast("long").alias("tag_id"))
     return control.deletable(tags, used, more).select(F.col("tag_id").alias("s_suppkey"))
 

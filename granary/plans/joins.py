@@ -117,14 +117,9 @@ def neighbor_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "text", joined("previous").alias("previous"), joined("next").alias("next"))
 
 
-@query(
-    """SELECT u.user_id, u.n, o.n_orders FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) u JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY 1) o ON u.user_id = o.o_custkey
-    WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.event_type = 'purchase' AND e.value > 250)"""
-)
+@query("SELECT c_custkey AS user_id, count(*) AS n_orders FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = c_custkey AND e.event_type = 'purchase') GROUP BY 1")
 def due_without_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Joined work that has nothing in flight."""
-    events = table(spark, sf_dir, "events")
-    running = events.filter("event_type = 'purchase' and value > 250").select("user_id")
-    per_user = events.groupBy("user_id").agg(F.count("*").alias("n"))
-    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("n_orders"))
-    return per_user.join(orders, "user_id").join(running, "user_id", "left_anti")
+    """Joined work that is due and has nothing in flight."""
+    running = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select("user_id")
+    due = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey")
+    return due.groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("n_orders")).join(running, "user_id", "left_anti")

@@ -70,9 +70,9 @@ def list_joined_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_log_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equality and a closed time range."""
     events = table(spark, sf_dir, "events")
-    first = events.agg(F.min("ts").alias("first"))
-    inside = F.col("ts").between(F.col("first") + F.expr("INTERVAL 1 DAY"), F.col("first") + F.expr("INTERVAL 3 DAYS"))
-    return events.filter("event_type = 'click'").join(F.broadcast(first), inside).select("event_id", "user_id", "event_type", "ts")  # one row
+    first = events.agg(F.min("ts")).scalar()  # a subquery's value: the range reaches the scan
+    inside = F.col("ts").between(first + F.expr("INTERVAL 1 DAY"), first + F.expr("INTERVAL 3 DAYS"))
+    return events.filter((F.col("event_type") == "click") & inside).select("event_id", "user_id", "event_type", "ts")
 
 
 @query("SELECT o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 1")

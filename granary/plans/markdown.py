@@ -19,27 +19,40 @@ def _order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(body.alias("body"), F.count("*").alias("n"))
 
 
-@query("SELECT l_orderkey, count(*) AS n_rows FROM lineitem GROUP BY 1")
+ROW = "'| ' || l_linenumber || ' | ' || l_partkey || ' | ' || l_returnflag || ' | ' || l_linestatus || ' |'"
+HEAD = "'| no | part | flag | status |' || chr(10) || '| --- | --- | --- | --- |'"
+
+
+@query(
+    f"""WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, {ROW}) - 1 AS i, {ROW} AS r FROM lineitem)
+    SELECT l_orderkey, (i // 4)::INT AS part, {HEAD} || chr(10) || string_agg(r, chr(10) ORDER BY i) AS content FROM r GROUP BY 1, 2"""
+)
 def split_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables split with their headers repeated: all rows are in the parts, counted again here."""
-    parts = _order_tables(spark, sf_dir).select("l_orderkey", F.explode(markdown.split_table(F.col("body"), 40)).alias("part"))
-    return parts.groupBy("l_orderkey").agg(F.sum(F.size(F.split("part", "\n")) - 2).alias("n_rows"))
+    """Tables split with their headers repeated: a row has nine units, so that four are in each part."""
+    return _order_tables(spark, sf_dir).select("l_orderkey", F.posexplode(markdown.split_table(F.col("body"), 40)).alias("part", "content"))
 
 
-@query("SELECT l_orderkey, 2::BIGINT AS parts FROM lineitem GROUP BY 1")
+@query(
+    f"""WITH r AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, {ROW}) AS i, l_linenumber AS no, l_partkey AS part, l_returnflag AS flag, l_linestatus AS status FROM lineitem)
+    SELECT l_orderkey, 0 AS part, '| no | part | flag |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || no || ' | ' || part || ' | ' || flag || ' |', chr(10) ORDER BY i) AS content FROM r GROUP BY 1
+    UNION ALL SELECT l_orderkey, 1, '| no | status |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || no || ' | ' || status || ' |', chr(10) ORDER BY i) FROM r GROUP BY 1"""
+)
 def split_wide_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four columns in groups of three that keep the first."""
-    return _order_tables(spark, sf_dir).select("l_orderkey", F.size(markdown.split_wide_table(F.col("body"), 3)).cast("long").alias("parts"))
+    return _order_tables(spark, sf_dir).select("l_orderkey", F.posexplode(markdown.split_wide_table(F.col("body"), 3)).alias("part", "content"))
 
 
-@query("SELECT l_orderkey, count(*) AS items FROM lineitem GROUP BY 1")
+@query(
+    """WITH l AS (SELECT l_orderkey, string_agg('- part ' || l_partkey, chr(10) ORDER BY l_linenumber, l_partkey) AS items, count(*) AS n FROM lineitem GROUP BY 1)
+    SELECT l_orderkey, 'plain' AS kind, 0 AS first_line, '# Order' || chr(10) || 'text' AS content FROM l UNION ALL SELECT l_orderkey, 'list', 2, items FROM l
+    UNION ALL SELECT l_orderkey, 'code', (2 + n)::INT, '```' || chr(10) || '- not an item' || chr(10) || '```' FROM l UNION ALL SELECT l_orderkey, 'quote', (5 + n)::INT, '> quoted' FROM l"""
+)
 def markdown_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists found among other elements, and their items."""
+    """Plain lines, lists, code and quotes of a text, in order."""
     item = F.concat(F.lit("- part "), "l_partkey")
-    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", item.alias("r")))), lambda x: x["r"]), "\n")
+    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", item.alias("r")))), lambda x: x["r"]), "\n")
     docs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit("# Order\ntext\n"), items, F.lit("\n```\n- not an item\n```\n> quoted")).alias("body"))
-    found = markdown.elements(docs, "l_orderkey", "body").filter("kind = 'list'")
-    return found.select("l_orderkey", F.size(F.split("content", "\n")).cast("long").alias("items"))
+    return markdown.elements(docs, "l_orderkey", "body").select("l_orderkey", "kind", "first_line", "content")
 
 
 @query()
@@ -49,13 +62,20 @@ def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.section_chunks(heading_sections(docs, "doc_id", "body"), "doc_id", 120, 480)
 
 
+UNITS = "coalesce(list_sum(list_transform(regexp_extract_all(body, '[一-鿿㐀-䶿　-〿＀-￯]|[\\p{L}\\p{N}_]+|[^\\s]'), lambda p: CASE WHEN length(p) > 8 THEN (length(p) + 3) // 4 ELSE 1 END)), 0)".replace("\\\\", "\\")
+
+
 @query(
-    """SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN lang = 'fr' THEN 'table' WHEN length(text) > 1000000 THEN 'long' ELSE 'ok' END AS reason FROM documents"""
+    rf"""WITH d AS (SELECT doc_id, lang, CASE doc_id % 5 WHEN 0 THEN repeat('1 2 3 ', 20) WHEN 1 THEN left(text, 60) WHEN 2 THEN ' ' ELSE text END AS body FROM documents), u AS (SELECT *, {UNITS} AS units FROM d)
+    SELECT doc_id, CASE WHEN doc_id % 13 = 12 THEN 'not_leaf' WHEN trim(body, E' \n\t') = '' THEN 'empty' WHEN lang = 'fr' THEN 'table' WHEN units < 40 THEN 'short' WHEN units > 600 THEN 'long'
+      WHEN length(regexp_replace(body, '[^0-9]', '', 'g')) / length(regexp_replace(body, '\s', '', 'g'))::DOUBLE > 0.45 THEN 'numeric' ELSE 'ok' END AS reason FROM u"""
 )
 def enhancement_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rule that keeps a chunk from being enhanced."""
+    key = F.col("doc_id")
+    body = F.when(key % 5 == 0, "1 2 3 " * 20).when(key % 5 == 1, F.substring("text", 1, 60)).when(key % 5 == 2, " ").otherwise(F.col("text"))
     kind = F.when(F.col("lang") == "fr", "table").otherwise("text")
-    return table(spark, sf_dir, "documents").select("doc_id", rules.enhancement(F.col("text"), kind, F.lit(True), least=0, most=1_000_000, most_numeric=1.0)["reason"].alias("reason"))
+    return table(spark, sf_dir, "documents").select("doc_id", rules.enhancement(body, kind, key % 13 != 12, most=600)["reason"].alias("reason"))
 
 
 @query(

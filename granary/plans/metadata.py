@@ -48,12 +48,11 @@ def two_source_negated_leaf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.filter(filters.two_sources(filters.json_text("props", ("k",)), F.col("event_type"), "not_in", ["5", "6", "view"])).select("event_id")
 
 
-@query("SELECT l_orderkey AS target FROM lineitem WHERE l_suppkey IN (1, 2, 3) GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 2")
+@query("SELECT l_orderkey AS target FROM lineitem WHERE l_linenumber IN (1, 2, 3) GROUP BY 1 HAVING count(DISTINCT l_linenumber) = 3")
 def all_tags_division(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets with at least two of three tags; with all of them, the division is the same with n = 3."""
-    bindings = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("target"), F.col("l_suppkey").alias("tag"))
-    found = bindings.filter(F.col("tag").isin(1, 2, 3)).groupBy("target").agg(F.countDistinct("tag").alias("n"))
-    return found.filter("n >= 2").select("target")
+    """Targets with all of three tags."""
+    bindings = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("target"), F.col("l_linenumber").alias("tag"))
+    return filters.tagged_with_all(bindings, "target", "tag", [1, 2, 3])
 
 
 @query("SELECT l_orderkey AS target FROM lineitem WHERE l_returnflag IN ('A', 'N') GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 2")

@@ -42,7 +42,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {ROWS} SELECT row_id, 'qa_row' AS role, 0 AS part, CASE WHEN len(parts) = 1 THEN 0 ELSE len(parts) END::INT AS parts, len(parts) = 1 AS is_leaf, len(parts) = 1 AS vectorize, head || {TWO} || '## 答案' || chr(10) || answer AS content, anchor FROM a
-    UNION ALL SELECT row_id, 'qa_answer_fragment', i::INT, len(parts)::INT, true, true, '## 问题' || chr(10) || question || {TWO} || '## 答案' || chr(10) || parts[i], anchor FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM a WHERE len(parts) > 1)"""
+    UNION ALL SELECT row_id, 'qa_answer_fragment', i::INT, len(parts)::INT, true, true, '## 问题' || chr(10) || question || {TWO} || '## 答案' || chr(10) || trim(parts[i], E' \\n\\t'), anchor FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM a WHERE len(parts) > 1)"""
 )
 def qa_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short answers whole, long ones in parts of packed paragraphs and sentences below a parent."""
@@ -51,7 +51,7 @@ def qa_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {ROWS} SELECT row_id, 0 AS part, 'question' AS scope, head AS search_text, question AS vector_text, 10 AS priority FROM a
-    UNION ALL SELECT row_id, CASE WHEN len(parts) = 1 THEN 0 ELSE i END::INT, 'answer', '## 问题' || chr(10) || question || {TWO} || '## 答案' || chr(10) || parts[i], '## 问题' || chr(10) || question || {TWO} || '## 答案' || chr(10) || parts[i], 20 FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM a)"""
+    UNION ALL SELECT row_id, CASE WHEN len(parts) = 1 THEN 0 ELSE i END::INT, 'answer', '## 问题' || chr(10) || question || {TWO} || '## 答案' || chr(10) || trim(parts[i], E' \\n\\t'), '## 问题' || chr(10) || question || {TWO} || '## 答案' || chr(10) || trim(parts[i], E' \\n\\t'), 20 FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM a)"""
 )
 def qa_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search units of questions, and of answers as they are indexed, too."""

@@ -58,12 +58,12 @@ GRAMS = "CASE WHEN length({c}) = 0 THEN []::VARCHAR[] WHEN length({c}) = 1 THEN
 
 
 @query(
-    f"""WITH d AS (SELECT item_id, left(text, 200) AS body FROM benchmark), b AS (SELECT item_id, body, {GRAMS.format(c="lower(trim(regexp_replace('passage ' || body, '\\s+', ' ', 'g')))")} AS g, {GRAMS.format(c=f"'{Q}'")} AS q FROM d)
+    f"""WITH d AS (SELECT item_id, text AS body FROM benchmark), b AS (SELECT item_id, body, {GRAMS.format(c="lower(trim(regexp_replace('passage ' || body, '\\s+', ' ', 'g')))")} AS g, {GRAMS.format(c=f"'{Q}'")} AS q FROM d)
     SELECT item_id, round(least(1, 0.75 * len(list_intersect(g, q)) / len(list_distinct(list_concat(g, q)))::DOUBLE + 0.25 * (contains(lower('passage ' || body), 'thing')::INT + contains(lower('passage ' || body), 'of')::INT + contains(lower('passage ' || body), 'the')::INT) / 3.0), 6) AS score FROM b ORDER BY score DESC, item_id LIMIT 15"""
 )
 def summary_score_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents scored by title and summary."""
-    rows = table(spark, sf_dir, "benchmark").withColumn("summary", F.substring("text", 1, 200))
+    rows = table(spark, sf_dir, "benchmark").withColumn("summary", F.col("text"))
     score = F.round(text.summary_score(F.lit(Q), F.lit("passage"), "summary"), 6)
     return rows.select("item_id", score.alias("score")).orderBy(F.desc("score"), "item_id").limit(15)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.plans.registry import query
+from granary.sources.tables import table
 from granary.streaming import events as streams
 
 
@@ -17,18 +18,26 @@ def stream_hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT user_id, date_trunc('minute', ts) AS minute FROM events")
 def stream_minute_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One run for each user and minute; the watermark is as long as the data, so that no event is late."""
-    return streams.drained(streams.one_a_minute(streams.stream_of(spark, sf_dir, "events"), "10000 days"), "minutes")
+    """One run for each user and minute. The table comes in one batch, in order, so that no event is later than a day."""
+    return streams.drained(streams.one_a_minute(streams.stream_of(spark, sf_dir, "events"), "1 day"), "minutes")
 
 
-@query("SELECT page_id AS key, sha256(html) AS hash, 1::BIGINT AS version FROM pages")
+@query(
+    """SELECT page_id AS key, sha256(html) AS hash, 1::BIGINT AS version FROM pages UNION ALL SELECT page_id, sha256(html || '<!-- 2 -->'), 2 FROM pages WHERE page_id % 3 = 0
+    UNION ALL SELECT page_id, sha256(html), 3 FROM pages WHERE page_id % 6 = 0 UNION ALL SELECT page_id + 1000000, sha256(html), 1 FROM pages WHERE page_id % 5 = 0"""
+)
 def stream_page_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First versions of all pages, by content; pages that come again unchanged add nothing."""
+    """Versions of pages by content: a stream's first ones, then a batch with changed, unchanged and new pages, then one that
+    changes some back. The last batch runs twice."""
     versions = streams.VersionTable(spark, "page_id", "html")
-    stream = streams.stream_of(spark, sf_dir, "pages")
-    streams.drained(stream, "versions", each=versions.add)
-    versions.add(spark.read.parquet(f"{sf_dir}/pages.parquet"), 1_000_000)
-    return versions.read().select("key", "hash", "version").filter(F.col("version") >= 1)
+    streams.drained(streams.stream_of(spark, sf_dir, "pages"), "versions", each=versions.add)
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    new = pages.filter("page_id % 5 = 0").withColumn("page_id", F.col("page_id") + 1_000_000)
+    changed = pages.withColumn("html", F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("<!-- 2 -->"))).otherwise(F.col("html")))
+    versions.add(changed.unionByName(new), 1_000_000)
+    for _ in range(2):
+        versions.add(pages.filter("page_id % 6 = 0 or page_id % 3 = 1"), 1_000_001)
+    return versions.read().select("key", "hash", "version")
 
 
 @query(

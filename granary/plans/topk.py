@@ -28,13 +28,13 @@ def upgraded_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH e AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
-    SELECT conv_id, string_agg(role || ':' || left(text, 20), '|' ORDER BY turn) AS context FROM e WHERE n <= 6 GROUP BY 1"""
+    SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn) AS context FROM e WHERE n <= 6 GROUP BY 1"""
 )
 def rewrite_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest six messages of each conversation, oldest first."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     few = table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(w)).filter("n <= 6")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(":"), F.substring(x["text"], 1, 20)))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(":"), x["text"]))
     return few.groupBy("conv_id").agg(F.array_join(parts, "|").alias("context"))
 
 
@@ -79,10 +79,10 @@ def upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(side(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp")), side(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp")), ["id"])
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL)")
 def projections_without(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index rows left when the rows of some chunks are deleted."""
-    gone = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("vec_id"))
+    gone = table(spark, sf_dir, "labels").filter("quality = 0 and doc_id is not null").select(F.col("doc_id").alias("vec_id"))
     return table(spark, sf_dir, "embeddings").join(gone, "vec_id", "left_anti").select("vec_id")
 
 

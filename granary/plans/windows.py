@@ -19,23 +19,24 @@ def latest_5_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 RETAIN = "WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n, o_orderdate > (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY AS recent FROM orders)"
 
 
-def _retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+def _kept(orders: DataFrame) -> DataFrame:
+    """The newest three of each key, limited before they are shuffled, and whatever is recent; no key is gathered whole."""
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    last = orders.agg(F.max("o_orderdate").alias("last"))  # one row
-    ranked = orders.join(F.broadcast(last)).withColumn("n", F.row_number().over(w))
-    return ranked.withColumn("keep", (F.col("n") <= 3) | (F.col("o_orderdate") > F.col("last") - F.expr("INTERVAL 365 DAYS")))
+    newest = orders.withColumn("n", F.row_number().over(w)).filter("n <= 3").select("o_custkey", "o_orderkey")
+    recent = orders.filter(F.col("o_orderdate") > orders.agg(F.max("o_orderdate")).scalar() - F.expr("INTERVAL 365 DAYS")).select("o_custkey", "o_orderkey")
+    return newest.unionByName(recent).distinct()
 
 
 @query(f"{RETAIN} SELECT o_custkey, o_orderkey FROM r WHERE n <= 3 OR recent")
 def retention_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest three versions and all of the last year."""
-    return _retention(spark, sf_dir).filter("keep").select("o_custkey", "o_orderkey")
+    return _kept(table(spark, sf_dir, "orders"))
 
 
 @query(f"{RETAIN} SELECT o_custkey, o_orderkey FROM r WHERE NOT (n <= 3 OR recent)")
 def retention_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _retention(spark, sf_dir).filter("not keep").select("o_custkey", "o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    return orders.select("o_custkey", "o_orderkey").join(_kept(orders), ["o_custkey", "o_orderkey"], "left_anti")
 
 
 @query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) - 1 AS position FROM lineitem")

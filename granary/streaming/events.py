@@ -49,28 +49,37 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
 
 
 class VersionTable:
-    """Versions of pages by content: a batch adds a row only where the content's hash is new for its key.
+    """Versions of pages by content: a batch adds a row only where the content's hash differs from the key's latest.
 
-    Each batch writes one generation named by its number, so that a batch that runs again replaces its own rows.
+    Each batch writes its new versions, and the latest version of every key, under its number: the next batch reads one row
+    a key, not the history, and a batch that runs again replaces its own rows.
     """
 
     def __init__(self, spark: SparkSession, key: str, body: str):
         self.spark, self.key, self.body = spark, key, body
         self.path = scratch_path(spark, "versions")
+        self.numbers: set[int] = set()
         self.schema: str | None = None
 
     def read(self) -> DataFrame | None:
-        return None if self.schema is None else self.spark.read.schema(self.schema).parquet(self.path)
+        return None if self.schema is None else self.spark.read.schema(f"{self.schema}, batch int").parquet(f"{self.path}/added")
+
+    def _latest(self, number: int) -> DataFrame | None:
+        before = [n for n in self.numbers if n < number]
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/latest-{max(before)}") if before else None
 
     def add(self, batch: DataFrame, number: int) -> None:
-        new = latest(batch.select(self.key, self.body), [self.key], [F.col(self.body)]).select(F.col(self.key).alias("key"), F.sha2(self.body, 256).alias("hash"))
-        known = self.read()
-        if known is not None:
-            earlier = known.filter(F.col("batch") < number)
-            last = earlier.groupBy("key").agg(F.max_by("hash", "batch").alias("hash"), F.max("version").alias("before"))
-            new = new.join(last.select("key", "hash"), ["key", "hash"], "left_anti").join(last.select("key", "before"), "key", "left")
-        else:
-            new = new.withColumn("before", F.lit(0).cast("long"))
-        rows = new.select("key", "hash", (F.coalesce("before", F.lit(0)) + 1).cast("long").alias("version"))
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
-        self.schema = f"key {batch.schema[self.key].dataType.simpleString()}, hash string, version long, batch int"
+        kind = batch.schema[self.key].dataType.simpleString()
+        self.schema = f"key {kind}, hash string, version long"
+        one = latest(batch.select(self.key, self.body), [self.key], [F.col(self.body)])
+        new = one.select(F.col(self.key).alias("key"), F.sha2(self.body, 256).alias("hash"))
+        known = self._latest(number)
+        if known is None:
+            known = self.spark.createDataFrame([], self.schema)
+        both = known.join(new.withColumnRenamed("hash", "now"), "key", "full")
+        fresh = F.col("now").isNotNull() & ~F.col("now").eqNullSafe(F.col("hash"))
+        version = (F.coalesce("version", F.lit(0)) + F.when(fresh, 1).otherwise(0)).cast("long")
+        out = both.select("key", F.when(fresh, F.col("now")).otherwise(F.col("hash")).alias("hash"), version.alias("version"), fresh.alias("fresh"))
+        out.drop("fresh").write.mode("overwrite").parquet(f"{self.path}/latest-{number}")
+        out.filter("fresh").drop("fresh").write.mode("overwrite").parquet(f"{self.path}/added/batch={number}")
+        self.numbers.add(number)
