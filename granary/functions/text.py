@@ -304,3 +304,21 @@ def qa_markdown(question: Column, answer: Column, similar: Column, category: Col
     filled = lambda name, body: F.when(F.coalesce(body, F.lit("")) != "", part(name, body))
     return strip(F.concat_ws("\n\n", part("question", strip(col(question))), filled("similar", bullets(similar)), filled("category", category), filled("tags", bullets(tags)), part("answer", strip(col(answer)))))
 
+
+def content_hash(columns: dict[str, Column]) -> Column:
+    """SHA-256 of named values as compact JSON with sorted keys; nulls are kept."""
+    return F.sha2(F.to_json(F.struct(*(columns[k].alias(k) for k in sorted(columns))), {"ignoreNullFields": "false"}), 256)
+
+
+def embedding_text(vector_text: Column, search_text: Column) -> Column:
+    """What a search unit's vector is made of: its own text for that, else what is searched; an error where both are blank."""
+    filled = lambda c: F.when(strip(F.coalesce(c, F.lit(""))) != "", strip(c))
+    return F.coalesce(filled(vector_text), filled(search_text), F.raise_error(F.lit("a search unit has no text")).cast("string"))
+
+
+def lenient_json(c: Column | str) -> Column:
+    """The JSON object in a model's answer, bare, fenced or between other words; null where there is none."""
+    bare = strip_json_fence(c)
+    inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    whole = lambda x: F.when(F.try_parse_json(x).isNotNull() & x.rlike(r"^\s*\{"), x)
+    return F.coalesce(whole(bare), whole(inner))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from granary.operators import chunking
+from granary.functions import text
+from granary.operators import chunking, lexical, retrieval, web
+from granary.sources import files
 
 CHUNKERS: dict[str, Callable[..., Column]] = {
     "fixed": lambda c, size=500, overlap=50: F.transform(chunking.windows(c, size, overlap), lambda x: x["content"]),
@@ -21,6 +24,34 @@ CHUNKERS: dict[str, Callable[..., Column]] = {
 }
 
 
+class Registry:
+    """Things found by name: parsers, enhancers, search backends, analyzers. One of them is the default."""
+
+    def __init__(self, kind: str, default: str | None = None):
+        self.kind, self.default, self._known = kind, default, {}
+
+    def register(self, name: str, thing: Callable) -> Callable:
+        self._known[name] = thing
+        return thing
+
+    def get(self, name: str | None = None) -> Callable:
+        key = name or self.default
+        if key not in self._known:
+            raise ValueError(f"no {self.kind} {key}; there are {sorted(self._known)}")
+        return self._known[key]
+
+
+PARSERS, ENHANCERS = Registry("parser"), Registry("enhancer")
+VECTOR_BACKENDS, LEXICAL_BACKENDS, ANALYZERS = Registry("vector backend", "exact"), Registry("lexical backend", "tokens"), Registry("analyzer", "rules")
+VECTOR_BACKENDS.register("exact", retrieval.vector_recall)
+LEXICAL_BACKENDS.register("tokens", lexical.recall)
+ANALYZERS.register("rules", lexical.query_plan)
+PARSERS.register("delimited", files.read_delimited)
+PARSERS.register("page", web.page_sections)
+ENHANCERS.register("keywords", text.keywords)
+ENHANCERS.register("questions", text.questions)
+
+
 def register_chunker(name: str, chunker: Callable[..., Column]) -> None:
     """A chunker takes a column and gives an array of texts."""
     CHUNKERS[name] = chunker
@@ -69,6 +100,57 @@ def embed(df: DataFrame, body: str, dimensions: int = 64) -> DataFrame:
     return df.mapInPandas(vectors, T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))]))
 
 
+_FIELDS = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
+
+
+def cron_fields(expression: str) -> list[set[int]]:
+    """Minutes, hours, days of the month, months and days of the week (0 and 7: Sunday) of a cron expression."""
+    parts = expression.split()
+    if len(parts) != 5:
+        raise ValueError(f"not a cron expression: {expression}")
+    out = []
+    for part, (low, high) in zip(parts, _FIELDS, strict=True):
+        found: set[int] = set()
+        for item in part.split(","):
+            span, _, step = item.partition("/")
+            first, _, last = span.partition("-")
+            a, b = (low, high) if span == "*" else (int(first), int(last or (high if step else first)))
+            if not low <= a <= b <= high:
+                raise ValueError(f"not a cron field: {part}")
+            found |= set(range(a, b + 1, int(step or 1)))
+        out.append(found)
+    out[4] = {d % 7 for d in out[4]}
+    return out
+
+
+def next_cron(expression: str, after: datetime) -> datetime | None:
+    """The first minute after a time at which a cron expression fires, within five years. Where both days are given, either will do."""
+    minutes, hours, days, months, weekdays = cron_fields(expression)
+    any_day, any_weekday = (x == "*" for x in (expression.split()[2], expression.split()[4]))
+    day = after.replace(hour=0, minute=0, second=0, microsecond=0)
+    for _ in range(5 * 366):
+        by_date, by_week = day.day in days, (day.isoweekday() % 7) in weekdays
+        fits = by_date and by_week if any_day or any_weekday else by_date or by_week
+        if day.month in months and fits:
+            for h in sorted(hours):
+                for m in sorted(minutes):
+                    if (at := day.replace(hour=h, minute=m)) > after:
+                        return at
+        day += timedelta(days=1)
+    return None
+
+
+def next_cron_trigger(expression: Column, after: Column) -> Column:
+    """next_cron of each row, in the times' own zone; null for a null expression."""
+
+    @F.pandas_udf(T.TimestampNTZType())
+    def fires(expressions: pd.Series, times: pd.Series) -> pd.Series:
+        found = [next_cron(e, t.to_pydatetime()) if e is not None and t is not pd.NaT else None for e, t in zip(expressions, times, strict=True)]
+        return pd.Series(pd.to_datetime(found)).astype("datetime64[us]")
+
+    return fires(expression, after.cast("timestamp_ntz"))
+
+
 def register_all(spark: SparkSession) -> None:
     """SQL names for functions that have none of their own: fixed_chunks(text, size, overlap), windows of a text, for LATERAL."""
     spark.sql(

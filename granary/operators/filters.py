@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_DEPTH, MOST_CHILDREN, MOST_VALUES = 8, 32, 64
@@ -175,3 +175,21 @@ def tagged_with_all(bindings: DataFrame, target: str, tag: str, tags: list) -> D
     """Targets that carry every tag."""
     found = bindings.filter(F.col(tag).isin(*tags)).groupBy(target).agg(F.countDistinct(tag).alias("_n"))
     return found.filter(F.col("_n") >= len(set(tags))).select(target)
+
+
+def json_paths(rows: DataFrame, column: str, most: int = 20) -> DataFrame:
+    """path, n, values: the scalar fields found in JSON objects, nested ones by dotted path, with how many rows have a value and
+    up to `most` of the values, the least ones. Items of arrays count as values of the array."""
+    found, level = None, rows.select(F.lit("").alias("above"), F.col(column).alias("json"))
+    for _ in range(MOST_DEPTH):
+        pairs = level.select("above", F.explode(F.from_json("json", "map<string,string>")).alias("key", "value")).filter("trim(key) <> '' and value is not null")
+        pairs = pairs.select(F.concat("above", F.trim("key")).alias("path"), "value")
+        nested, listed = F.col("value").rlike(r"^\s*\{"), F.col("value").rlike(r"^\s*\[")
+        items = pairs.filter(listed).select("path", F.explode(F.from_json("value", "array<string>")).alias("value")).filter(~F.col("value").rlike(r"^\s*[\[{]"))
+        scalars = pairs.filter(~nested & ~listed).unionByName(items)
+        found = scalars if found is None else found.unionByName(scalars)
+        level = pairs.filter(nested).select(F.concat("path", F.lit(".")).alias("above"), F.col("value").alias("json"))
+    found = found.filter("trim(value) <> ''")
+    first = F.row_number().over(Window.partitionBy("path").orderBy("value"))
+    few = found.distinct().withColumn("_n", first).filter(F.col("_n") <= most).groupBy("path").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    return found.groupBy("path").agg(F.count("*").alias("n")).join(few, "path")

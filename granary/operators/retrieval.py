@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import scoring, text
+from granary.operators import rules, trees
 
 
 @dataclass(frozen=True)
@@ -105,3 +106,17 @@ def tag_boosts(bindings: DataFrame, signals: DataFrame, most: float = 0.10, each
     gain = each * F.col("confidence") * scoring.signal_weight(F.col("source")) * scoring.distance_decay(F.col("distance"))
     per_tag = bindings.join(signals, "tag").groupBy("target", "tag").agg(F.max(gain).alias("gain"))
     return per_tag.groupBy("target").agg(F.round(F.least(F.lit(most), F.sum("gain")), 4).alias("boost"))
+
+
+def ancestor_tags(docs: DataFrame, folder_tags: DataFrame) -> DataFrame:
+    """(target, tag, distance) of documents (target, folder as a dotted path) from the tags of their folders and all above
+    them (folder, tag): distance 0 for the own folder; the nearest counts."""
+    up = docs.select("target", F.posexplode(F.reverse(trees.prefixes("folder"))).alias("distance", "folder"))
+    return up.join(folder_tags, "folder").groupBy("target", "tag").agg(F.min("distance").alias("distance"))
+
+
+def summary_units(chunks: DataFrame, summaries: DataFrame) -> DataFrame:
+    """A unit of each document's usable summary (doc, summary), hung on its first chunk (doc, chunk_id)."""
+    text_ = rules.usable_summary("summary")
+    first = chunks.groupBy("doc").agg(F.min("chunk_id").alias("chunk_id"))
+    return summaries.withColumn("search_text", text_).filter("search_text is not null").join(first, "doc").select("chunk_id", F.lit("doc_summary").alias("search_scope"), "search_text", F.lit(35).alias("priority"), F.lit(False).alias("vectorize"))

@@ -30,3 +30,8 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
     return every([a[c].eqNullSafe(b[c]) for c in columns])
+
+
+def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
+    """Writes rows in place of all earlier ones of the same `by`; other partitions stay."""
+    rows.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)

@@ -68,11 +68,17 @@ def json_key_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").filter(value.isNotNull()).groupBy(value.alias("value")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT path, count(*) AS n, count(DISTINCT value) AS n_values, min(value) AS least FROM (SELECT unnest(json_keys(props)) AS path, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events) GROUP BY 1")
+@query(
+    """WITH e AS (SELECT 'k' AS path, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT 'at.kind', event_type FROM events UNION ALL SELECT 'at.deep.half', (event_id % 2)::VARCHAR FROM events UNION ALL SELECT 'tags', 't' || event_id % 30 FROM events UNION ALL SELECT 'tags', 'all' FROM events),
+    d AS (SELECT DISTINCT path, value FROM e QUALIFY dense_rank() OVER (PARTITION BY path ORDER BY value) <= 20)
+    SELECT path, (SELECT count(*) FROM e WHERE e.path = d.path) AS n, string_agg(value, ',' ORDER BY value) AS "values" FROM d GROUP BY 1"""
+)
 def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys found in the metadata of all rows, with their values' number and least one."""
-    pairs = table(spark, sf_dir, "events").select(F.explode(F.from_json("props", "map<string,string>")).alias("path", "value"))
-    return pairs.groupBy("path").agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"), F.min("value").alias("least"))
+    """Fields found in nested metadata, how many rows have them, and some of their values."""
+    key = F.col("event_id")
+    deep = F.struct(F.col("event_type").alias("kind"), F.struct((key % 2).alias("half"), F.lit(None).cast("string").alias("none")).alias("deep"))
+    doc = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), deep.alias("at"), F.array(F.concat(F.lit("t"), key % 30), F.lit("all")).alias("tags"), F.lit(" ").alias("blank")))
+    return filters.json_paths(table(spark, sf_dir, "events").select(doc.alias("doc")), "doc").withColumn("values", F.array_join("values", ","))
 
 
 @query(

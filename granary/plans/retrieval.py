@@ -138,3 +138,24 @@ def lexical_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select("o_orderkey", scoring.topology(key % 2 == 0, key % 3 == 0).alias("kind"))
+
+
+@query(
+    """WITH b AS (SELECT o_orderkey AS target, left(o_orderpriority, 1) AS a, left(o_orderpriority, 1) || '.' || o_orderstatus AS f FROM orders), t AS (SELECT '1' AS folder, 'x' AS tag UNION ALL SELECT '1.F', 'x' UNION ALL SELECT '2', 'y' UNION ALL SELECT '2.O', 'z')
+    SELECT target, tag, min(CASE WHEN folder = f THEN 0 ELSE 1 END) AS distance FROM b JOIN t ON folder = a OR folder = f GROUP BY 1, 2"""
+)
+def ancestor_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of documents' folders and of those above, with their distance."""
+    folder = F.concat(F.substring("o_orderpriority", 1, 1), F.lit("."), "o_orderstatus")
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("target"), folder.alias("folder"))
+    tags = spark.createDataFrame([("1", "x"), ("1.F", "x"), ("2", "y"), ("2.O", "z")], "folder string, tag string")
+    return retrieval.ancestor_tags(docs, tags)
+
+
+@query("SELECT min(l_linenumber) + l_orderkey * 10 AS chunk_id, 'doc_summary' AS search_scope, 'A summary of order ' || l_orderkey || ' by clerk and date' AS search_text, 35 AS priority, false AS vectorize FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey")
+def summary_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of documents' summaries on their first chunks; summaries that say too little give none."""
+    key = F.col("l_orderkey")
+    lines = table(spark, sf_dir, "lineitem").select(key.alias("doc"), (key * 10 + F.col("l_linenumber")).alias("chunk_id"))
+    said = F.when(F.col("doc") % 2 == 0, F.concat(F.lit("A summary  of order "), "doc", F.lit(" by clerk and date"))).otherwise("none of it")
+    return retrieval.summary_units(lines, lines.select("doc").distinct().withColumn("summary", said))
