@@ -80,8 +80,9 @@ def mixed_units(c: Column | str) -> Column:
     """Length of a text in units: an ideograph 1, a word 1 up to 8 characters and a quarter of its length beyond, any other mark 1."""
     pattern = r"([一-鿿㐀-䶿　-〿＀-￯]|[\p{L}\p{N}_]+|[^\s])"
     pieces = F.regexp_extract_all(col(c), F.lit(pattern), F.lit(1))
-    unit = lambda p: F.when(F.length(p) > 8, F.floor((F.length(p) + 3) / 4)).otherwise(1).cast("long")
-    return F.aggregate(pieces, F.lit(0).cast("long"), lambda a, p: a + unit(p))
+    # Few words are long: all pieces count one, and the fold goes over what long ones have beyond that.
+    long = F.filter(pieces, lambda p: F.length(p) > 8)
+    return F.aggregate(long, F.size(pieces).cast("long"), lambda a, p: a + F.shiftright(F.length(p) + 3, 2) - 1)
 
 
 def bigrams(c: Column) -> Column:

@@ -27,7 +27,28 @@ def _pieces(df: DataFrame, pieces, key: str = "doc_id") -> DataFrame:
     return df.select(key, F.posexplode(pieces).alias("position", "content"))
 
 
-@query()
+# Packing in one reduction over strings: chr(1) parts chunks, chr(3) the pieces of one. A chunk's last piece begins the next
+# one where both fit.
+PIECES = "list_filter(list_transform({split}, lambda x: trim(x, E' \\n\\t\\r\\x0b\\x0c')), lambda x: x <> '')"
+PACK = """CASE WHEN len(pieces) = 0 THEN []::VARCHAR[] ELSE string_split(list_reduce(pieces, lambda acc, x: CASE WHEN {whole} + {size_x} <= {budget} THEN acc || chr(3) || x
+  WHEN {last} + {size_x} <= {budget} THEN acc || chr(1) || string_split(string_split(acc, chr(1))[-1], chr(3))[-1] || chr(3) || x ELSE acc || chr(1) || x END), chr(1)) END"""
+
+
+def _packed_sql(split: str, size: str, budget: int, joiner: str, carry: bool = True, source: str = "SELECT doc_id AS id, text FROM documents") -> str:
+    """SQL that packs the pieces of each text; size: SQL of a piece {{p}}'s size."""
+    of = lambda p: size.replace("{p}", p)
+    cur = "string_split(acc, chr(1))[-1]"
+    whole = f"list_sum(list_transform(string_split({cur}, chr(3)), lambda y: {of('y')}))"
+    last = of(f"string_split({cur}, chr(3))[-1]") if carry else str(budget)
+    pack = PACK.format(whole=whole, size_x=of("x"), last=last, budget=budget)
+    return f"WITH t AS ({source}), p AS (SELECT id, {PIECES.format(split=split)} AS pieces FROM t), c AS (SELECT id, {pack} AS parts FROM p) SELECT id AS {{key}}, (i - 1)::INT AS position, replace(parts[i], chr(3), {joiner}) AS content FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM c)"
+
+
+SENTENCES = r"string_split(regexp_replace(text, '([.!?。！？])\s*', '\1' || chr(4), 'g'), chr(4))"
+UNITS = r"coalesce(list_sum(list_transform(regexp_extract_all({p}, '[一-鿿㐀-䶿　-〿＀-￯]|[\p{L}\p{N}_]+|[^\s]'), lambda q: CASE WHEN length(q) > 8 THEN (length(q) + 3) // 4 ELSE 1 END)), 0)"
+
+
+@query(_packed_sql(SENTENCES, "length({p})", 600, "' '").replace("{key}", "doc_id"))
 def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences packed to 600 characters with one sentence carried over."""
     return _pieces(table(spark, sf_dir, "documents"), chunking.sentence_chunks("text", 600, 1))
@@ -39,7 +60,7 @@ def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(table(spark, sf_dir, "documents"), chunking.recursive_chunks("text", 400))
 
 
-@query()
+@query(_packed_sql("string_split(text, chr(10))", UNITS, 120, "chr(10) || chr(10)").replace("{key}", "doc_id"))
 def paragraph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs packed to 120 units, the last carried over."""
     paragraphs = F.replace("text", F.lit("\n"), F.lit("\n\n"))
