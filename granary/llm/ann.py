@@ -132,7 +132,9 @@ def build_index(sample: np.ndarray, norm: float, total: int) -> Index:
         far = (centroids**2).sum(axis=1) - 2 * centroids[block] @ centroids.T
         far[np.arange(len(block)), block] = np.inf
         rows.append(np.argsort(far, axis=1)[:, :near])
-    links = np.concatenate([np.concatenate(rows), rng.integers(lists, size=(lists, 8))], axis=1)
+    links = np.sort(np.concatenate([np.concatenate(rows), rng.integers(lists, size=(lists, 8))], axis=1), axis=1)
+    # A neighbour drawn twice counts once: `lists` stands for none.
+    links[:, 1:][links[:, 1:] == links[:, :-1]] = lists
     return Index(centroids, links, rng.choice(lists, min(lists, 16), replace=False), norm)
 
 

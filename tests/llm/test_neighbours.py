@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from granary.llm.ann import nearest
 from granary.llm.exact_topk import exact_topk
+from pyspark.sql import functions as F
 
 
 def rows_of(seed, n, dimensions=16, copies=150):
@@ -67,3 +68,36 @@ def test_few_candidates_zero_vectors_and_no_rows(spark):
     exact = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in exact_topk(few).collect())
     assert exact == [(0, 1, 3, 2048), (0, 2, 20, 0), (0, 3, 4, -4096), (20, 1, 0, 0), (20, 2, 3, 0), (20, 3, 4, 0)]
     assert nearest(few.limit(0)).count() == 0 and exact_topk(few.limit(0)).count() == 0
+
+
+def test_ties_repeated_rows_and_several_lengths(spark):
+    """Equal scores go to smaller ids, equal rows count once, and vectors of another length are another search."""
+    rows = [(i, [1.0, float(i % 3)]) for i in range(60)] + [(100 + i, [0.5, 0.5, float(i % 2)]) for i in range(45)] + [(0, [1.0, 0.0]), (21, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in ("key", "ids", "list", "score", "rank", "width", "vector")})
+    for search, scale in ((nearest, 1), (exact_topk, 64)):
+        got = {}
+        for r in sorted(search(frame).collect(), key=lambda r: (r.query_id, r.rank)):
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        for q, x in rows:
+            if q % 20:
+                continue
+            others = sorted({(-scale * scale * float(np.dot(x, y)), i) for i, y in rows if i != q and len(y) == len(x)})
+            assert got[q] == [(i, -s) for s, i in others][:20], (search, q)
+
+
+def test_a_query_reads_more_lists_than_the_beam(monkeypatch):
+    from granary.llm import ann
+
+    monkeypatch.setattr(ann, "BEAM_SEARCH", 2)
+    monkeypatch.setattr(ann, "RATIO", 10.0)
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(400, 8))
+    index = ann.build_index(points, float(np.linalg.norm(points, axis=1).max()), 400)
+    lists = ann._choose(index, np.full(len(index.centroids), 20), points[:5], 20)
+    assert len(index.centroids) == 20 and all(sorted(x.tolist()) == list(range(20)) for x in lists)
+
+
+def test_scores_that_doubles_cannot_hold(spark):
+    frame = spark.createDataFrame([(i, [1e7, float(i)]) for i in range(30)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="2 \\*\\* 53"):
+        exact_topk(frame)

@@ -7,6 +7,7 @@ from granary.llm.packing import MODEL, WordTokenizer, hilbert_keys, pack, pieces
 from granary.llm.token_counts import tokenizer_path
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 LIBRARY = Tokenizer.from_file(tokenizer_path(MODEL))
@@ -57,3 +58,20 @@ def test_sequences(documents):
         assert at <= 256 and at & (at - 1) == 0
     assert sum(sum(n for _, n in p) == 256 for p in sequences.values()) >= len(sequences) - 8
     assert pack(documents(texts).limit(0)).count() == 0
+
+
+def test_clashing_columns(documents):
+    docs = documents(["a b", "c", None]).withColumns({c: F.lit(1) for c in ("ids", "tokens", "key", "row", "first", "all", "part", "start", "length")})
+    out = pack(docs, length=8)
+    assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2] and out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_kept_words_are_bounded(monkeypatch):
+    from granary.llm import packing
+
+    monkeypatch.setattr(packing, "BYTES_KEPT", 2000)
+    words = WordTokenizer(tokenizer_path(MODEL))
+    texts = [" ".join(f"word{i}x{j}" for j in range(50)) for i in range(20)]
+    for text, ids in zip(texts, words.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == [*LIBRARY.encode(text, add_special_tokens=False).ids, 2]
+    assert len(words._words) < 40

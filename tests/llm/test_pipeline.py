@@ -85,5 +85,17 @@ def test_stages(spark, documents, tmp_path):
     assert whole == packed
 
 
+def test_the_whole_pipeline_on_odd_tables(spark, documents, tmp_path):
+    """No documents, no labels, ids and texts that are null: every stage runs, and what has words is packed."""
+    rows = [(None, "some words of a text without an id", "a"), (None, "some words of a text without an id", "a"), (3, None, None), (3, "other words stand here for the third", None), (None, None, "b")]
+    for name, kept, labels in (("none", [], []), ("unlabelled", rows, []), ("null_labels", rows, [(None, 1, 1), (3, None, None)])):
+        sf = str(tmp_path / name)
+        documents(rows).limit(len(kept)).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        out = corpus_pipeline.run(spark, sf).collect()
+        assert {r.doc_id for r in out} == ({None, 3} if kept else set())
+        assert len({r.doc_tokens for r in out}) == (2 if kept else 0) or not kept
+
+
 def test_registered_names():
     assert [f"op{n}_" for n in range(1, 11)] == [name[: len(f"op{n}_")] for n, name in enumerate(sorted(catalog.queries(), key=lambda x: int(x[2:].split("_")[0])), 1)]
