@@ -169,16 +169,27 @@ class PrefixCounter:
     def longest_prefix(self, text: str, n: int, budget: int) -> int:
         """Characters of the longest prefix whose own encoding has at most budget tokens, of a text with n tokens.
 
-        Only as much of the table as the budget reaches into is made: counts at the ends of words never fall."""
-        upto = len(text) if n <= budget else 4 * budget + 1
+        Words are passed by their counts, which never fall at the ends of words, up to the first that goes beyond the
+        budget; only its table is looked into."""
         if n <= budget:
-            return upto
-        while True:
-            end = text.find(" ", upto)
-            table = self.prefixes(text if end < 0 else text[:end])
-            if end < 0 or table[-1] > budget:
-                return int(np.flatnonzero(table <= budget)[-1])
-            upto *= 2
+            return len(text)
+        best = at = total = run = 0
+        for i, part in enumerate(text.replace(BLANK, " ").split(" ")):
+            run += 1
+            if i:
+                at += 1
+                best = at if total + self._run(run) <= budget else best
+            if not part:
+                continue
+            count = self._words[part]
+            end = total + self._with_run(run, count, part in self._words.lone)
+            if end > budget:
+                counts, lone = self.table_of(BLANK + part)
+                within = [k for k, (c, one) in enumerate(zip(counts[2:], lone[2:], strict=True), 1) if total + self._with_run(run, c, one) <= budget]
+                return at + within[-1] if within else best
+            total, run, at = end, 0, at + len(part)
+            best = at
+        return best
 
 
 class _Words(dict):
