@@ -38,7 +38,8 @@ EVERY = 20
 SAMPLE, SAMPLE_BYTES = 32_768, 64 << 20
 REPLICAS, BOUNDARY = 4, 0.12
 SAME_SIDE = 0.35
-RATIO = 0.14
+#: How much further than the nearest list a query reads: RATIO, and more where lists are few and so lie far apart.
+RATIO, RATIO_OF_FEW = 0.12, 2.0
 #: Lists kept in sight while walking the graph; a query's grow until the ratio leaves some of them out.
 BEAM_ASSIGN, BEAM_SEARCH = 32, 128
 DEGREE = 24
@@ -59,6 +60,11 @@ class Index:
     entries: np.ndarray
     norm: float
 
+    @property
+    def reach(self) -> float:
+        """The distance up to which lists are read, in distances of the nearest."""
+        return 1 + RATIO + RATIO_OF_FEW / len(self.centroids)
+
     def points(self, vectors: np.ndarray) -> np.ndarray:
         rest = np.sqrt(np.maximum(self.norm**2 - (vectors**2).sum(axis=1), 0.0))
         return np.concatenate([vectors, rest[:, None]], axis=1)
@@ -157,7 +163,7 @@ def _within(index: Index, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lists and distances of points of which the last are beyond the ratio, unless there are no more."""
     beam = BEAM_SEARCH
     lists, far = index.nearest(points, beam)
-    while beam < len(index.centroids) and (short := np.isfinite(far[:, -1]) & (far[:, -1] <= (1 + RATIO) * far[:, 0])).any():
+    while beam < len(index.centroids) and (short := np.isfinite(far[:, -1]) & (far[:, -1] <= index.reach * far[:, 0])).any():
         beam *= 2
         more, further = index.nearest(points[short], beam)
         wider = ((0, 0), (0, more.shape[1] - lists.shape[1]))
@@ -173,7 +179,7 @@ def _choose(index: Index, sizes: np.ndarray, vectors: np.ndarray, k: int) -> lis
     for row, distance in zip(lists, far, strict=True):
         row, distance = row[row >= 0], distance[row >= 0]
         held = np.cumsum(sizes[row]) - sizes[row]
-        some = (distance <= (1 + RATIO) * distance[0]) | (held < (k + 1) * REPLICAS)
+        some = (distance <= index.reach * distance[0]) | (held < (k + 1) * REPLICAS)
         if held[-1] + sizes[row[-1]] < (k + 1) * REPLICAS:
             row, some = np.flatnonzero(sizes > 0), np.ones((sizes > 0).sum(), bool)
         out.append(row[some])
