@@ -37,18 +37,18 @@ def collapse(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, r"[\s\u3000]+", " "), F.lit(" "))
 
 
-#: One mark or blank of those that separate lexical tokens.
-_SEPARATOR = "[" + "".join("\\" + c if c.isascii() else c for c in LEXICAL_PUNCTUATION) + r"\s\u3000]"
+def _unmarked(c: Column | str) -> Column:
+    return F.translate(F.lower(col(c)), LEXICAL_PUNCTUATION, " " * len(LEXICAL_PUNCTUATION))
 
 
 def normalize_lexical(c: Column | str) -> Column:
     """Lower case, punctuation and line ends as blanks, blanks drawn together."""
-    return F.btrim(F.regexp_replace(F.lower(col(c)), f"{_SEPARATOR}+", " "), F.lit(" "))
+    return collapse(_unmarked(c))
 
 
 def lexical_tokens(c: Column | str) -> Column:
     """The distinct words of the normalised text."""
-    return F.array_remove(F.array_distinct(F.split(F.lower(col(c)), f"{_SEPARATOR}+")), "")
+    return F.array_remove(F.array_distinct(F.split(_unmarked(c), r"[\s\u3000]+")), "")
 
 
 def ascii_terms(c: Column | str) -> Column:

@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.sources.scratch import scratch_path
+
 MOST_DEPTH, MOST_CHILDREN, MOST_VALUES = 8, 32, 64
 
 COMPARISONS = {
@@ -183,11 +185,16 @@ def json_paths(rows: DataFrame, column: str, most: int = 20) -> DataFrame:
     found, level = None, rows.select(F.lit("").alias("above"), F.col(column).alias("json"))
     for _ in range(MOST_DEPTH):
         pairs = level.select("above", F.explode(F.from_json("json", "map<string,string>")).alias("key", "value")).filter("trim(key) <> '' and value is not null")
-        pairs = pairs.select(F.concat("above", F.trim("key")).alias("path"), "value")
+        # Each level is read from its own table, so that a deep one doesn't parse all above it again.
+        path = scratch_path(rows.sparkSession, "json-paths")
+        pairs.select(F.concat("above", F.trim("key")).alias("path"), "value").write.parquet(path)
+        pairs = rows.sparkSession.read.schema("path string, value string").parquet(path)
         nested, listed = F.col("value").rlike(r"^\s*\{"), F.col("value").rlike(r"^\s*\[")
         items = pairs.filter(listed).select("path", F.explode(F.from_json("value", "array<string>")).alias("value")).filter(~F.col("value").rlike(r"^\s*[\[{]"))
         scalars = pairs.filter(~nested & ~listed).unionByName(items)
         found = scalars if found is None else found.unionByName(scalars)
+        if pairs.filter(nested).isEmpty():
+            break
         level = pairs.filter(nested).select(F.concat("path", F.lit(".")).alias("above"), F.col("value").alias("json"))
     found = found.filter("trim(value) <> ''")
     first = F.row_number().over(Window.partitionBy("path").orderBy("value"))
