@@ -5,11 +5,11 @@ stripes of one prefix meet in a shuffle and are merged element by element. From
 and next word), what a phrase's parts occur (the stripes one word shorter) and how often a phrase's most frequent extension
 by a word occurs: to its right in its own stripe, to its left in the stripes that drop its first word.
 
-A phrase can't be more frequent than its parts, so three passes over the texts suffice: the stripe of the empty prefix
-(words); stripes of one word, over pairs of frequent words; stripes of two and of three words, over runs of frequent pairs.
-What is frequent is sent as a filter of a fixed 2^26 bits: it lets all frequent ones through and a few others, which their
-counts remove. As a longer candidate has a candidate one word longer inside it that is as frequent, one-word extensions
-decide which phrases go.
+A phrase can't be more frequent than its parts, so each pass over the texts adds a word: the stripe of the empty prefix (words),
+then stripes of one, two and three words, built only where both parts of a phrase, one word shorter, are frequent. What is
+frequent is sent as a filter of a fixed 2^26 bits: it lets all frequent ones through and a few others, which their counts
+remove. As a longer candidate has a candidate one word longer inside it that is as frequent, one-word extensions decide which
+phrases go.
 
 The stripe of the empty prefix is dealt out by word. The stripes of frequent prefixes, of which there are at most 65,536
 (`most_hot`), are dealt out in segments of about as many occurrences as the rarest of those has.
@@ -62,7 +62,7 @@ class Counting:
     a filter, how many prefixes may be frequent and how many occurrences such a one has at least, random values for bytes by seed."""
 
     stretch: int = 1 << 20
-    together: int = 1 << 20
+    together: int = 1 << 21
     filter_bits: int = 26
     most_hot: int = 1 << 16
     least_hot: int = 1 << 16
@@ -224,40 +224,32 @@ def stripes(langs: list[str], lang: np.ndarray, prefix: list[np.ndarray], segmen
 Chosen = tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]
 
 
-def _pairs(bits: int, h: np.ndarray, of: np.ndarray, same: np.ndarray, marks: np.ndarray, hot) -> Iterator[Chosen]:
-    """Occurrences of pairs of frequent words: prefix, where they begin, the next word and its segment."""
-    known = _inside(marks, _bits(bits, of, h))
-    at = np.flatnonzero(same & known[:-1] & known[1:])
-    yield [h[at]], at, h[at + 1], _segment(hot, _bits(bits, of[at], h[at]), h[at + 1])
+def _extensions(size: int, bits: int, h: np.ndarray, of: np.ndarray, same: np.ndarray, marks: np.ndarray, hot) -> Chosen:
+    """Occurrences of phrases of `size` words whose first and last size - 1 words are frequent: prefix, where they begin, the next word and its segment."""
+    m = len(h) - size + 2
+    places = _bits(bits, of[:m], *(h[i : i + m] for i in range(size - 1)))
+    known = _inside(marks, places)
+    for i in range(size - 2):
+        known &= same[i : i + m]
+    at = np.flatnonzero(known[:-1] & known[1:] & same[: m - 1])
+    following = h[at + size - 1]
+    return [h[at + i] for i in range(size - 1)], at, following, _segment(hot, places[at], following)
 
 
-def _runs(bits: int, h: np.ndarray, of: np.ndarray, same: np.ndarray, marks: np.ndarray, hot) -> Iterator[Chosen]:
-    """Occurrences of three and of four words whose pairs are all frequent."""
-    places = _bits(bits, of[:-1], h[:-1], h[1:])
-    known = same & _inside(marks, places)
-    for n in range(3, MOST_WORDS + 1):
-        runs = known[: len(known) - n + 2].copy()
-        for i in range(1, n - 1):
-            runs &= known[i : len(known) - n + 2 + i]
-        at = np.flatnonzero(runs)
-        yield [h[at + i] for i in range(n - 1)], at, h[at + n - 1], _segment(hot, places[at], h[at + n - 1])
-
-
-def _striped(docs: DataFrame, seed: int, how: Counting, choose: Callable, marks, hot) -> DataFrame:
-    """The phrases that `choose` finds, counted: stripes of each task, merged element by element where a prefix's segments meet."""
+def _striped(docs: DataFrame, seed: int, how: Counting, size: int, marks, hot) -> DataFrame:
+    """Frequent phrases of `size` words, counted: stripes of each task, merged element by element where a prefix's segments meet."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, filled, segments = how.values(seed), marks.value, hot.value
         names: dict[str, int] = {}
-        kept: dict[int, list[tuple]] = {}
+        kept: list[tuple] = []
         gathered = 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            for parts in kept.values():
-                lang, following, segment = (np.concatenate([p[i] for p in parts]) for i in (0, 2, 3))
-                prefix = [np.concatenate(x) for x in zip(*(p[1] for p in parts), strict=True)]
-                if len(lang):
-                    yield stripes(list(names), lang, prefix, segment, following)
+            if gathered:
+                lang, following, segment = (np.concatenate([p[i] for p in kept]) for i in (0, 2, 3))
+                prefix = [np.concatenate(x) for x in zip(*(p[1] for p in kept), strict=True)]
+                yield stripes(list(names), lang, prefix, segment, following)
             kept.clear()
 
         for batch in batches:
@@ -270,12 +262,12 @@ def _striped(docs: DataFrame, seed: int, how: Counting, choose: Callable, marks,
                     h, pieces = np.append(h, np.zeros(MOST_WORDS, np.uint64)), np.append(pieces, -np.arange(1, MOST_WORDS + 1))
                     starts = np.append(starts, np.full(MOST_WORDS, len(data)))
                 lang = own[rows[np.maximum(np.searchsorted(heads, starts, side="right") - 1, 0)]]
-                for prefix, at, following, segment in choose(how.filter_bits, h, hashes_of[lang], pieces[1:] == pieces[:-1], filled, segments):
-                    kept.setdefault(len(prefix), []).append((lang[at], prefix, following, segment))
-                    gathered += len(at)
+                prefix, at, following, segment = _extensions(size, how.filter_bits, h, hashes_of[lang], pieces[1:] == pieces[:-1], filled, segments)
+                kept.append((lang[at], prefix, following, segment))
+                gathered += len(at)
                 if gathered >= how.together:
-                    gathered = 0
                     yield from flushed()
+                    gathered = 0
         yield from flushed()
 
     keys = ("lang", "w1", "w2", "w3", "words", "segment")
@@ -300,12 +292,17 @@ def phrases(docs: DataFrame, how: Counting = Counting()) -> tuple[DataFrame, Dat
     frequent = stored(words.filter(F.col("f") >= LEAST).select("lang", "next", "word", "f"), "words-frequent")
     discard(words)
     occurrences = totals.agg(F.sum("n")).first()[0] or 0
-    pairs = stored(_striped(docs, seed, how, _pairs, _filter(how, frequent, "next"), _hot(how, frequent, occurrences, "next")), "stripes-1")
-    runs = _striped(docs, seed, how, _runs, _filter(how, pairs, "w1", "next"), _hot(how, pairs, occurrences, "w1", "next"))
+    levels, columns = [frequent], ["next"]
+    for size in range(2, MOST_WORDS + 1):
+        longer = _striped(docs, seed, how, size, _filter(how, levels[-1], *columns), _hot(how, levels[-1], occurrences, *columns))
+        levels.append(stored(longer, f"stripes-{size - 1}"))
+        columns = [*(f"w{i}" for i in range(1, size)), "next"]
     prefix = F.slice(F.array("w1", "w2", "w3"), F.lit(1), F.col("words").cast("int"))
-    longer = pairs.unionByName(runs).select("lang", F.concat(prefix, F.array("next")).alias("phrase"), "f")
-    found = stored(longer.unionByName(frequent.select("lang", F.array("next").alias("phrase"), "f")), "phrases")
-    discard(pairs)
+    found = frequent.select("lang", F.array("next").alias("phrase"), "f")
+    for level in levels[1:]:
+        found = found.unionByName(level.select("lang", F.concat(prefix, F.array("next")).alias("phrase"), "f"))
+    found = stored(found, "phrases")
+    discard(*levels[1:])
     return frequent, totals, found
 
 
