@@ -1,13 +1,10 @@
-"""Streams of events: counts by window, one run a minute, sessions' counters, and versions by content."""
+"""Streams of events: counts by window, one run a minute, and sessions' counters."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.operators.upserts import latest
 from granary.sources.scratch import scratch_path
 
 
@@ -17,16 +14,16 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str, files_a_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """What a stream writes until its source has nothing left: a table in the scratch folder."""
-    spark = stream.sparkSession
-    out = scratch_path(spark, f"stream-{name}")
-    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", scratch_path(spark, f"offsets-{name}"))
-    if each is not None:
-        writer.foreachBatch(each).start().awaitTermination()
-        return stream
+def continued(stream: DataFrame, checkpoint: str, out: str) -> DataFrame:
+    """Writes what is new in a stream's source to the table `out`, from where the checkpoint stands; the whole table."""
+    writer = stream.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", checkpoint)
     writer.format("parquet").option("path", out).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream writes until its source has nothing left: a table in the scratch folder."""
+    return continued(stream, scratch_path(stream.sparkSession, f"offsets-{name}"), scratch_path(stream.sparkSession, f"stream-{name}"))
 
 
 def counts_by_window(events: DataFrame, size: str = "1 hour", late: str = "1 day") -> DataFrame:
@@ -46,40 +43,3 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
     """Runs of a user's events with no gap longer than `gap`."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return timed.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
-class VersionTable:
-    """Versions of pages by content: a batch adds a row only where the content's hash differs from the key's latest.
-
-    Each batch writes its new versions, and the latest version of every key, under its number: the next batch reads one row
-    a key, not the history, and a batch that runs again replaces its own rows.
-    """
-
-    def __init__(self, spark: SparkSession, key: str, body: str):
-        self.spark, self.key, self.body = spark, key, body
-        self.path = scratch_path(spark, "versions")
-        self.numbers: set[int] = set()
-        self.schema: str | None = None
-
-    def read(self) -> DataFrame | None:
-        return None if self.schema is None else self.spark.read.schema(f"{self.schema}, batch int").parquet(f"{self.path}/added")
-
-    def _latest(self, number: int) -> DataFrame | None:
-        before = [n for n in self.numbers if n < number]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/latest-{max(before)}") if before else None
-
-    def add(self, batch: DataFrame, number: int) -> None:
-        kind = batch.schema[self.key].dataType.simpleString()
-        self.schema = f"key {kind}, hash string, version long"
-        one = latest(batch.select(self.key, self.body), [self.key], [F.col(self.body)])
-        new = one.select(F.col(self.key).alias("key"), F.sha2(self.body, 256).alias("hash"))
-        known = self._latest(number)
-        if known is None:
-            known = self.spark.createDataFrame([], self.schema)
-        both = known.join(new.withColumnRenamed("hash", "now"), "key", "full")
-        fresh = F.col("now").isNotNull() & ~F.col("now").eqNullSafe(F.col("hash"))
-        version = (F.coalesce("version", F.lit(0)) + F.when(fresh, 1).otherwise(0)).cast("long")
-        out = both.select("key", F.when(fresh, F.col("now")).otherwise(F.col("hash")).alias("hash"), version.alias("version"), fresh.alias("fresh"))
-        out.drop("fresh").write.mode("overwrite").parquet(f"{self.path}/latest-{number}")
-        out.filter("fresh").drop("fresh").write.mode("overwrite").parquet(f"{self.path}/added/batch={number}")
-        self.numbers.add(number)
