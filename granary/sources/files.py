@@ -31,7 +31,7 @@ def delimiter_of(lines: list[str]) -> str:
 def read_delimited(spark: SparkSession, path: str, most_rows: int | None = None) -> DataFrame:
     """A delimited file with a header; the delimiter is found from its first lines, blank rows go, cells are trimmed."""
     head = [r.value for r in spark.read.text(path).limit(5).collect()]
-    rows = spark.read.csv(path, sep=delimiter_of(head), header=True, multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    rows = spark.read.csv(path, sep=delimiter_of(head), header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     rows = rows.filter(F.concat_ws("", *(F.col(f"`{c}`") for c in rows.columns)) != "")
     return rows if most_rows is None else rows.limit(most_rows)
 
@@ -54,7 +54,7 @@ def read_qa(spark: SparkSession, path: str) -> DataFrame:
     missing, unknown = set(REQUIRED) - set(head), set(head) - set(QA_SCHEMA.names)
     if missing or unknown:
         raise ValueError(f"missing columns {sorted(missing)}, unknown columns {sorted(unknown)}")
-    rows = spark.read.csv(path, header=True, schema=T.StructType([QA_SCHEMA[c] for c in head]), multiLine=True)
+    rows = spark.read.csv(path, header=True, schema=T.StructType([QA_SCHEMA[c] for c in head]), multiLine=True, escape='"')
     for c in set(QA_SCHEMA.names) - set(head):
         rows = rows.withColumn(c, F.lit(None).cast("string"))
     return rows.select(strip(F.col("question")).alias("question"), strip(F.col("answer")).alias("answer"), similar_questions("similar_questions").alias("similar_questions"), strip(F.col("category")).alias("category"), tags_of("tags").alias("tags"), enabled(F.col("enabled")).alias("is_enabled"))
