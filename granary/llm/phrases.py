@@ -41,6 +41,7 @@ LEAST = 30
 WITHIN = 80
 FIRST = 2000
 UNIT = 2_000_000
+LEAST_SHARD_BITS, MOST_SHARD_BITS = 10, 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: What ends a piece, and what else separates words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -62,7 +63,7 @@ class Counting:
     a filter, how many prefixes may be frequent and how many occurrences such a one has at least, random values for bytes by seed."""
 
     stretch: int = 1 << 20
-    together: int = 1 << 21
+    together: int = 1 << 20
     filter_bits: int = 26
     most_hot: int = 1 << 16
     least_hot: int = 1 << 16
@@ -203,22 +204,26 @@ def _segment(hot: tuple[np.ndarray, np.ndarray], prefix: np.ndarray, following:
     return ((following >> np.uint64(8)) % many.astype(np.uint64)).astype(np.int64)
 
 
-def stripes(langs: list[str], lang: np.ndarray, prefix: list[np.ndarray], segment: np.ndarray, following: np.ndarray) -> pa.RecordBatch:
-    """The stripes of occurrences: lang, w1, w2, w3 (0 where the prefix is shorter), words (its length), segment, and the next words with their counts."""
-    order = np.lexsort((following, segment, *prefix[::-1], lang))
-    keys = [x[order] for x in (lang, *prefix, segment)]
-    following = following[order]
-    stripe = np.append(True, np.any([x[1:] != x[:-1] for x in keys], axis=0))
-    entry = stripe.copy()
-    entry[1:] |= following[1:] != following[:-1]
-    entries, heads = np.flatnonzero(entry), np.flatnonzero(stripe)
+def bundles(langs: list[str], lang: np.ndarray, prefix: list[np.ndarray], segment: np.ndarray, following: np.ndarray, shard_bits: int) -> pa.RecordBatch:
+    """The stripes of occurrences, those that meet in one place as a row: lang, shard, and by entry the prefix (w1 and so on), the next word and their number.
+
+    A prefix's hash, in segments if it is frequent, says where its stripes meet."""
+    place = mixed(segment.astype(np.uint64) + _STEP)
+    for w in prefix:
+        place = mixed(place * _STEP + w)
+    order = np.lexsort((following, place, lang))
+    shard = (place[order] >> np.uint64(64 - shard_bits)).astype(np.int64)
+    lang, following, prefix = lang[order], following[order], [w[order] for w in prefix]
+    row = np.append(True, (shard[1:] != shard[:-1]) | (lang[1:] != lang[:-1]))
+    entry = row.copy()
+    entry[1:] |= np.any([x[1:] != x[:-1] for x in (*prefix, following)], axis=0)
+    entries, heads = np.flatnonzero(entry), np.flatnonzero(row)
     offsets = pa.array(np.append(np.searchsorted(entries, heads), len(entries)).astype(np.int32))
     counts = np.diff(np.append(entries, len(order)))
-    columns = [pa.array(langs, pa.string()).take(pa.array(keys[0][heads]))]
-    columns += [pa.array(x[heads].view(np.int64)) for x in keys[1:-1]] + [pa.array(np.zeros(len(heads), np.int64))] * (3 - len(prefix))
-    columns += [pa.array(np.full(len(heads), len(prefix), np.int64)), pa.array(keys[-1][heads])]
-    columns += [pa.ListArray.from_arrays(offsets, pa.array(following[entries].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(counts))]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "w1", "w2", "w3", "words", "segment", "following", "counts"])
+    columns = [pa.array(langs, pa.string()).take(pa.array(lang[heads])), pa.array(shard[heads])]
+    columns += [pa.ListArray.from_arrays(offsets, pa.array(x[entries].view(np.int64))) for x in (*prefix, following)]
+    columns.append(pa.ListArray.from_arrays(offsets, pa.array(counts)))
+    return pa.RecordBatch.from_arrays(columns, ["lang", "shard", *(f"w{i + 1}" for i in range(len(prefix))), "next", "n"])
 
 
 Chosen = tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]
@@ -236,8 +241,10 @@ def _extensions(size: int, bits: int, h: np.ndarray, of: np.ndarray, same: np.nd
     return [h[at + i] for i in range(size - 1)], at, following, _segment(hot, places[at], following)
 
 
-def _striped(docs: DataFrame, seed: int, how: Counting, size: int, marks, hot) -> DataFrame:
-    """Frequent phrases of `size` words, counted: stripes of each task, merged element by element where a prefix's segments meet."""
+def _striped(docs: DataFrame, seed: int, how: Counting, size: int, occurrences: int, marks, hot) -> DataFrame:
+    """Frequent phrases of `size` words, counted: stripes of each task, merged element by element where those of a prefix meet."""
+    # About as many places as there are so many occurrences, at least enough for a few hundred tasks.
+    shard_bits = min(max((occurrences // how.least_hot).bit_length(), LEAST_SHARD_BITS), MOST_SHARD_BITS)
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, filled, segments = how.values(seed), marks.value, hot.value
@@ -249,7 +256,7 @@ def _striped(docs: DataFrame, seed: int, how: Counting, size: int, marks, hot) -
             if gathered:
                 lang, following, segment = (np.concatenate([p[i] for p in kept]) for i in (0, 2, 3))
                 prefix = [np.concatenate(x) for x in zip(*(p[1] for p in kept), strict=True)]
-                yield stripes(list(names), lang, prefix, segment, following)
+                yield bundles(list(names), lang, prefix, segment, following, shard_bits)
             kept.clear()
 
         for batch in batches:
@@ -270,13 +277,13 @@ def _striped(docs: DataFrame, seed: int, how: Counting, size: int, marks, hot) -
                     gathered = 0
         yield from flushed()
 
-    keys = ("lang", "w1", "w2", "w3", "words", "segment")
-    schema = "lang string, w1 long, w2 long, w3 long, words long, segment long, following array<long>, counts array<long>"
-    met = _texts(docs).mapInArrow(built, schema).repartition(*keys)
-    entries = met.select(*keys, F.explode(F.arrays_zip("following", "counts")).alias("e")).select(*keys, F.col("e.following").alias("next"), F.col("e.counts").alias("n"))
-    # Dealt by the stripe already: merging shuffles nothing.
-    merged = entries.groupBy(*keys, "next").agg(F.sum("n").alias("f")).filter(F.col("f") >= LEAST)
-    return merged.select("lang", "w1", "w2", "w3", "words", "next", "f")
+    prefix = [f"w{i}" for i in range(1, size)]
+    arrays = ", ".join(f"{c} array<long>" for c in (*prefix, "next", "n"))
+    met = _texts(docs).mapInArrow(built, f"lang string, shard long, {arrays}").repartition("shard")
+    entries = met.select("lang", "shard", F.explode(F.arrays_zip(*prefix, "next", "n")).alias("e")).select("lang", "shard", "e.*")
+    # Dealt by where a stripe's parts meet already: merging shuffles nothing.
+    merged = entries.groupBy("lang", "shard", *prefix, "next").agg(F.sum("n").alias("f")).filter(F.col("f") >= LEAST)
+    return merged.select("lang", *prefix, "next", "f")
 
 
 def phrases(docs: DataFrame, how: Counting = Counting()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -294,13 +301,12 @@ def phrases(docs: DataFrame, how: Counting = Counting()) -> tuple[DataFrame, Dat
     occurrences = totals.agg(F.sum("n")).first()[0] or 0
     levels, columns = [frequent], ["next"]
     for size in range(2, MOST_WORDS + 1):
-        longer = _striped(docs, seed, how, size, _filter(how, levels[-1], *columns), _hot(how, levels[-1], occurrences, *columns))
+        longer = _striped(docs, seed, how, size, occurrences, _filter(how, levels[-1], *columns), _hot(how, levels[-1], occurrences, *columns))
         levels.append(stored(longer, f"stripes-{size - 1}"))
         columns = [*(f"w{i}" for i in range(1, size)), "next"]
-    prefix = F.slice(F.array("w1", "w2", "w3"), F.lit(1), F.col("words").cast("int"))
     found = frequent.select("lang", F.array("next").alias("phrase"), "f")
     for level in levels[1:]:
-        found = found.unionByName(level.select("lang", F.concat(prefix, F.array("next")).alias("phrase"), "f"))
+        found = found.unionByName(level.select("lang", F.array(*level.columns[1:-1]).alias("phrase"), "f"))
     found = stored(found, "phrases")
     discard(*levels[1:])
     return frequent, totals, found

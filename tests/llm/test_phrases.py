@@ -98,7 +98,7 @@ def test_no_rows(spark):
 def test_stripes_are_merged_without_another_shuffle(spark):
     docs = frame(spark, texts(5, 50))
     sc = spark.sparkContext
-    merged = phrases._striped(docs, 0, Counting(), 2, sc.broadcast(np.full(1 << Counting.filter_bits - 5, 0xFFFFFFFF, np.uint32)), sc.broadcast((np.zeros(0, np.int64),) * 2))
+    merged = phrases._striped(docs, 0, Counting(), 2, 1000, sc.broadcast(np.full(1 << Counting.filter_bits - 5, 0xFFFFFFFF, np.uint32)), sc.broadcast((np.zeros(0, np.int64),) * 2))
     merged.collect()
     plan = merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
     assert plan.count("Exchange hashpartitioning") == 1
