@@ -180,23 +180,24 @@ def tagged_with_all(bindings: DataFrame, target: str, tag: str, tags: list) -> D
 
 
 def json_paths(rows: DataFrame, column: str, most: int = 20) -> DataFrame:
-    """path, n, values: the scalar fields found in JSON objects, nested ones by dotted path, with how many rows have a value and
-    up to `most` of the values, the least ones. Items of arrays count as values of the array."""
-    found, level = None, rows.select(F.lit("").alias("above"), F.col(column).alias("json"))
-    for _ in range(MOST_DEPTH):
+    """path, n, values: the scalar fields found in JSON objects, nested ones by dotted path however deep, with how many values
+    they have and up to `most` of the different values, the least ones. Items of arrays count as values of the array, each."""
+    spark = rows.sparkSession
+    level, tables = rows.select(F.lit("").alias("above"), F.col(column).alias("json")), []
+    while True:
         pairs = level.select("above", F.explode(F.from_json("json", "map<string,string>")).alias("key", "value")).filter("trim(key) <> '' and value is not null")
         # Each level is read from its own table, so that a deep one doesn't parse all above it again.
-        path = scratch_path(rows.sparkSession, "json-paths")
+        path = scratch_path(spark, "json-paths")
         pairs.select(F.concat("above", F.trim("key")).alias("path"), "value").write.parquet(path)
-        pairs = rows.sparkSession.read.schema("path string, value string").parquet(path)
+        pairs = spark.read.schema("path string, value string").parquet(path)
         nested, listed = F.col("value").rlike(r"^\s*\{"), F.col("value").rlike(r"^\s*\[")
         items = pairs.filter(listed).select("path", F.explode(F.from_json("value", "array<string>")).alias("value")).filter(~F.col("value").rlike(r"^\s*[\[{]"))
-        scalars = pairs.filter(~nested & ~listed).unionByName(items)
-        found = scalars if found is None else found.unionByName(scalars)
-        if pairs.filter(nested).isEmpty():
+        tables.append(pairs.filter(~nested & ~listed).unionByName(items))
+        deeper = pairs.filter(nested)
+        if deeper.isEmpty():
             break
-        level = pairs.filter(nested).select(F.concat("path", F.lit(".")).alias("above"), F.col("value").alias("json"))
-    found = found.filter("trim(value) <> ''")
+        level = deeper.select(F.concat("path", F.lit(".")).alias("above"), F.col("value").alias("json"))
+    found = reduce(DataFrame.unionByName, tables).filter("trim(value) <> ''")
     first = F.row_number().over(Window.partitionBy("path").orderBy("value"))
     few = found.distinct().withColumn("_n", first).filter(F.col("_n") <= most).groupBy("path").agg(F.array_sort(F.collect_list("value")).alias("values"))
     return found.groupBy("path").agg(F.count("*").alias("n")).join(few, "path")

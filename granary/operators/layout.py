@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from granary.functions import text
 from granary.functions.text import mixed_units, strip
-from granary.operators.chunking import packed_sized
 
 # Ends of paragraphs, beginnings that never go on with one, and how far lines of one may lie apart.
 PARAGRAPH_END = r"[。！？?!]$"
@@ -139,16 +138,55 @@ def joined_tables(tables: DataFrame, by: str, order: str) -> DataFrame:
     return grouped.select(by, "island", F.element_at("parts", 1)[order].alias("first"), F.size("parts").alias("n_parts"), F.element_at("parts", 1)["header"].alias("header"), F.aggregate(rest, start, step).alias("rows"))
 
 
+#: Kinds of elements whose content is text, least size, most of a size that is overlap.
+TEXT_KINDS, LEAST_SIZE, MOST_OVERLAP = ("text", "title", "code", "table", "image"), 80, 0.3
+
+
+def layout_elements(elements: DataFrame, by: str) -> DataFrame:
+    """Elements (by, idx, type, content, page_no, bbox) that chunks are made of, with `place` in reading order: by page, top, left and
+    idx. Other kinds, blank contents and elements without page or a box of some extent go; an image stands as a reference."""
+    kind, content = F.lower(F.coalesce("type", F.lit(""))), strip(F.coalesce("content", F.lit("")))
+    box = F.transform("bbox", lambda v: v.cast("double"))
+    sound = (F.size("bbox") == 4) & F.forall("bbox", lambda v: v.isNotNull()) & (F.get(box, F.lit(2)) > F.get(box, F.lit(0))) & (F.get(box, F.lit(3)) > F.get(box, F.lit(1)))
+    kept = elements.filter(kind.isin(*TEXT_KINDS) & (content != "") & F.col("page_no").isNotNull() & F.coalesce(sound, F.lit(False)))
+    shown = F.when(kind == "image", F.concat(F.lit("![image]("), content, F.lit(")"))).otherwise(content)
+    return kept.withColumn("content", shown).withColumn("place", F.struct("page_no", F.get(box, F.lit(1)), F.get(box, F.lit(0)), "idx"))
+
+
+def with_tail(pieces: Column, size: int, overlap: int, joiner: str) -> Column:
+    """Pieces (p: text, n: units) packed to `size`, each chunk beginning with the last pieces of the one before: one, and those before
+    it as long as all fit `overlap`. The tail counts towards the chunk, but what follows is added to it even if that is over the size."""
+    kind = "struct<done: array<string>, now: array<struct<p: string, n: bigint>>, n: bigint>"
+    none = F.array().cast("array<struct<p: string, n: bigint>>")
+    total = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    joined = lambda some: F.array_join(F.transform(some, lambda x: x["p"]), joiner)
+
+    def tail(some: Column) -> Column:
+        ends = F.sequence(F.size(some), F.lit(1), F.lit(-1))
+        fits = F.filter(ends, lambda i: (i == F.size(some)) | (total(F.slice(some, i, F.size(some))) <= overlap))
+        return F.slice(some, F.array_min(fits), F.size(some)) if overlap > 0 else none
+
+    def step(s: Column, x: Column) -> Column:
+        full = (F.size(s["now"]) > 0) & (s["n"] + x["n"] > size)
+        kept = F.when(full, tail(s["now"])).otherwise(s["now"])
+        done = F.when(full, F.array_append(s["done"], joined(s["now"]))).otherwise(s["done"])
+        return F.struct(done.alias("done"), F.array_append(kept, x).alias("now"), (total(kept) + x["n"]).alias("n")).cast(kind)
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), none.alias("now"), F.lit(0).cast("long").alias("n")).cast(kind)
+    return F.aggregate(pieces, start, step, lambda s: F.when(F.size(s["now"]) > 0, F.array_append(s["done"], joined(s["now"]))).otherwise(s["done"]))
+
+
 def layout_chunks(elements: DataFrame, by: str, order: str, size: int, overlap: int = 0) -> DataFrame:
-    """by, position, content: elements in reading order packed to `size` units (80 at least), each chunk beginning with the last
-    elements of the one before, as far as they come to `overlap` (a third of the size at most)."""
-    target = max(80, size)
-    tail = max(0, min(overlap, int(target * 0.3)))
+    """by, position, content: elements (by, order, content) in order, packed to `size` units (80 at least), each chunk beginning with the
+    last elements of the one before, as far as they come to `overlap` (three tenths of the size at most; always one)."""
+    target = max(LEAST_SIZE, size)
+    most = max(0, min(overlap, int(target * MOST_OVERLAP)))
     units = F.greatest(F.lit(1).cast("long"), mixed_units("content"))
     filled = elements.filter(strip(F.coalesce("content", F.lit(""))) != "")
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct(order, F.col("content").alias("p"), units.alias("n")))), lambda x: F.named_struct(F.lit("p"), x["p"], F.lit("n"), x["n"]))
-    docs = filled.groupBy(by).agg(pieces.alias("pieces"))
-    return docs.select(by, F.posexplode(packed_sized(F.col("pieces"), target, "\n", overlap=1 if tail else 0)).alias("position", "content"))
+    in_order = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), F.col("content").alias("_p"), units.alias("_n"))))
+    pieces = F.transform(in_order, lambda x: F.struct(x["_p"].alias("p"), x["_n"].alias("n")))
+    docs = filled.groupBy(by).agg(pieces.alias("_pieces"))
+    return docs.select(by, F.posexplode(with_tail(F.col("_pieces"), target, most, "\n")).alias("position", "content"))
 
 
 @dataclass(frozen=True)

@@ -293,12 +293,17 @@ def split_html_table(table: Column, budget: int) -> Column:
 
 def page_chunks(sections: DataFrame, key: str, size: int) -> DataFrame:
     """key, section_no, role, position, content: chunks of sections (`page_sections`). Each section has a root that isn't
-    searched; its texts are packed to `size` units under the title; each table is a leaf, or a parent with its parts."""
+    searched; the texts between two tables are packed to `size` units under the title, which stands for the headings; each
+    table is a leaf, or a parent with its parts."""
     head = F.when(F.col("title") != "", F.concat(F.lit("# "), "title", F.lit("\n")))
     root = sections.select(key, "section_no", F.lit("web_root").alias("role"), F.lit(0).alias("position"), F.lit(0).alias("part"), F.lit(False).alias("vectorize"), F.col("markdown").alias("content"))
-    texts = F.filter("blocks", lambda b: (b["type"] != "table") & is_meaningful(b["text"]))
-    sized = F.transform(texts, lambda b: F.named_struct(F.lit("p"), b["text"], F.lit("n"), mixed_units(b["text"])))
-    leaves = sections.select(key, "section_no", "title", F.posexplode(packed_sized(sized, size, "\n\n")).alias("position", "p"))
+    is_table = lambda b: b["type"] == "table"
+    tables_before = lambda i: F.size(F.filter(F.slice("blocks", F.lit(1), i), is_table))
+    texts = F.transform("blocks", lambda b, i: F.struct(b["type"].alias("type"), b["text"].alias("p"), mixed_units(b["text"]).alias("n"), tables_before(i).alias("run")))
+    said = F.filter(texts, lambda b: ~b["type"].isin("table", "heading") & is_meaningful(b["p"]))
+    run = lambda j: F.transform(F.filter("_said", lambda b: b["run"] == j), lambda b: F.struct(b["p"], b["n"]))
+    runs = F.transform(F.sequence(F.lit(0), F.size(F.filter("blocks", is_table))), lambda j: packed_sized(run(j), size, "\n\n"))
+    leaves = sections.withColumn("_said", said).select(key, "section_no", "title", F.posexplode(F.flatten(runs)).alias("position", "p"))
     leaves = leaves.select(key, "section_no", F.lit("web_text").alias("role"), "position", F.lit(0).alias("part"), F.lit(True).alias("vectorize"), F.concat_ws("", head, "p").alias("content"))
     tables = sections.select(key, "section_no", F.posexplode(F.filter("blocks", lambda b: b["type"] == "table")).alias("position", "b")).select(key, "section_no", "position", F.col("b.text").alias("text"), F.col("b.format").alias("format"))
     small = mixed_units("text") <= size

@@ -57,36 +57,33 @@ FIELDS = """o AS (SELECT 0 AS field_no, 'tier' AS field, p_type AS value, 0 AS t
 
 @query(
     f"""WITH {Q}, {FIELDS}, m AS (SELECT query_id, field_no, field, value, text_no, least(0.99, round(CASE WHEN text = value THEN 0.96 ELSE 0.92 END + CASE WHEN len(list_filter(hints, lambda h: length(h) > 1 AND contains(lower(query), h))) > 0 THEN 0.02 ELSE 0 END, 4)) AS confidence FROM q JOIN o ON contains(lower(query), lower(text)))
-    SELECT query_id, field AS target, max(confidence)::DOUBLE AS confidence, count(DISTINCT value) AS n_values FROM m GROUP BY 1, 2"""
+    SELECT query_id, field AS target, value, confidence::DOUBLE AS confidence FROM m QUALIFY row_number() OVER (PARTITION BY query_id, field ORDER BY confidence DESC, text_no, length(value) DESC, value DESC) = 1"""
 )
 def query_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values of fields that a query names: surer if the field is named, too. Values of one brand within another tie, so
-    their number stands for them."""
+    """Values of fields that a query names: surer if the field is named, too. Of values that hold one another the longest counts."""
     part = table(spark, sf_dir, "part")
     hints = lambda *h: F.array(*map(F.lit, h))
     tiers = part.select("p_type").distinct().select(F.lit(0).alias("field_no"), F.lit("tier").alias("field"), F.col("p_type").alias("value"), F.lit(0).alias("text_no"), F.col("p_type").alias("text"), hints("show", "z").alias("hints"))
     makers = part.select("p_brand").distinct().select(F.lit(1).alias("field_no"), F.lit("maker").alias("field"), F.substring("p_brand", 7, 9).alias("value"), F.lit(1).alias("text_no"), F.col("p_brand").alias("text"), hints("maker").alias("hints"))
     colors = part.select(F.explode(F.split("p_name", " ")).alias("w")).distinct().filter(F.col("w").isin("red", "blue", "green")).select(F.lit(2).alias("field_no"), F.lit("color").alias("field"), F.col("w").alias("value"), F.lit(0).alias("text_no"), F.col("w").alias("text"), hints("hue", "of").alias("hints"))
     options = tiers.unionByName(makers).unionByName(colors)
-    found = analysis.match_fields(_queries(spark, sf_dir), options)
-    number = analysis.contained(_queries(spark, sf_dir), "query_id", "query", options, "text").groupBy("query_id", F.col("field").alias("target")).agg(F.countDistinct("value").alias("n_values"))
-    return found.join(number, ["query_id", "target"]).select("query_id", "target", "confidence", "n_values")
+    return analysis.match_fields(_queries(spark, sf_dir), options).select("query_id", "target", "value", "confidence")
 
 
 @query(
-    f"""WITH {Q}, l AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS item_no, p_type AS term, [p_name, ' '] AS aliases, p_size / 10.0 - 1 AS weight, p_partkey % 7 <> 0 AS enabled FROM part WHERE p_partkey < 200),
+    f"""WITH {Q}, l AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS item_no, p_type AS term, [p_name, ' '] AS aliases, p_size / 10.0 - 1 AS weight, p_partkey % 7 <> 0 AS enabled FROM part),
     m AS (SELECT query_id, item_no::INT AS item_no, term, round(greatest(0, least(2, weight)), 4)::DOUBLE AS weight, CASE WHEN contains(lower(query), lower(term)) THEN term ELSE aliases[1] END AS matched_text FROM q JOIN l ON item_no < 120 AND enabled AND (contains(lower(query), lower(term)) OR contains(lower(query), lower(aliases[1]))))
     SELECT * FROM m"""
 )
 def query_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexicon items of which a query contains the term or an alias."""
-    items = table(spark, sf_dir, "part").filter("p_partkey < 200")
+    items = table(spark, sf_dir, "part")
     lexicon = items.select(F.col("p_partkey").cast("int").alias("item_no"), F.col("p_type").alias("term"), F.array("p_name", F.lit(" ")).alias("aliases"), (F.col("p_size") / 10.0 - 1).alias("weight"), (F.col("p_partkey") % 7 != 0).alias("enabled"))
     return analysis.match_lexicon(_queries(spark, sf_dir), lexicon)
 
 
 @query(
-    f"""WITH {Q}, g AS (SELECT p_partkey AS entry_id, p_name AS term, p_partkey % 2 = 0 AS own FROM part WHERE p_partkey < 150), f AS (SELECT p_partkey AS query_id, p_name AS term FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT p_partkey, 'red widget' FROM part WHERE p_partkey % 4 = 0),
+    f"""WITH {Q}, g AS (SELECT p_partkey AS entry_id, p_name AS term, p_partkey % 2 = 0 AS own FROM part), f AS (SELECT p_partkey AS query_id, p_name AS term FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT p_partkey, 'red widget' FROM part WHERE p_partkey % 4 = 0),
     b AS (SELECT query_id, g.* FROM q JOIN g ON contains(lower(query), lower(term)) UNION SELECT query_id, g.* FROM f JOIN g USING (term)),
     o AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY query_id, lower(term) ORDER BY own DESC, entry_id) = 1)
     SELECT query_id, entry_id, term, row_number() OVER (PARTITION BY query_id ORDER BY own DESC, entry_id)::INT AS rank FROM o QUALIFY rank <= 2"""
@@ -94,7 +91,7 @@ def query_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glossary entries that a query contains or that synonyms force on it."""
     part = table(spark, sf_dir, "part")
-    glossary = part.filter("p_partkey < 150").select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("term"), (F.col("p_partkey") % 2 == 0).alias("own"))
+    glossary = part.select(F.col("p_partkey").alias("entry_id"), F.col("p_name").alias("term"), (F.col("p_partkey") % 2 == 0).alias("own"))
     forced = part.filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("term"))
     forced = forced.unionByName(part.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("query_id"), F.lit("red widget").alias("term")))
     return analysis.glossary_entries(_queries(spark, sf_dir), glossary, forced, 2).select("query_id", "entry_id", "term", "rank")

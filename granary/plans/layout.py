@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.operators import layout
+from granary.plans.chunks import UNITS
 from granary.plans.registry import query
 from granary.sources.tables import table
 
@@ -75,10 +76,24 @@ def page_text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", quality["reason"].alias("reason"))
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE e AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 3 THEN '![image](' || trim(text) || ')' ELSE trim(text) END AS p, turn // 4 AS page, 50.0 - turn % 4 // 2 AS y0, 10.0 * (turn % 2) AS x0 FROM conversations WHERE turn % 7 <> 4 AND trim(text) <> '' AND turn % 9 <> 8),
+    k AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY page, y0, x0, turn) AS i, p, greatest(1, {UNITS.replace("{p}", "p")})::BIGINT AS n FROM e),
+    r AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, []::VARCHAR[] AS done, []::STRUCT(p VARCHAR, n BIGINT)[] AS now FROM k
+      UNION ALL SELECT conv_id, i, CASE WHEN over THEN list_append(done, array_to_string(list_transform(now, lambda x: x.p), chr(10))) ELSE done END, list_append(CASE WHEN over THEN now[tail:] ELSE now END, {{'p': p, 'n': n}}) FROM (
+        SELECT k.conv_id, k.i, k.p, k.n, r.done, r.now, len(r.now) > 0 AND list_sum(list_transform(r.now, lambda x: x.n)) + k.n > 80 AS over, list_filter(range(1, len(r.now) + 1), lambda j: j = len(r.now) OR list_sum(list_transform(r.now[j:], lambda x: x.n)) <= 24)[1] AS tail
+        FROM r JOIN k ON k.conv_id = r.conv_id AND k.i = r.i + 1)),
+    f AS (SELECT conv_id, list_append(done, array_to_string(list_transform(now, lambda x: x.p), chr(10))) AS parts FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1 AND i > 0)
+    SELECT conv_id, (j - 1)::INT AS position, parts[j] AS content FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS j FROM f)"""
+)
 def layout_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements in reading order packed to a budget."""
-    return layout.layout_chunks(table(spark, sf_dir, "conversations").withColumnRenamed("text", "content"), "conv_id", "turn", 200, 40)
+    """Elements of pages in reading order packed to a budget, with the last ones carried over; footers and elements without a box go."""
+    turn = F.col("turn")
+    x0, y0 = 10.0 * (turn % 2), 50.0 - F.floor(turn % 4 / 2)
+    kind = F.when(turn % 7 == 4, "footer").when(turn % 5 == 3, "Image").otherwise("text")
+    box = F.when(turn % 9 == 8, F.array(x0, y0, x0, y0)).otherwise(F.array(x0, y0, x0 + 5, y0 + 1))
+    elements = table(spark, sf_dir, "conversations").select("conv_id", turn.alias("idx"), kind.alias("type"), F.col("text").alias("content"), F.floor(turn / 4).cast("int").alias("page_no"), box.alias("bbox"))
+    return layout.layout_chunks(layout.layout_elements(elements, "conv_id"), "conv_id", "place", 80, 40)
 
 
 @query(

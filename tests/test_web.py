@@ -43,9 +43,19 @@ def test_page_chunks(spark):
     pages = spark.createDataFrame(rows, "page_id long, html string")
     out = web.page_chunks(web.page_sections(web.with_selector(pages, "html", " "), "page_id"), "page_id", 30).collect()
     of = lambda page, role: [r.content for r in sorted(out, key=lambda r: (r.section_no, r.position, r.part)) if r.page_id == page and r.role == role]
-    assert len(of(1, "web_root")) == 3 and of(1, "web_text")[0].startswith("# Guide\n# Guide") and not of(3, "web_root")
-    assert of(2, "web_text") == ["# T\n### T"]
+    assert len(of(1, "web_root")) == 3 and of(1, "web_text")[0].startswith("# Guide\n") and "# Guide\n# Guide" not in of(1, "web_text")[0] and not of(3, "web_root")
+    assert of(2, "web_text") == []
     markdown, html = [p for p in of(2, "web_table_fragment") if p[0] == "|"], [p for p in of(2, "web_table_fragment") if p[0] == "<"]
     assert sum(len(p.split("\n")) - 2 for p in markdown) == 40 and all(p.startswith("| k | v |\n| --- | --- |\n") for p in markdown)
     assert sum(p.count("<td>") for p in html) == 40 and all(p.startswith('<table><tr><th rowspan="2">k</th></tr>') and p.endswith("</table>") for p in html)
     assert len(of(2, "web_table_parent")) == 2 and all(not r.vectorize for r in out if r.role in ("web_root", "web_table_parent"))
+
+
+def test_texts_of_a_page_end_at_tables(spark):
+    block = lambda kind, text: (kind, text, "markdown" if kind == "table" else "text")
+    blocks = [block("heading", "# T"), block("paragraph", "one"), block("list", "two"), block("table", "| a |"), block("paragraph", "menu"), block("table", "| b |"), block("heading", "## U"), block("paragraph", "three"), block("paragraph", "w " * 40), block("paragraph", "four")]
+    schema = "page_id int, section_no int, title string, markdown string, blocks array<struct<type: string, text: string, format: string>>"
+    rows = spark.createDataFrame([(1, 0, "T", "m", blocks), (2, 0, "", "m", []), (3, 0, "", "m", [block("paragraph", "alone")])], schema)
+    out = web.page_chunks(rows, "page_id", 30).filter("role = 'web_text'").collect()
+    got = {p: [r.content for r in sorted(out, key=lambda r: r.position) if r.page_id == p] for p in (1, 2, 3)}
+    assert got == {1: ["# T\none\n\ntwo", "# T\nthree", "# T\n" + "w " * 40, "# T\nfour"], 2: [], 3: ["alone"]}
