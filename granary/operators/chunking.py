@@ -6,6 +6,8 @@ the pieces of one text in an aggregate expression, so that no text leaves the JV
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +78,16 @@ def paragraph_chunks(c: Column | str, budget: int, overlap: int = 0) -> Column:
     return packed(paragraphs(c), budget, "\n\n", size=mixed_units, overlap=overlap)
 
 
+def paragraphs_by(c: Column | str, budget: int, counter: Any, overlap: int = 0) -> Column:
+    """Paragraphs packed to a budget of a counter's units: anything whose `sized` gives pieces with sizes, as tokens do."""
+    return packed_sized(counter.sized(paragraphs(c)), budget, "\n\n", overlap)
+
+
+def sentences_by(c: Column | str, budget: int, counter: Any, overlap: int = 1) -> Column:
+    """Sentences packed to a budget of a counter's units."""
+    return packed_sized(counter.sized(sentences(c)), budget, " ", overlap)
+
+
 def recursive_chunks(c: Column | str, budget: int) -> Column:
     """Packed lines; a line over the budget as packed sentences, a sentence over it as packed words, a word as windows."""
     by_window = lambda w: F.transform(windows(w, budget, 0), lambda x: x["content"])

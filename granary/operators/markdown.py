@@ -57,6 +57,75 @@ def split_wide_table(c: Column, columns: int) -> Column:
     return F.when(width <= columns, F.array(c)).otherwise(F.transform(starts, lambda at: F.array_join(F.transform(rows, lambda r: line(r, at)), "\n")))
 
 
+def split_header_heavy_table(c: Column, budget: int) -> Column:
+    """A table whose header takes more than the budget allows, cut by columns and then by rows: columns are dealt in order into
+    groups whose header takes half of the budget at most (one column at least), the first column, the key, stands in each, and
+    the rows of each group are packed as `split_table` does."""
+    rows = F.transform(_lines(c), lambda r: F.transform(F.split(F.regexp_replace(r, r"^\s*\||\|\s*$", ""), r"(?<!\\)\|"), lambda x: F.trim(x)))
+    head = F.try_element_at(rows, F.lit(1))
+    # A cell takes its text, its rule below and the bars beside both.
+    cost = lambda cell: mixed_units(cell) + 5
+    room = F.greatest(F.lit(budget // 2).cast("long") - cost(head[0]), F.lit(1).cast("long"))
+    kind = "struct<done: array<array<int>>, now: array<int>, n: bigint>"
+    none = F.array().cast("array<int>")
+
+    def step(s: Column, i: Column) -> Column:
+        n = cost(F.get(head, i))
+        full = (F.size(s["now"]) > 0) & (s["n"] + n > room)
+        return F.struct(F.when(full, F.array_append(s["done"], s["now"])).otherwise(s["done"]).alias("done"), F.array_append(F.when(full, none).otherwise(s["now"]), i).alias("now"), (F.when(full, 0).otherwise(s["n"]) + n).alias("n")).cast(kind)
+
+    start = F.struct(F.array().cast("array<array<int>>").alias("done"), none.alias("now"), F.lit(0).cast("long").alias("n")).cast(kind)
+    groups = F.aggregate(F.sequence(F.lit(1), F.size(head) - 1), start, step, lambda s: F.array_append(s["done"], s["now"]))
+    cells = lambda r, group: F.concat(F.array(F.coalesce(F.get(r, F.lit(0)), F.lit(""))), F.transform(group, lambda i: F.coalesce(F.get(r, i), F.lit(""))))
+    line = lambda r, group: F.concat(F.lit("| "), F.array_join(cells(r, group), " | "), F.lit(" |"))
+    table = lambda group: F.array_join(F.transform(rows, lambda r: line(r, group)), "\n")
+    return F.when(F.size(head) <= 2, split_table(c, budget)).otherwise(F.flatten(F.transform(groups, lambda g: split_table(table(g), budget))))
+
+
+def header_units(c: Column) -> Column:
+    """What the header of a table takes."""
+    return mixed_units(F.array_join(F.slice(_lines(c), 1, 2), "\n"))
+
+
+# Tags that have no end.
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+
+
+def split_html(c: Column, budget: int) -> Column:
+    """HTML cut to a budget of units so that each part is balanced: what is open at a cut is closed before it and opened again behind.
+
+    Cuts come between words, and never right before an end tag or after a start tag. An end tag ends what is open within its
+    element, too; one that nothing opened is left out. The texts of the parts together are that of the whole. A part is
+    over the budget only where the tags around one word are.
+    """
+    tokens = F.regexp_extract_all(c, F.lit(r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>|<![^>]*>|[^<\s]+\s*|\s+|<"), F.lit(0))
+    tag = "struct<name: string, tag: string>"
+    kind = f"struct<done: array<string>, now: string, n: bigint, said: boolean, open: array<{tag}>>"
+    closers = lambda open_: F.array_join(F.transform(F.reverse(open_), lambda t: F.concat(F.lit("</"), t["name"], F.lit(">"))), "")
+    openers = lambda open_: F.array_join(F.transform(open_, lambda t: t["tag"]), "")
+    tail = lambda open_: 4 * F.size(open_)  # noqa: E731  an end tag takes four units
+
+    def step(s: Column, x: Column) -> Column:
+        name = F.lower(F.regexp_extract(x, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1))
+        ends, begins = x.startswith("</"), x.rlike(r"^<[A-Za-z]") & ~x.rlike(r"/>$") & ~name.isin(*VOID_TAGS)
+        units = mixed_units(x)
+        # A start tag is put off with what follows it: it never ends a part.
+        full = s["said"] & ~ends & (s["n"] + units + tail(s["open"]) > budget)
+        done = F.when(full, F.array_append(s["done"], F.concat(s["now"], closers(s["open"])))).otherwise(s["done"])
+        now = F.when(full, openers(s["open"])).otherwise(s["now"])
+        n = F.when(full, mixed_units(openers(s["open"]))).otherwise(s["n"])
+        said = F.when(full, False).otherwise(s["said"])
+        at = F.array_max(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(s["open"]), F.lit(1))), lambda i: F.coalesce(F.try_element_at(s["open"], i)["name"] == name, F.lit(False))), lambda i: i))
+        kept = F.slice(s["open"], F.lit(1), F.greatest(F.coalesce(at, F.lit(1)) - 1, F.lit(0)))
+        inner = F.slice(s["open"], F.coalesce(at, F.lit(1)) + 1, F.greatest(F.size(s["open"]) - F.coalesce(at, F.lit(1)), F.lit(0)))
+        text = F.when(ends, F.when(at.isNotNull(), F.concat(closers(inner), F.lit("</"), name, F.lit(">"))).otherwise("")).otherwise(x)
+        open_ = F.when(ends & at.isNotNull(), kept).when(begins, F.array_append(s["open"], F.struct(name.alias("name"), x.alias("tag")))).otherwise(s["open"])
+        return F.struct(done.alias("done"), F.concat(now, text).alias("now"), (n + F.when(ends & at.isNull(), 0).otherwise(units)).alias("n"), (said | ~(ends | begins)).alias("said"), open_.alias("open")).cast(kind)
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("said"), F.array().cast(f"array<{tag}>").alias("open")).cast(kind)
+    return F.aggregate(tokens, start, step, lambda s: F.when(s["now"] != "", F.array_append(s["done"], F.concat(s["now"], closers(s["open"])))).otherwise(s["done"]))
+
+
 def split_list(c: Column, budget: int) -> Column:
     """Items packed to a budget of units; lines that go on with an item stay with it."""
     items = F.filter(F.split(c, r"\n(?=\s*(?:[-*+]|\d+[.)]) )"), lambda x: strip(x) != "")
@@ -85,7 +154,8 @@ def split_lines(c: Column, budget: int, least: int = 5) -> Column:
 
 def split_element(kind: Column, c: Column, budget: int) -> Column:
     """The parts of an element that is over the budget; others stay whole."""
-    parts = F.when(kind == "table", split_table(c, budget)).when(kind == "list", split_list(c, budget)).when(kind == "code", split_code(c, budget)).when(kind == "quote", split_quote(c, budget)).otherwise(split_lines(c, budget))
+    table = F.when(header_units(c) >= budget, split_header_heavy_table(c, budget)).otherwise(split_table(c, budget))
+    parts = F.when(kind == "table", table).when(kind == "html", split_html(c, budget)).when(kind == "list", split_list(c, budget)).when(kind == "code", split_code(c, budget)).when(kind == "quote", split_quote(c, budget)).otherwise(split_lines(c, budget))
     return F.when(mixed_units(c) <= budget, F.array(c)).otherwise(parts)
 
 
