@@ -42,6 +42,8 @@ WITHIN = 80
 FIRST = 2000
 UNIT = 2_000_000
 LEAST_SHARD_BITS, MOST_SHARD_BITS = 10, 16
+#: Occurrences for each place where stripes meet, beyond the least number of places.
+OF_A_SHARD = 1 << 22
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: What ends a piece, and what else separates words.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -243,8 +245,7 @@ def _extensions(size: int, bits: int, h: np.ndarray, of: np.ndarray, same: np.nd
 
 def _striped(docs: DataFrame, seed: int, how: Counting, size: int, occurrences: int, marks, hot) -> DataFrame:
     """Frequent phrases of `size` words, counted: stripes of each task, merged element by element where those of a prefix meet."""
-    # About as many places as there are so many occurrences, at least enough for a few hundred tasks.
-    shard_bits = min(max((occurrences // how.least_hot).bit_length(), LEAST_SHARD_BITS), MOST_SHARD_BITS)
+    shard_bits = min(max((occurrences // OF_A_SHARD).bit_length(), LEAST_SHARD_BITS), MOST_SHARD_BITS)
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, filled, segments = how.values(seed), marks.value, hot.value
