@@ -41,7 +41,7 @@ LEAST = 30
 WITHIN = 80
 FIRST = 2000
 UNIT = 2_000_000
-LEAST_SHARD_BITS, MOST_SHARD_BITS = 10, 16
+LEAST_SHARD_BITS, MOST_SHARD_BITS = 10, 20
 #: Occurrences for each place where stripes meet, beyond the least number of places.
 OF_A_SHARD = 1 << 22
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -244,7 +244,8 @@ def _extensions(size: int, bits: int, h: np.ndarray, of: np.ndarray, same: np.nd
 
 
 def _striped(docs: DataFrame, seed: int, how: Counting, size: int, occurrences: int, marks, hot) -> DataFrame:
-    """Frequent phrases of `size` words, counted: stripes of each task, merged element by element where those of a prefix meet."""
+    """Frequent phrases of `size` words, counted: stripes of each task, merged element by element where those of a prefix meet. Places
+    are as many as keep what is merged at once to a few million occurrences."""
     shard_bits = min(max((occurrences // OF_A_SHARD).bit_length(), LEAST_SHARD_BITS), MOST_SHARD_BITS)
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,11 +281,40 @@ def _striped(docs: DataFrame, seed: int, how: Counting, size: int, occurrences:
 
     prefix = [f"w{i}" for i in range(1, size)]
     arrays = ", ".join(f"{c} array<long>" for c in (*prefix, "next", "n"))
-    met = _texts(docs).mapInArrow(built, f"lang string, shard long, {arrays}").repartition("shard")
-    entries = met.select("lang", "shard", F.explode(F.arrays_zip(*prefix, "next", "n")).alias("e")).select("lang", "shard", "e.*")
-    # Dealt by where a stripe's parts meet already: merging shuffles nothing.
-    merged = entries.groupBy("lang", "shard", *prefix, "next").agg(F.sum("n").alias("f")).filter(F.col("f") >= LEAST)
-    return merged.select("lang", *prefix, "next", "f")
+    met = _texts(docs).mapInArrow(built, f"lang string, shard long, {arrays}").repartition("shard").sortWithinPartitions("shard")
+    columns = (*prefix, "next")
+    return met.mapInArrow(lambda batches: _merged(batches, columns), f"lang string, {', '.join(f'{c} long' for c in columns)}, f long")
+
+
+def _merged(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Bundles in order of their place, those of one place merged element by element; what is frequent stays. One place is held at a time."""
+    here, parts = None, []
+
+    def merged() -> pa.RecordBatch:
+        lang, *keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((*keys[::-1], lang))
+        keys = [x[order] for x in (lang, *keys)]
+        heads = np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in keys], axis=0)))
+        totals = np.add.reduceat(counts[order], heads)
+        heads, totals = heads[totals >= LEAST], totals[totals >= LEAST]
+        langs = pa.array(list(names), pa.string()).take(pa.array(keys[0][heads]))
+        return pa.RecordBatch.from_arrays([langs, *(pa.array(x[heads]) for x in keys[1:]), pa.array(totals)], ["lang", *columns, "f"])
+
+    names: dict[str, int] = {}
+    for batch in batches:
+        langs, codes = _languages(batch)
+        own = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)[codes]
+        shards = batch.column("shard").to_numpy()
+        heads = np.flatnonzero(np.append(True, shards[1:] != shards[:-1])) if len(shards) else shards
+        for begin, end in zip(heads.tolist(), [*heads[1:].tolist(), len(shards)], strict=True):
+            if parts and here != shards[begin]:
+                yield merged()
+                parts = []
+            here, some = shards[begin], batch.slice(begin, end - begin)
+            sizes = some.column("n").value_lengths().to_numpy()
+            parts.append((np.repeat(own[begin:end], sizes), *(some.column(c).flatten().to_numpy() for c in (*columns, "n"))))
+    if parts:
+        yield merged()
 
 
 def phrases(docs: DataFrame, how: Counting = Counting()) -> tuple[DataFrame, DataFrame, DataFrame]:
