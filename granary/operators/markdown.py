@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,15 +39,25 @@ def _lines(c: Column) -> Column:
     return F.filter(F.split(c, "\n"), lambda x: strip(x) != "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where `value` is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def split_table(c: Column, budget: int) -> Column:
     """Rows packed to a budget of units, each part with the table's header; a row over the budget is a part of its own."""
-    rows = _lines(c)
-    ruled = F.coalesce(F.try_element_at(rows, F.lit(2)).rlike(r"^[\s|:-]+$"), F.lit(False))
-    n_head = F.when(ruled, 2).otherwise(F.least(F.size(rows), F.lit(1)))
-    head = F.array_join(F.slice(rows, F.lit(1), n_head), "\n")
-    body = F.slice(rows, n_head + 1, F.greatest(F.size(rows) - n_head, F.lit(0)))
-    parts = F.transform(packed(body, budget, "\n", size=mixed_units), lambda p: F.concat_ws("\n", head, p))
-    return F.when(F.size(body) == 0, F.array(c)).otherwise(parts)
+
+    def cut(rows: Column, n_head: Column) -> Column:
+        head = F.array_join(F.slice(rows, F.lit(1), n_head), "\n")
+        body = F.slice(rows, n_head + 1, F.greatest(F.size(rows) - n_head, F.lit(0)))
+        return let(head, lambda h: F.transform(packed(body, budget, "\n", size=mixed_units), lambda p: F.concat_ws("\n", h, p)))
+
+    def parts(rows: Column) -> Column:
+        ruled = F.coalesce(F.try_element_at(rows, F.lit(2)).rlike(r"^[\s|:-]+$"), F.lit(False))
+        n_head = F.when(ruled, 2).otherwise(F.least(F.size(rows), F.lit(1)))
+        return let(n_head, lambda n: F.when(F.size(rows) <= n, F.array(F.array_join(rows, "\n"))).otherwise(cut(rows, n)))
+
+    return let(_lines(c), parts)
 
 
 def split_wide_table(c: Column, columns: int) -> Column:
@@ -61,25 +73,32 @@ def split_header_heavy_table(c: Column, budget: int) -> Column:
     """A table whose header takes more than the budget allows, cut by columns and then by rows: columns are dealt in order into
     groups whose header takes half of the budget at most (one column at least), the first column, the key, stands in each, and
     the rows of each group are packed as `split_table` does."""
-    rows = F.transform(_lines(c), lambda r: F.transform(F.split(F.regexp_replace(r, r"^\s*\||\|\s*$", ""), r"(?<!\\)\|"), lambda x: F.trim(x)))
-    head = F.try_element_at(rows, F.lit(1))
     # A cell takes its text, its rule below and the bars beside both.
     cost = lambda cell: mixed_units(cell) + 5
-    room = F.greatest(F.lit(budget // 2).cast("long") - cost(head[0]), F.lit(1).cast("long"))
     kind = "struct<done: array<array<int>>, now: array<int>, n: bigint>"
     none = F.array().cast("array<int>")
+    start = F.struct(F.array().cast("array<array<int>>").alias("done"), none.alias("now"), F.lit(0).cast("long").alias("n")).cast(kind)
 
-    def step(s: Column, i: Column) -> Column:
-        n = cost(F.get(head, i))
-        full = (F.size(s["now"]) > 0) & (s["n"] + n > room)
-        return F.struct(F.when(full, F.array_append(s["done"], s["now"])).otherwise(s["done"]).alias("done"), F.array_append(F.when(full, none).otherwise(s["now"]), i).alias("now"), (F.when(full, 0).otherwise(s["n"]) + n).alias("n")).cast(kind)
+    def groups(costs: Column) -> Column:
+        room = F.greatest(F.lit(budget // 2).cast("long") - costs[0], F.lit(1).cast("long"))
 
-    start = F.struct(F.array().cast("array<array<int>>").alias("done"), none.alias("now"), F.lit(0).cast("long").alias("n")).cast(kind)
-    groups = F.aggregate(F.sequence(F.lit(1), F.size(head) - 1), start, step, lambda s: F.array_append(s["done"], s["now"]))
-    cells = lambda r, group: F.concat(F.array(F.coalesce(F.get(r, F.lit(0)), F.lit(""))), F.transform(group, lambda i: F.coalesce(F.get(r, i), F.lit(""))))
-    line = lambda r, group: F.concat(F.lit("| "), F.array_join(cells(r, group), " | "), F.lit(" |"))
-    table = lambda group: F.array_join(F.transform(rows, lambda r: line(r, group)), "\n")
-    return F.when(F.size(head) <= 2, split_table(c, budget)).otherwise(F.flatten(F.transform(groups, lambda g: split_table(table(g), budget))))
+        def step(s: Column, i: Column) -> Column:
+            full = (F.size(s["now"]) > 0) & (s["n"] + F.get(costs, i) > room)
+            grown = F.struct(s["done"].alias("done"), F.array_append(s["now"], i).alias("now"), (s["n"] + F.get(costs, i)).alias("n"))
+            begun = F.struct(F.array_append(s["done"], s["now"]).alias("done"), F.array(i).alias("now"), F.get(costs, i).alias("n"))
+            return F.when(full, begun.cast(kind)).otherwise(grown.cast(kind))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(costs) - 1), start, step, lambda s: F.array_append(s["done"], s["now"]))
+
+    def parts(rows: Column) -> Column:
+        cell = lambda r, i: F.coalesce(F.get(r, i), F.lit(""))
+        line = lambda r, group: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(F.array(F.lit(0)), group), lambda i: cell(r, i)), " | "), F.lit(" |"))
+        table = lambda group: F.array_join(F.transform(rows, lambda r: line(r, group)), "\n")
+        costs = F.transform(F.get(rows, F.lit(0)), cost)
+        return F.flatten(F.transform(let(costs, groups), lambda g: split_table(table(g), budget)))
+
+    cells = F.transform(_lines(c), lambda r: F.transform(F.split(F.regexp_replace(r, r"^\s*\||\|\s*$", ""), r"(?<!\\)\|"), lambda x: F.trim(x)))
+    return let(cells, lambda rows: F.when(F.size(F.get(rows, F.lit(0))) <= 2, split_table(c, budget)).otherwise(parts(rows)))
 
 
 def header_units(c: Column) -> Column:
@@ -176,20 +195,3 @@ def merge_small(pieces: Column, least: int, most: int, joiner: str = "\n\n") ->
 def parents(children: Column, target: int) -> Column:
     """Children drawn together greedily into parents of at most `target` units."""
     return packed(children, target, "\n\n", size=mixed_units)
-
-
-def section_chunks(sections: DataFrame, key: str, size: int, limit: int) -> DataFrame:
-    """Chunks of sections (key, section, path, content): key, section, role, position, content.
-
-    A section that is small and within the model's limit, its path counted, is one chunk. Others are cut into children of
-    `size` units within what the path leaves of the limit; when the children come to six sizes, parents of four sizes are
-    added. A leaf is what has no children of its own.
-    """
-    units, head = mixed_units("content"), mixed_units("path")
-    whole = (units < 1.5 * size) & (units + head <= limit)
-    budget = F.least(F.lit(size).cast("long"), F.greatest(F.lit(1).cast("long"), F.lit(limit) - head))
-    children = merge_small(packed(F.filter(F.split("content", r"\n\s*\n|\n"), lambda x: strip(x) != ""), budget, "\n", size=mixed_units), max(1, size // 4), budget)
-    cut = sections.filter(strip(F.col("content")) != "").select(key, "section", "path", "content", units.alias("units"), whole.alias("whole")).withColumn("children", F.when(F.col("whole"), F.array("content")).otherwise(children))
-    leaves = cut.select(key, "section", F.when(F.col("whole"), "section").otherwise("child").alias("role"), F.posexplode("children").alias("position", "content"))
-    above = cut.filter(~F.col("whole") & (F.col("units") >= 6 * size)).select(key, "section", F.lit("parent").alias("role"), F.posexplode(parents(F.col("children"), 4 * size)).alias("position", "content"))
-    return leaves.unionByName(above)

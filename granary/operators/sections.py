@@ -150,7 +150,9 @@ def section_tree(sections: DataFrame, key: str, size: int, limit: int) -> DataFr
     alone = lambda b: F.array(F.struct(b["content"].alias("p"), (F.col("budget") + 1).alias("n")))
     plain = lambda b: F.transform(packed(recursive_chunks(b["content"], max(1, size)), size, "\n", size=mixed_units), lambda p: F.struct(p.alias("p"), mixed_units(p).alias("n")))
     segments = F.flatten(F.transform("blocks", lambda b: F.when(b["kind"] == "plain", plain(b)).otherwise(alone(b))))
-    cut = cut.withColumn("children", _with_tail(packed_sized(segments, F.col("budget"), "\n\n"), max(1, size // 4), F.col("room")))
+    # Column by column, so that no expression is written out where it is used.
+    cut = cut.withColumn("_segments", segments).withColumn("_packed", packed_sized(F.col("_segments"), F.col("budget"), "\n\n"))
+    cut = cut.withColumn("children", _with_tail(F.col("_packed"), max(1, size // 4), F.col("room"))).drop("_segments", "_packed")
     protected = F.transform(F.filter("blocks", lambda b: b["kind"] != "plain"), lambda b: F.named_struct(F.lit("text"), b["content"], F.lit("kind"), b["kind"]))
     items = cut.select(key, "section", "budget", "units", "children", protected.alias("protected"), F.posexplode("children").alias("position", "content"))
     kind = F.try_element_at(F.transform(F.filter("protected", lambda x: x["text"] == F.col("content")), lambda x: x["kind"]), F.lit(1))

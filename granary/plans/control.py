@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.functions import models
 from granary.operators import control
 from granary.plans.registry import query
 from granary.sources.tables import table
@@ -137,3 +138,23 @@ def unexpired_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evicted_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cache entries beyond the 500 last used."""
     return control.evicted(table(spark, sf_dir, "events"), "ts", "event_id", 500).select("event_id")
+
+
+@query(
+    """WITH v AS (SELECT 'sales' AS caller, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT 'audit', o_orderstatus, o_orderpriority FROM orders WHERE o_totalprice > 100000 OR o_orderstatus = 'F' UNION ALL SELECT 'root', o_orderstatus, o_orderpriority FROM orders)
+    SELECT caller, o_orderstatus AS status, count(*) AS n FROM v WHERE left(o_orderpriority, 1) <> '5' AND caller <> 'root' GROUP BY 1, 2"""
+)
+def role_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One view as two callers see it, by the permissions of their roles; a caller without any sees nothing."""
+    registry = models.Models()
+    visible = {"orders:open": "o_orderstatus = 'O'", "orders:large": "o_totalprice > 100000", "orders:closed": "o_orderstatus = 'F'"}
+    registry.register("sales_orders", models.Model(table(spark, sf_dir, "orders"), "o_orderkey", hidden=("o_totalprice",), visible=visible))
+    permissions = spark.createDataFrame([(1, "orders:open", True), (2, "orders:large", True), (3, "orders:closed", True), (4, "orders:open", False)], "permission_id int, code string, enabled boolean")
+    grants = spark.createDataFrame([("s", 1), ("a", 2), ("a", 3), ("a", 4), ("n", 4)], "role_id string, permission_id int")
+    seen = None
+    for caller, role in (("sales", "s"), ("audit", "a"), ("none", "n")):
+        codes = models.permission_codes(spark.createDataFrame([(role,)], "role_id string"), grants, permissions)
+        rows = registry.listed("sales_orders", codes).filter("left(o_orderpriority, 1) <> '5'")
+        counts = rows.groupBy(F.lit(caller).alias("caller"), F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+        seen = counts if seen is None else seen.unionByName(counts)
+    return seen

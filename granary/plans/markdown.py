@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.operators import markdown, rules
+from granary.operators import markdown, rules, sections
 from granary.operators.chunking import heading_sections
 from granary.plans.registry import query
 from granary.sources.tables import table
@@ -57,9 +57,9 @@ def markdown_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections of documents (each first line a heading) as section, child and parent chunks."""
+    """Sections of documents (each first line a heading) as section, child, part and parent chunks."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Document "), "doc_id", F.lit("\n"), F.col("text")).alias("body"))
-    return markdown.section_chunks(heading_sections(docs, "doc_id", "body"), "doc_id", 120, 480)
+    return sections.section_tree(heading_sections(docs, "doc_id", "body"), "doc_id", 120, 480)
 
 
 UNITS = "coalesce(list_sum(list_transform(regexp_extract_all(body, '[一-鿿㐀-䶿　-〿＀-￯]|[\\p{L}\\p{N}_]+|[^\\s]'), lambda p: CASE WHEN length(p) > 8 THEN (length(p) + 3) // 4 ELSE 1 END)), 0)".replace("\\\\", "\\")
