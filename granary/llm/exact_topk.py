@@ -7,7 +7,7 @@ themselves never leave a block before that: only bin counts do, and of those onl
 kth score, for the kth of all can't be lower.
 
 Scores are inner products of whole numbers, exact below 2 ** 53; vectors that could reach that raise an error. Blocks hold a bounded number
-of vectors; a block of queries meets each block of candidates once a pass.
+of vectors; a block of queries meets each block of candidates once a pass, dealt out by shares of both, so that no key gathers all candidates.
 
 Queries and candidates follow the rules in `vectors`; an empty table gives no rows, and a query with fewer candidates
 than k gets all of them.
@@ -30,8 +30,10 @@ K = 20
 EVERY = 20
 SCALE = 64.0
 BINS = 128
-#: Each candidate goes to each block of queries: large ones, scored a slice at once.
+#: Large blocks of queries, scored a slice at once; a task takes up to MOST_SHARE blocks of queries and of candidates at once, of
+#: candidates more than one only beyond LEAST_GROUPS blocks.
 QUERY_BLOCK, QUERY_SLICE, CANDIDATE_BLOCK = 8192, 1024, 4096
+MOST_SHARE, LEAST_GROUPS = 16, 512
 
 
 def quantised(rows: DataFrame) -> DataFrame:
@@ -47,17 +49,33 @@ def _blocks(vectors: DataFrame, size: int) -> DataFrame:
     return numbered.groupBy("width", "block").applyInPandas(lambda f: packed(f, "key"), BLOCK)
 
 
+def _grid(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """By vector length how many blocks of queries and of candidates one task takes, and how many such shares there are."""
+    blocks = lambda df, name: df.groupBy("width").agg((F.max("block") + 1).alias(name))
+    sizes = blocks(queries, "q_n").join(blocks(candidates, "c_n"), "width")
+    share = lambda n, fine, most: F.least(F.greatest(F.floor(F.col(n) / fine), F.lit(1)), F.lit(most)).cast("int")
+    sizes = sizes.withColumn("q_share", share("q_n", MOST_SHARE, MOST_SHARE)).withColumn("c_share", share("c_n", LEAST_GROUPS, MOST_SHARE))
+    parts = lambda n, size: F.sequence(F.lit(0), F.floor((F.col(n) - 1) / F.col(size)).cast("int"))
+    return sizes.select("width", "q_share", "c_share", parts("q_n", "q_share").alias("q_parts"), parts("c_n", "c_share").alias("c_parts"))
+
+
 def _pairs(queries: DataFrame, candidates: DataFrame, state: DataFrame | None) -> DataFrame:
-    """Each block of queries with each block of candidates; state: low, width of the bin and count above, by query."""
+    """Each block of queries with each block of candidates; state: low, width of the bin and count above, by query.
+
+    Pairs are dealt out by a share of the query blocks and a share of the candidate blocks: no key has more than MOST_SHARE of
+    either, and both sides are copied about equally little."""
     q = queries.select("block", "width", F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors"))
     if state is not None:
         q = q.join(state, ["width", "block"])
     else:
         q = q.withColumn("states", F.lit(None).cast("binary"))
-    heads = queries.groupBy("width").agg(F.collect_list("block").alias("q_blocks"))
+    grid = _grid(queries, candidates)
+    place = lambda block, share: F.floor(F.col(block) / F.col(share)).cast("int")
+    q = q.join(grid, "width").withColumn("q_part", place("block", "q_share")).withColumn("c_part", F.explode("c_parts"))
     c = candidates.select("width", F.col("block").alias("c_block"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
-    c = c.join(heads, "width").withColumn("block", F.explode("q_blocks")).drop("q_blocks")
-    return c.join(q, ["width", "block"])
+    c = c.join(grid, "width").withColumn("c_part", place("c_block", "c_share")).withColumn("q_part", F.explode("q_parts"))
+    drop = ("q_share", "c_share", "q_parts", "c_parts")
+    return c.drop(*drop).join(q.drop(*drop), ["width", "q_part", "c_part"])
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:

@@ -101,3 +101,31 @@ def test_scores_that_doubles_cannot_hold(spark):
     frame = spark.createDataFrame([(i, [1e7, float(i)]) for i in range(30)], "vec_id long, embedding array<double>")
     with pytest.raises(ValueError, match="2 \\*\\* 53"):
         exact_topk(frame)
+
+
+def test_no_task_reads_more_than_its_share(spark, monkeypatch):
+    """Five blocks of queries, forty of candidates, nothing broadcast: every pair of blocks meets once, in as many keys as there are shares."""
+    from granary.llm import exact_topk as topk
+
+    for name, value in (("QUERY_BLOCK", 12), ("CANDIDATE_BLOCK", 30), ("MOST_SHARE", 2), ("LEAST_GROUPS", 10)):
+        monkeypatch.setattr(topk, name, value)
+    rows = [(i, v) for i, v in rows_of(7, 1200, copies=0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = topk.quantised(frame)
+    queries = topk._blocks(topk.distinct_vectors(vectors.filter(topk.is_query()), 1), topk.QUERY_BLOCK).persist()
+    candidates = topk._blocks(topk.distinct_vectors(vectors, 21), topk.CANDIDATE_BLOCK).persist()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = topk._pairs(queries, candidates, None).select("q_part", "c_part", "block", "c_block").collect()
+        got = {}
+        for r in sorted(topk.exact_topk(frame).collect(), key=lambda r: (r.query_id, r.rank)):
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(pairs) == len({(r.block, r.c_block) for r in pairs}) == queries.count() * candidates.count()
+    keys = {}
+    for r in pairs:
+        keys[r.q_part, r.c_part] = keys.get((r.q_part, r.c_part), 0) + 1
+    assert queries.count() >= 5 and max(keys.values()) <= 4 and len(keys) >= len(pairs) / 4
+    assert got == plain([(i, np.floor(64 * np.array(v))) for i, v in rows], lambda x, y: int(x @ y))
