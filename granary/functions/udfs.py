@@ -76,6 +76,22 @@ def replace_longest(c: Column, terms: dict[str, str]) -> Column:
     return replaced(c)
 
 
+def replace_own(c: Column, terms: Column, also: dict[str, str]) -> Column:
+    """As `replace_longest`, with the terms of each row's own map and those that are for all."""
+
+    @F.pandas_udf(T.StringType())
+    def replaced(texts: pd.Series, own: pd.Series) -> pd.Series:
+        out = []
+        for text_, found in zip(texts, own, strict=True):
+            known = {**also, **dict(found if found is not None else {})}
+            # A single pattern a row: few terms are in one text.
+            here = sorted((t for t in known if text_ is not None and t in text_), key=lambda t: (-len(t), t))
+            out.append(text_ if text_ is None or not here else re.sub("|".join(map(re.escape, here)), lambda m, known=known: known[m.group()], text_))
+        return pd.Series(out, dtype=object)
+
+    return replaced(c, terms)
+
+
 def stopword_hits(c: Column, stopwords: list[str], most: int = 80) -> Column:
     """Stopwords found in the text, longest first at each place, without overlap."""
     pattern = "(" + "|".join(re.escape(s) for s in sorted(set(stopwords), key=lambda s: (-len(s), s))) + ")"

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from granary.functions import udfs
 from granary.functions.text import strip
+from granary.operators.analysis import contained
 
 # Messages looked at, and kept in all.
 RECENT, MOST_CONTEXT, MOST_EXPANSIONS = 6, 12, 6
 ROLES = ("user", "assistant")
+#: Terms that go with the rows.
+MOST_SENT = 10_000
 
 
 def rewrite_context(messages: DataFrame, manual: DataFrame, turn: Column) -> DataFrame:
@@ -54,8 +57,15 @@ def synonym_map(rules: DataFrame) -> DataFrame:
     return once.join(grown, "synonym_id").select("user_term", "professional_term", F.when(F.col("own"), "kb").otherwise("tenant").alias("scope"), "expansions")
 
 
-def rewritten(queries: DataFrame, query: str, mapping: DataFrame) -> DataFrame:
-    """queries with `rewritten`: user terms replaced by professional ones, the longest at each place, in one pass. The dictionary
-    of one collection is small, and goes to the driver."""
-    terms = {r["user_term"]: r["professional_term"] for r in mapping.select("user_term", "professional_term").collect()}
-    return queries.withColumn("rewritten", udfs.replace_longest(F.col(query), terms))
+def rewritten(queries: DataFrame, key: str, query: str, mapping: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+    """queries with `rewritten`: user terms replaced by professional ones, the longest at each place, in one pass.
+
+    A map of up to `most_sent` terms goes with the rows, after a count. Of a larger one each query (of a unique `key`) gets the terms
+    that it contains, by a join on windows of letters; terms of one letter, of which there are no more than letters, go with the rows."""
+    terms = mapping.select("user_term", "professional_term").filter("user_term <> ''")
+    few = terms.limit(most_sent + 1).collect()
+    if len(few) <= most_sent:
+        return queries.withColumn("rewritten", udfs.replace_longest(F.col(query), {r["user_term"]: r["professional_term"] for r in few}))
+    letters = {r["user_term"]: r["professional_term"] for r in terms.filter(F.length("user_term") == 1).collect()}
+    found = contained(queries.select(key, query), key, query, terms, "user_term").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("user_term", "professional_term"))).alias("_terms"))
+    return queries.join(found, key, "left").withColumn("rewritten", udfs.replace_own(F.col(query), F.col("_terms"), letters)).drop("_terms")

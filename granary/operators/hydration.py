@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import strip, truncated
+from granary.operators.ranking import numbered
 
 # Labels of the parts of a context.
 BEFORE, AFTER, PARENT, HIT = "[前文邻近块]", "[后文邻近块]", "[父块上下文]", "[命中子块]"
@@ -105,9 +106,8 @@ def hydrated(groups: DataFrame, chunks: DataFrame, documents: DataFrame, tags: D
     plain = context_text(F.col("hit"), F.col("parent"), parent_context and mode == "recursive")
     context = F.when(gone, _t(F.col("doc_summary"))).when(up, context_text(F.col("parent"), F.lit(None).cast("struct<content:string,summary:string>"), False)).otherwise(with_neighbours(plain, F.col("previous"), F.col("following")))
     out = out.withColumn("unit_kind", unit).withColumn("context", context).withColumn("shown", F.when(~gone, shown["chunk_id"])).withColumn("content", F.when(gone, _t(F.col("doc_summary"))).otherwise(_t(shown["content"])))
-    ranked = F.row_number().over(Window.orderBy("order"))
     none = F.array().cast(out.schema["tags"].dataType)
-    return out.select("group_key", ranked.alias("rank"), F.round("score", 4).alias("score"), "kb_doc_id", "title", "shown", "unit_kind", "content", "context", truncated(F.col("context"), snippet).alias("snippet"), F.coalesce("tags", none).alias("tags"))
+    return numbered(out, "rank", "order").select("group_key", "rank", F.round("score", 4).alias("score"), "kb_doc_id", "title", "shown", "unit_kind", "content", "context", truncated(F.col("context"), snippet).alias("snippet"), F.coalesce("tags", none).alias("tags"))
 
 
 def result_summary(items: DataFrame) -> tuple[DataFrame, DataFrame]:

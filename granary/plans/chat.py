@@ -35,12 +35,12 @@ def query_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT user_id * 100 + event_id % 6 AS message_id, string_agg(event_type || event_id, ',' ORDER BY event_id) AS citations FROM events WHERE event_id < 3000 GROUP BY 1)
+    """WITH c AS (SELECT user_id * 100 + event_id % 6 AS message_id, string_agg(event_type || event_id, ',' ORDER BY event_id) AS citations FROM events GROUP BY 1)
     SELECT conv_id AS session_id, conv_id * 100 + turn AS message_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, turn // 2, CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END)::INT AS place, coalesce(citations, '') AS citations FROM conversations LEFT JOIN c ON message_id = conv_id * 100 + turn"""
 )
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of sessions in order, with what they cite."""
-    cited = table(spark, sf_dir, "events").filter("event_id < 3000").select((F.col("user_id") * 100 + F.col("event_id") % 6).alias("message_id"), F.col("event_id").alias("place"), F.concat("event_type", "event_id").alias("title"))
+    cited = table(spark, sf_dir, "events").select((F.col("user_id") * 100 + F.col("event_id") % 6).alias("message_id"), F.col("event_id").alias("place"), F.concat("event_type", "event_id").alias("title"))
     return chat.listed_messages(_messages(spark, sf_dir), cited).select("session_id", "message_id", "place", F.array_join("citations", ",").alias("citations"))
 
 
@@ -70,4 +70,4 @@ def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rewritten_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User terms in queries replaced, the longest at each place."""
     queries = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("show w"), "p_size", F.lit(" of "), "p_name").alias("query"))
-    return chat.rewritten(queries, "query", chat.synonym_map(_rules(spark, sf_dir))).select("p_partkey", "rewritten")
+    return chat.rewritten(queries, "p_partkey", "query", chat.synonym_map(_rules(spark, sf_dir))).select("p_partkey", "rewritten")

@@ -52,7 +52,7 @@ def circular_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH s AS (SELECT o_custkey AS session_id, o_orderkey % 25 AS kb_id, 'saved' AS role, o_orderstatus <> 'P' AS enabled, o_orderkey AS priority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderkey % 25 ORDER BY o_orderkey) = 1),
-    d AS (SELECT user_id AS session_id, event_id % 30 AS kb_id, CASE WHEN event_type = 'view' THEN 'drafted' END AS role, value > 20 AS enabled, CASE WHEN event_id % 4 = 0 THEN 7 END AS priority, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS position FROM events WHERE event_id < 400),
+    d AS (SELECT user_id AS session_id, event_id % 30 AS kb_id, CASE WHEN event_type = 'view' THEN 'drafted' END AS role, value > 20 AS enabled, CASE WHEN event_id % 4 = 0 THEN 7 END AS priority, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS position FROM events),
     o AS (SELECT session_id, kb_id, coalesce(role, CASE WHEN position = 0 THEN 'primary' ELSE 'secondary' END) AS role, enabled, coalesce(priority, 100 + position) AS priority FROM d QUALIFY row_number() OVER (PARTITION BY session_id, kb_id ORDER BY position) = 1),
     b AS (SELECT * FROM o UNION ALL SELECT * FROM s WHERE session_id NOT IN (SELECT session_id FROM d))
     SELECT session_id, kb_id, role, row_number() OVER (PARTITION BY session_id ORDER BY priority, kb_id::VARCHAR)::INT AS place FROM b JOIN nation ON n_nationkey = kb_id WHERE enabled"""
@@ -62,7 +62,7 @@ def bound_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     once = F.row_number().over(Window.partitionBy("o_custkey", F.col("o_orderkey") % 25).orderBy("o_orderkey"))
     saved = table(spark, sf_dir, "orders").withColumn("n", once).filter("n = 1")
     saved = saved.select(F.col("o_custkey").alias("session_id"), (F.col("o_orderkey") % 25).alias("kb_id"), F.lit("saved").alias("role"), (F.col("o_orderstatus") != "P").alias("enabled"), F.col("o_orderkey").alias("priority"))
-    drafts = table(spark, sf_dir, "events").filter("event_id < 400")
+    drafts = table(spark, sf_dir, "events")
     position = (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long")
     drafts = drafts.select(F.col("user_id").alias("session_id"), (F.col("event_id") % 30).alias("kb_id"), F.when(F.col("event_type") == "view", "drafted").alias("role"), (F.col("value") > 20).alias("enabled"), F.when(F.col("event_id") % 4 == 0, F.lit(7).cast("long")).alias("priority"), position.alias("position"))
     collections = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("kb_id"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.operators import hydration
+from granary.operators.ranking import numbered
 from granary.plans.registry import query
 from granary.sources.tables import table
 
@@ -41,7 +42,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     y AS (SELECT *, CASE WHEN is_table THEN '工作表: S' || chr(10) || '定位: row ' || turn || chr(10) || '字段: a、b' || chr(10) || content ELSE content END AS child FROM x),
     z AS (SELECT *, CASE WHEN up THEN CASE WHEN up_table THEN '工作表: S' || chr(10) || '定位: row 0' || chr(10) || '字段: a、b' || chr(10) || up_content ELSE up_content END ELSE concat_ws(chr(10), '[前文邻近块]' || chr(10) || before,
       CASE WHEN role = 'qa_answer_fragment' AND turn % 10 = 1 THEN '[问题] Why ' || conv_id || chr(10) || CASE WHEN up_id IS NULL THEN '[命中答案片段] ' || child ELSE '[完整答案] ' || up_said END WHEN up_id IS NOT NULL THEN '[父块上下文] ' || up_said || chr(10) || '[命中子块] ' || child ELSE child END, '[后文邻近块]' || chr(10) || after) END AS context FROM y)
-    SELECT k AS group_key, row_number() OVER (ORDER BY k)::INT AS rank, CASE WHEN up THEN up_id ELSE chunk_id END AS shown, CASE WHEN up THEN 'complete_unit' ELSE 'leaf' END AS unit_kind, CASE WHEN up THEN up_content ELSE content END AS content, context, coalesce(array_to_string(tags, ','), '') AS tags FROM z LEFT JOIN t ON t.conv_id = z.conv_id"""
+    SELECT k AS group_key, row_number() OVER (ORDER BY k) AS rank, CASE WHEN up THEN up_id ELSE chunk_id END AS shown, CASE WHEN up THEN 'complete_unit' ELSE 'leaf' END AS unit_kind, CASE WHEN up THEN up_content ELSE content END AS content, context, coalesce(array_to_string(tags, ','), '') AS tags FROM z LEFT JOIN t ON t.conv_id = z.conv_id"""
 )
 def hydrated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with the unit shown, parent, question and neighbours in the context, and tags; some documents are gone."""
@@ -49,7 +50,7 @@ def hydrated_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
     order = F.col("conv_id") * 1000 + F.col("turn")
     groups = turns.filter((F.col("conv_id") + F.col("turn")) % 3 == 0).select(order.alias("order"), F.lit(1.0).alias("score"), (F.col("conv_id") * 100 + F.col("turn")).alias("anchor"), F.lit("default").alias("scope"), F.col("conv_id").alias("kb_doc_id"))
-    groups = groups.withColumn("group_key", F.row_number().over(Window.orderBy("order")))
+    groups = numbered(groups, "group_key", "order")
     documents = turns.filter("conv_id % 4 <> 3").select(F.col("conv_id").alias("kb_doc_id"), F.concat(F.lit("c"), "conv_id").alias("title"), F.lit("").alias("doc_summary")).distinct()
     tags = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("kb_doc_id"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("tag"))
     out = hydration.hydrated(groups, chunks, documents, tags, "general", window=1)

@@ -97,11 +97,11 @@ def layout_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT conv_id, turn, turn // 2 AS chunk, regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g') AS norm FROM conversations WHERE conv_id % 2 = 0) SELECT conv_id, chunk, turn AS element FROM c WHERE length(trim(norm)) > 1""".replace("\\\\", "\\")
+    """WITH c AS (SELECT conv_id, turn, turn // 2 AS chunk, regexp_replace(lower(text), '[^\\p{L}\\p{N}_]+', ' ', 'g') AS norm FROM conversations) SELECT conv_id, chunk, turn AS element FROM c WHERE length(trim(norm)) > 1""".replace("\\\\", "\\")
 )
 def aligned_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which elements chunks came from: two turns each, found again by their lines."""
-    turns = table(spark, sf_dir, "conversations").filter("conv_id % 2 = 0")
+    turns = table(spark, sf_dir, "conversations")
     elements = turns.select("conv_id", F.col("turn").alias("place"), F.col("text").alias("content"))
     line = F.regexp_replace("text", r"\s+", " ")
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("t")))), lambda x: x["t"]), "\n")

@@ -40,15 +40,16 @@ OPERATORS = {
     "like": ("o_orderpriority", "spec", "o_orderpriority ILIKE '%spec%'"),
     "in": ("o_orderpriority", ["1-URGENT", "2-HIGH"], "o_orderpriority IN ('1-URGENT', '2-HIGH')"),
     "not_in": ("o_orderpriority", ["1-URGENT", "2-HIGH"], "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')"),
-    "is_null": ("o_orderstatus", None, "o_orderstatus IS NULL"),
-    "is_not_null": ("o_orderstatus", None, "o_orderstatus IS NOT NULL"),
+    "is_null": ("done", None, "o_orderstatus <> 'F'"),
+    "is_not_null": ("done", None, "o_orderstatus = 'F'"),
 }
 
 
 def _advanced(op: str, column: str, value, sql: str) -> None:
     @query(f"SELECT o_orderkey, o_totalprice FROM orders WHERE {sql}", name=f"list_op_{op}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return matching(table(spark, sf_dir, "orders"), ListRequest(advanced=((column, op, value),))).select("o_orderkey", "o_totalprice")
+        rows = table(spark, sf_dir, "orders").withColumn("done", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")))  # null where it is open
+        return matching(rows, ListRequest(advanced=((column, op, value),))).select("o_orderkey", "o_totalprice")
 
 
 for _op, _case in OPERATORS.items():

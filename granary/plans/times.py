@@ -21,19 +21,20 @@ def next_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", at.alias("next_at"))
 
 
-@query("SELECT o_orderkey, date_trunc('month', o_orderdate) + INTERVAL 1 MONTH + INTERVAL 14 DAY + INTERVAL 6 HOUR AS next_at FROM orders WHERE day(o_orderdate) > 15")
+@query("WITH m AS (SELECT o_orderkey, o_orderdate, date_trunc('month', o_orderdate) AS first FROM orders) SELECT o_orderkey, CASE WHEN first + INTERVAL 14 DAY + INTERVAL 6 HOUR > o_orderdate THEN first ELSE first + INTERVAL 1 MONTH END + INTERVAL 14 DAY + INTERVAL 6 HOUR AS next_at FROM m")
 def monthly_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fifteenth of the next month at six, for orders past this month's."""
+    """The next fifteenth at six: this month's where it is still to come."""
     at = scoring.next_trigger(F.lit("monthly"), F.col("o_orderdate"), F.col("o_orderdate"), F.lit(1), F.lit("day"), F.lit("06:00"), F.lit(1), F.lit(15))
-    return table(spark, sf_dir, "orders").filter(F.day("o_orderdate") > 15).select("o_orderkey", at.alias("next_at"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", at.alias("next_at"))
 
 
 @query("SELECT event_id FROM events e WHERE event_type IN ('view', 'click') AND date_diff('minute', ts, (SELECT max(ts) FROM events)) > 30 AND NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = e.event_id)")
 def zombie_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks in flight for over thirty minutes that nothing holds a lock on."""
     events = table(spark, sf_dir, "events")
-    now = events.agg(F.max("ts").alias("now"))  # one row
-    old = events.filter(F.col("event_type").isin("view", "click")).join(F.broadcast(now)).filter((F.unix_timestamp(F.date_trunc("minute", "now")) - F.unix_timestamp(F.date_trunc("minute", "ts"))) / 60 > 30)
+    now = F.date_trunc("minute", events.agg(F.max("ts")).scalar())
+    # More than thirty minutes apart, minutes begun counted whole: the bound reaches the scan.
+    old = events.filter(F.col("event_type").isin("view", "click") & (F.col("ts") < now - F.expr("INTERVAL 30 MINUTES")))
     locks = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("event_id"))
     return old.join(locks, "event_id", "left_anti").select("event_id")
 
@@ -41,8 +42,8 @@ def zombie_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 700 DAY AND o_orderstatus = 'F'")
 def cleanup_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    last = orders.agg(F.max("o_orderdate").alias("last"))  # one row
-    return orders.filter("o_orderstatus = 'F'").join(F.broadcast(last), F.col("o_orderdate") < F.col("last") - F.expr("INTERVAL 700 DAYS")).select("o_orderkey")
+    last = orders.agg(F.max("o_orderdate")).scalar()
+    return orders.filter((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") < last - F.expr("INTERVAL 700 DAYS"))).select("o_orderkey")
 
 
 @query("SELECT user_id, date_trunc('minute', ts) AS minute, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1, 2")

@@ -5,7 +5,7 @@ import random
 import re
 
 import pytest
-from granary.operators import analysis, filters
+from granary.operators import analysis, chat, filters, ranking
 from pyspark.sql import functions as F
 
 TEXTS = [(1, "see  the  Red\tring here"), (2, ""), (3, None), (4, "REDRING"), (5, "a b c"), (6, "here"), (7, "the the the  red ring")]
@@ -81,3 +81,32 @@ def test_fields_of_metadata_however_deep(spark):
     assert got == {p: (len(v), sorted(set(v))[:2]) for p, v in want.items()}
     assert max(p.count(".") for p in got) == 14
     assert filters.json_paths(rows.filter(F.lit(False)), "doc").count() == 0
+
+
+def test_terms_put_in_both_ways(spark):
+    """The longest term at each place, in one pass, whether the terms go with the rows or are joined."""
+    rng = random.Random(5)
+    terms = {"".join(rng.choice("abc ") for _ in range(rng.randrange(1, 5))): f"<{i}>" for i in range(60)}
+    terms = {t: v for t, v in terms.items() if t.strip() == t and t}
+    queries = [(i, "".join(rng.choice("abc d") for _ in range(rng.randrange(25)))) for i in range(80)] + [(100, None)]
+    pattern = re.compile("|".join(re.escape(t) for t in sorted(terms, key=lambda t: (-len(t), t))))
+    want = {i: None if q is None else pattern.sub(lambda m: terms[m.group()], q) for i, q in queries}
+    frame = spark.createDataFrame(queries, "id int, query string")
+    mapping = spark.createDataFrame(list(terms.items()), "user_term string, professional_term string")
+    for most in (1000, 0):
+        got = chat.rewritten(frame, "id", "query", mapping, most_sent=most).collect()
+        assert {r.id: r.rewritten for r in got} == want, most
+    none = chat.rewritten(frame, "id", "query", mapping.limit(0)).collect()
+    assert {r.id: r.rewritten for r in none} == dict(queries)
+
+
+def test_numbers_without_one_task(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(50)) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "id int, v int").repartition(7)
+    got = ranking.numbered(frame, "n", "v", -F.col("id")).collect()
+    want = {(i, v): n for n, (v, _, i) in enumerate(sorted((v, -i, i) for i, v in rows), 1)}
+    assert {(r.id, r.v): r.n for r in got} == want
+    plan = ranking.numbered(frame, "n", "v", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    assert ranking.numbered(frame.limit(0), "n", "v").count() == 0
