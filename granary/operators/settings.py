@@ -17,6 +17,8 @@ TABLE_LEXICAL_SCOPES = ("row", "row_group", "row_fragment", "keyword")
 UNVECTORISED = ("keyword", "doc_summary")
 QUERY_KEYS = ("enable_query_rewrite", "enable_synonym_rewrite", "auto_filter_mode", "retrieval_lexicon", "retrieval_stopwords", "llm_candidate_min_confidence", "llm_upgrade_confidence_threshold", "llm_max_upgrade_count")
 
+SUMMARY_KEY = "enable_doc_summary_retrieval"
+
 
 def vector_scopes(kind: str, asked: list[str] | None = None, qa: dict | None = None) -> list[str]:
     """Scopes recalled by vectors: questions (and answers, if indexed), rows of tables, else what is asked for."""
@@ -58,13 +60,16 @@ def merged_lexicon(*lists: list[dict]) -> list[dict]:
     return list(out.values())
 
 
-def query_settings(defaults: dict | None, request: dict | None, lexicon: list[dict] = (), stopwords: list[str] = ()) -> dict:
+def query_settings(defaults: dict | None, request: dict | None, lexicon: list[dict] = (), stopwords: list[str] = (), persistent: dict | None = None) -> dict:
     """A request's query settings over a collection's, key by key. Metadata fields: overriding ones alone, else the request's
-    (or the collection's) and the extra ones. Lexicon and stopwords are added to the built-in ones."""
+    (or the collection's) and the extra ones. Lexicon and stopwords are added to the built-in ones. Whether summaries of documents
+    are searched comes from the collection's persistent context, unless the request says it."""
     base, out = defaults or {}, dict(request or {})
     out = {k: base[k] for k in QUERY_KEYS if k in base and k not in out} | out
     some = lambda d, k: list(d[k]) if isinstance(d.get(k), list) else []
     out["metadata_fields"] = some(out, "override_metadata_fields") or [*(some(out, "metadata_fields") or some(base, "metadata_fields")), *some(out, "extra_metadata_fields")]
+    if SUMMARY_KEY in (persistent or {}):
+        out.setdefault(SUMMARY_KEY, persistent[SUMMARY_KEY])
     out["retrieval_lexicon"] = merged_lexicon(list(lexicon), out.get("retrieval_lexicon") or [])
     out["retrieval_stopwords"] = list(dict.fromkeys([*stopwords, *(out.get("retrieval_stopwords") or [])]))
     return out

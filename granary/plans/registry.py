@@ -9,7 +9,7 @@ _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 
 #: Modules whose import registers queries.
-MODULES: tuple[str, ...] = tuple(f"granary.plans.{m}" for m in ("listing", "metadata", "joins", "aggregates", "windows", "topk", "texts", "chunks", "retrieval", "times", "streams", "functions", "markdown", "candidates", "analysis", "qa", "table_rows", "hydration", "control", "layout", "web", "chat", "segmentation", "lexical_index", "files", "section_chunks"))
+MODULES: tuple[str, ...] = tuple(f"granary.plans.{m}" for m in ("listing", "metadata", "joins", "aggregates", "windows", "topk", "texts", "chunks", "retrieval", "times", "streams", "functions", "markdown", "candidates", "analysis", "qa", "table_rows", "hydration", "control", "layout", "web", "chat", "segmentation", "lexical_index", "files", "section_chunks", "families"))
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable:

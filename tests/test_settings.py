@@ -21,6 +21,9 @@ def test_layers():
     out = settings.query_settings(base, {"extra_metadata_fields": [{"key": "b"}]}, stopwords=["w", "x"])
     assert out["auto_filter_mode"] == "rule" and [f["key"] for f in out["metadata_fields"]] == ["a", "b"] and out["retrieval_stopwords"] == ["w", "x"] and "other" not in out
     assert settings.query_settings(base, {"override_metadata_fields": [{"key": "c"}], "auto_filter_mode": "llm"})["metadata_fields"] == [{"key": "c"}]
+    summaries = lambda request, persistent: settings.query_settings(base, request, persistent=persistent).get("enable_doc_summary_retrieval")
+    assert summaries({}, {"enable_doc_summary_retrieval": False}) is False and summaries({"enable_doc_summary_retrieval": True}, {"enable_doc_summary_retrieval": False}) is True
+    assert summaries({}, None) is None and summaries({}, {"other": 1}) is None
     chat = settings.chat_settings({"retrieval_test": {"top_k": 5, "w": {"a": 1, "b": 2}}}, {"top_k": 8, "w": {"b": 3}}, {"retrieval": {"w": {"a": 9}}})
     assert chat == {"top_k": 8, "w": {"a": 9, "b": 3}}
     assert qa.retrieval_config({"index_mode": "question_answer", "query_weight": 3, "answer_weight": "x"})["query_weight"] == round(1 / 1.2, 4)
