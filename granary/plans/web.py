@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text
-from granary.operators import web
+from granary.operators import page_elements, web
 from granary.plans.registry import query
 from granary.sources.tables import table
 
@@ -72,3 +72,34 @@ def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = F.regexp_replace(text.strip_html("html"), r"[^0-9A-Za-z一-鿿 ]", " ")
     quality = text.extraction_quality(letters, F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", quality["chars"].alias("chars"), quality["paragraphs"].alias("paragraphs"), quality["score"].alias("score"))
+
+
+#: What an end tag ends, in pages whose containers are written out: all that stands between them.
+_SAID = "length(regexp_replace({t}, '[^0-9A-Za-z一-鿿]', '', 'g'))"
+_BARE = r"regexp_replace(replace(replace(replace(replace(replace(regexp_replace({t}, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&copy;', ''), '&middot;', ''), '&quot;', ''), '&(amp|nbsp|apos|#39);', '', 'g')"
+
+
+@query(
+    rf"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script)\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<(style)\b[^>]*>.*?</style\s*>|<!--.*?-->', '', 'g') AS h FROM pages),
+    c AS (SELECT page_id, 'body' AS tag, regexp_extract(h, '(?s)<body>(.*)', 1) AS t FROM p UNION ALL SELECT page_id, 'article', regexp_extract(h, '(?s)<article>(.*)</article>', 1) FROM p)
+    SELECT page_id, tag, round({_SAID.format(t=_BARE.format(t="t"))} - 0.4 * {_SAID.format(t=_BARE.format(t="array_to_string(regexp_extract_all(t, '(?s)<a [^>]*>.*?</a>'), '')"))} + 40 * len(regexp_extract_all(t, '<h[123]>')), 4)::DOUBLE AS score FROM c"""
+)
+def container_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the containers of pages say, less their links, more for headings."""
+    tokens = page_elements.page_tokens(table(spark, sf_dir, "pages"), "page_id", "html")
+    return page_elements.container_scores(tokens, "page_id").select("page_id", "tag", "score")
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS i FROM lineitem)
+    SELECT l_orderkey, l_orderkey % 5 <> 2 AS simple, CASE WHEN l_orderkey % 5 <> 2 THEN '| no | part |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || l_linenumber || ' | p\\|' || l_partkey || ' <b |', chr(10) ORDER BY i) END AS markdown FROM r GROUP BY 1""".replace("\\\\", "\\")
+)
+def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of pages, with rows and cells that nothing ends, as Markdown where they are simple; some have a span."""
+    row = F.concat(F.lit("<tr><td>"), "l_linenumber", F.lit("<td> <b>p|"), "l_partkey", F.lit("</b>  &lt;b"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("r")))), lambda x: x["r"])
+    head = F.when(F.col("l_orderkey") % 5 == 2, "<tr><th>no</th><th colspan=1>part</th></tr>").otherwise("<tr><th>no<th>part")
+    pages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(rows, "").alias("rows"))
+    pages = pages.select("l_orderkey", F.concat(F.lit("<p>text<table>"), head, "rows", F.lit("</table><p>more")).alias("html"))
+    tokens = page_elements.page_tokens(pages, "l_orderkey", "html")
+    return page_elements.page_tables(tokens, "l_orderkey").select("l_orderkey", "simple", "markdown")
