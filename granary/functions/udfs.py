@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from granary.functions import text
-from granary.operators import chunking, lexical, retrieval, web
+from granary.operators import chunking, lexical, page_elements, retrieval
 from granary.sources import files
 
 CHUNKERS: dict[str, Callable[..., Column]] = {
@@ -47,7 +47,7 @@ VECTOR_BACKENDS.register("exact", retrieval.vector_recall)
 LEXICAL_BACKENDS.register("tokens", lexical.recall)
 ANALYZERS.register("rules", lexical.query_plan)
 PARSERS.register("delimited", files.read_delimited)
-PARSERS.register("page", web.page_sections)
+PARSERS.register("page", page_elements.page_sections)
 ENHANCERS.register("keywords", text.keywords)
 ENHANCERS.register("questions", text.questions)
 

@@ -3,10 +3,13 @@ tables read by joins over intervals. Nothing leaves the JVM."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators.markdown import VOID_TAGS, let
+from granary.sources.scratch import scratch_path
 
 # Tags whose content isn't read, and what ends where another element begins.
 UNREAD = ("script", "style", "noscript", "template")
@@ -30,7 +33,7 @@ def balanced_tokens(html: Column) -> Column:
     end tags that nothing opened, and what is open at the end are put right. Comments, declarations and unread elements go."""
     read = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?is)<({'|'.join(UNREAD)})\b[^>]*>.*?</\1\s*>", "")
     # A text is read as HTML has it: a mark that begins no tag is text.
-    tokens = F.filter(F.regexp_extract_all(read, F.lit(_TOKEN), F.lit(0)), lambda t: ~t.startswith("<!"))
+    tokens = F.filter(F.regexp_extract_all(read, F.lit(_TOKEN), F.lit(0)), lambda t: ~t.startswith("<!") & (_name(t) != "html"))
     kind = "struct<out: array<string>, open: array<string>>"
     ends_here = F.create_map(*(x for k, v in ENDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
     close = lambda names: F.transform(F.reverse(names), lambda n: F.concat(F.lit("</"), n, F.lit(">")))
@@ -145,3 +148,137 @@ def page_tables(tokens: DataFrame, key: str) -> DataFrame:
     rule = F.transform(F.get(r, F.lit(0)), lambda _: F.lit("---"))
     text = F.array_join(F.concat(F.array(bars(F.get(r, F.lit(0))), bars(rule)), F.transform(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), bars)), "\n")
     return out.withColumn("simple", simple).select(key, F.col("table_at").alias("begin"), "simple", F.when(F.col("simple"), text).alias("markdown"))
+
+
+# How much a section must say, tags that are blocks, words that tell a section's kind.
+LEAST_SECTION = 30
+BLOCK_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+BLOCK_TAGS = (*BLOCK_HEADINGS, "p", "li", "dt", "dd", "table")
+SIDE_TITLES, CONTENT_TITLES = ("咨询", "contact", "help", "服务窗口"), ("流程", "步骤", "guide", "faq", "常见问题")
+SUMMARY_WORDS = ("在线办理", "立即办理", "查看评价", "下载办事指南")
+
+
+def _inline(text: Column) -> Column:
+    return F.btrim(F.regexp_replace(text, r"\s{2,}", " "), F.lit(" \t\n\r\x0b\x0c"))
+
+
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """Written once, as several joins read it."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _joined_in_order(rows: DataFrame, keys: list[str], at: str, text: str, name: str) -> DataFrame:
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(at, text))), lambda x: x[text])
+    return rows.groupBy(*keys).agg(F.array_join(parts, "").alias(name))
+
+
+def _texts_of(elements: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """key, begin, t: the text within each element, blanks drawn together."""
+    inside = _inside(elements, texts, key, "pos").withColumnRenamed("of_begin", "begin")
+    return _joined_in_order(inside, [key, "begin"], "pos", "text", "t").withColumn("t", _inline(F.col("t")))
+
+
+def section_type(tag: Column, title: Column, body: Column) -> Column:
+    has = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(c), w))
+    table = F.contains(F.lower(body), F.lit("<table")) | F.contains(body, F.lit("\n| "))
+    named = F.when(has(title, SIDE_TITLES), "sidebar").when(has(title, CONTENT_TITLES), "content_section").when(has(body, SUMMARY_WORDS), "summary").otherwise("section")
+    return F.when(tag == "aside", "sidebar").when(table, "table_section").otherwise(named)
+
+
+def page_sections(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, section_no, section_type, title, markdown, blocks (block_no, type, text, format): the sections of each page's main part.
+
+    A section is an element right below the main container that says enough or holds a table; where there is none, the container. Its
+    blocks are headings, paragraphs, list items and tables in order; a section without any is one block of text. Pages without
+    text have no sections. Keys must be unique."""
+    tokens = _stored(page_tokens(pages, key, html), "page-tokens")
+    elements = _stored(page_elements(tokens, key), "page-elements")
+    texts = page_texts(tokens, key).withColumn("n", said(F.col("text")))
+    main = main_containers(tokens, key).join(elements.select(key, "begin", "end", "level"), [key, "begin"]).select(key, F.col("begin").alias("m_begin"), F.col("end").alias("m_end"), F.col("level").alias("m_level"), F.col("tag").alias("m_tag"))
+    whole = tokens.groupBy(key).agg((F.max("pos") + 1).alias("_last")).join(main, key, "left")
+    main = whole.select(key, F.coalesce("m_begin", F.lit(-1)).alias("m_begin"), F.coalesce("m_end", "_last").alias("m_end"), F.coalesce("m_level", F.lit(0)).alias("m_level"), F.coalesce("m_tag", F.lit("")).alias("m_tag"))
+    below = elements.join(main, key).filter("level = m_level + 1 and begin > m_begin and begin < m_end").select(key, "begin", "end", "tag")
+    amount = _inside(below, texts, key, "pos").groupBy(key, F.col("of_begin").alias("begin")).agg(F.sum("n").alias("n"))
+    tables = elements.filter("tag = 'table'")
+    with_table = _inside(below, tables.select(key, F.col("begin").alias("at")), key, "at").select(key, F.col("of_begin").alias("begin"), F.lit(True).alias("_t")).distinct()
+    enough = below.join(amount, [key, "begin"], "left").join(with_table, [key, "begin"], "left").filter((F.col("n") >= LEAST_SECTION) | (F.col("tag") == "table") | F.col("_t"))
+    enough = enough.select(key, "begin", "end", "tag")
+    alone = main.join(enough.select(key).distinct(), key, "left_anti").select(key, F.col("m_begin").alias("begin"), F.col("m_end").alias("end"), F.col("m_tag").alias("tag"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("begin"))
+    roots = _stored(enough.unionByName(alone).withColumn("section_no", number), "page-roots")
+
+    # Blocks, but those within tables; a section that is a block itself has no other.
+    outer = tables.join(_inside(tables, tables.select(key, F.col("begin").alias("at")), key, "at").select(key, F.col("at").alias("begin")).distinct(), [key, "begin"], "left_anti")
+    candidates = elements.filter(F.col("tag").isin(*BLOCK_TAGS)).select(key, F.col("begin").alias("at"), F.col("end").alias("at_end"), F.col("tag").alias("block_tag"))
+    in_table = _inside(outer, candidates, key, "at").select(key, "at").distinct()
+    candidates = candidates.join(in_table, [key, "at"], "left_anti")
+    single = F.col("tag").isin("p", "table", *BLOCK_HEADINGS)
+    blocks = candidates.join(roots, key).filter(F.when(single, F.col("at") == F.col("begin")).otherwise((F.col("at") > F.col("begin")) & (F.col("at") < F.col("end"))))
+    blocks = blocks.select(key, "section_no", "at", "at_end", "block_tag")
+    found = _texts_of(candidates.select(key, F.col("at").alias("begin"), F.col("at_end").alias("end")), texts, key).withColumnRenamed("begin", "at")
+    markdown = page_tables(tokens, key).select(key, F.col("begin").alias("at"), "markdown")
+    spelt = tokens.withColumn("shown", F.col("token")).select(key, "pos", "shown")
+    raw = _inside(outer.select(key, (F.col("begin") - 1).alias("begin"), (F.col("end") + 1).alias("end")), spelt, key, "pos").withColumn("at", F.col("of_begin") + 1)
+    raw = _joined_in_order(raw, [key, "at"], "pos", "shown", "raw").withColumn("raw", _inline(F.col("raw")))
+    blocks = blocks.join(found, [key, "at"], "left").join(markdown, [key, "at"], "left").join(raw, [key, "at"], "left")
+    tag, t = F.col("block_tag"), F.coalesce("t", F.lit(""))
+    heading = tag.isin(*BLOCK_HEADINGS)
+    marked = F.when(heading, F.concat(F.repeat(F.lit("#"), F.substring(tag, 2, 1).cast("int")), F.lit(" "), t)).when(tag == "li", F.concat(F.lit("- "), t)).when(tag == "dd", F.concat(F.lit("  "), t)).otherwise(t)
+    text = F.when(tag == "table", F.coalesce("markdown", "raw")).otherwise(marked)
+    kept = blocks.filter((tag == "table") | (t != "")).select(
+        key,
+        "section_no",
+        "at",
+        F.when(tag == "table", "table").when(heading, "heading").otherwise("text").alias("type"),
+        text.alias("text"),
+        F.when(tag == "table", F.when(F.col("markdown").isNotNull(), "markdown").otherwise("html")).alias("format"),
+        F.when(heading, t).alias("title"),
+    )
+    kept = _stored(kept, "page-blocks")
+    empty = roots.join(kept.select(key, "section_no").distinct(), [key, "section_no"], "left_anti")
+    plain = _texts_of(empty.select(key, "begin", "end"), texts, key).join(empty, [key, "begin"]).filter("t <> ''")
+    none = F.lit(None).cast("string")
+    every = kept.unionByName(plain.select(key, "section_no", F.col("begin").alias("at"), F.lit("text").alias("type"), F.col("t").alias("text"), none.alias("format"), none.alias("title")))
+    every = every.withColumn("block_no", F.row_number().over(Window.partitionBy(key).orderBy("section_no", "at")) - 1)
+    grouped = every.groupBy(key, "section_no").agg(
+        F.array_sort(F.collect_list(F.struct("block_no", "type", "text", "format"))).alias("blocks"),
+        F.coalesce(F.min_by("title", F.when(F.col("title").isNotNull(), F.col("at"))), F.lit("")).alias("title"),
+    )
+    body = F.btrim(F.regexp_replace(F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n"), r"\n{3,}", "\n\n"), F.lit(" \t\n\r\x0b\x0c"))
+    out = grouped.withColumn("markdown", body).join(roots.select(key, "section_no", "tag"), [key, "section_no"])
+    return out.select(key, "section_no", section_type(F.col("tag"), F.col("title"), F.col("markdown")).alias("section_type"), "title", "markdown", "blocks")
+
+
+_PART = r"^([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)$"
+
+
+def _matches(part: str) -> Column:
+    """Whether an element is what one part of a selector says: tag, classes, id."""
+    tag, marks = re.match(_PART, part).groups()
+    of = lambda name: F.regexp_extract("token", rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 0)
+    value = lambda name: F.regexp_replace(F.regexp_replace(of(name), rf"(?is)^\s{name}\s*=\s*", ""), "^[\"']|[\"']$", "")
+    test = F.lit(True) if tag in (None, "", "*") else F.col("tag") == tag.lower()
+    for m in re.findall(r"[.#][\w-]+", marks):
+        test = test & (F.array_contains(F.split(value("class"), r"\s+"), m[1:]) if m[0] == "." else value("id") == m[1:])
+    return test
+
+
+def with_selector(pages: DataFrame, key: str, html: str, selector: str) -> DataFrame:
+    """Pages with only the elements that a selector of tags, classes, ids and descent finds, in one div; a page in which it finds nothing
+    stays whole, and so do all where it is ill-formed. Elements that have no end, as images, are not sought."""
+    parts = selector.split()
+    if not parts or not all(re.match(_PART, p) for p in parts):
+        return pages
+    tokens = _stored(page_tokens(pages, key, html), "page-tokens")
+    elements = page_elements(tokens, key)
+    found = elements.filter(_matches(parts[0]))
+    for part in parts[1:]:
+        inner = elements.filter(_matches(part))
+        found = _inside(found, inner, key, "begin").select(*inner.columns).distinct()
+    around = found.select(key, (F.col("begin") - 1).alias("begin"), (F.col("end") + 1).alias("end"))
+    spelt = _joined_in_order(_inside(around, tokens.select(key, "pos", "token"), key, "pos"), [key, "of_begin"], "pos", "token", "one")
+    whole = _joined_in_order(spelt, [key], "of_begin", "one", "_cut")
+    out = pages.join(whole, key, "left")
+    return out.withColumn(html, F.when(F.col("_cut").isNotNull(), F.concat(F.lit("<div>"), "_cut", F.lit("</div>"))).otherwise(F.col(html))).select(*pages.columns)

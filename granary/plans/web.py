@@ -14,14 +14,14 @@ from granary.sources.tables import table
 @query()
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections with typed blocks of each page's main part."""
-    return web.page_sections(table(spark, sf_dir, "pages"), "page_id")
+    return page_elements.page_sections(table(spark, sf_dir, "pages"), "page_id")
 
 
 @query()
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roots, texts and tables of pages; articles only."""
-    pages = web.with_selector(table(spark, sf_dir, "pages").select("page_id", "html"), "html", "article")
-    return web.page_chunks(web.page_sections(pages, "page_id"), "page_id", 120)
+    pages = page_elements.with_selector(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html", "article")
+    return web.page_chunks(page_elements.page_sections(pages, "page_id"), "page_id", 120)
 
 
 @query("SELECT doc_id, i AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE trim(p, E' \\t\\r') <> '' AND NOT regexp_matches(lower(trim(p, E' \\t\\r')), '^(导航|目录|menu|navigation|footer|版权|copyright)|©|all rights reserved|上一篇|下一篇|返回顶部')")
