@@ -98,4 +98,4 @@ def test_the_whole_pipeline_on_odd_tables(spark, documents, tmp_path):
 
 
 def test_registered_names():
-    assert [f"op{n}_" for n in range(1, 11)] == [name[: len(f"op{n}_")] for n, name in enumerate(sorted(catalog.queries(), key=lambda x: int(x[2:].split("_")[0])), 1)]
+    assert [f"op{n}_" for n in range(1, 14)] == [name[: len(f"op{n}_")] for n, name in enumerate(sorted(catalog.queries(), key=lambda x: int(x[2:].split("_")[0])), 1)]
