@@ -1,7 +1,7 @@
 """Cutting unspaced script into the words of a weighted dictionary, and the terms that an index or a query takes from it.
 
 A run of ideographs is a graph: its letters are the nodes, the dictionary's words found in it are the edges. Words are found by
-a join on their first two letters (one for words of one letter), so that a dictionary of any size will do: Spark sends it to
+an equality join of all stretches up to the longest word, so that a dictionary of any size will do: Spark sends it to
 all tasks where it is small and deals both sides out where it isn't, with the same words either way. The best path has the
 greatest sum of log frequencies; weights are whole millionths of e-folds, so that sums are exact, and of equal paths the one
 with the longer first word counts. A letter that is no word stands for itself with the weight of a word seen once.
@@ -94,12 +94,10 @@ def runs_of(rows: DataFrame, key: str, body: str) -> DataFrame:
 def word_graph(runs: DataFrame, key: str, dictionary: DataFrame) -> DataFrame:
     """key, run_no, at, size, weight, own: a row for each dictionary word in each run."""
     longest = dictionary.agg(F.max(F.length("word"))).first()[0] or 1
-    window = F.expr(f"transform(sequence(1, length(run)), i -> substring(run, i, {longest}))")
-    windows = runs.select(key, "run_no", F.posexplode(window).alias("place", "window"))
-    heads = F.when(F.length("window") > 1, F.array(F.substring("window", 1, 1), F.substring("window", 1, 2))).otherwise(F.array(F.substring("window", 1, 1)))
-    keyed = windows.select(key, "run_no", (F.col("place") + 1).alias("at"), "window", F.explode(heads).alias("head"))
-    words = dictionary.select(F.substring("word", 1, 2).alias("head"), "word", F.length("word").alias("size"), "weight", "own")
-    return keyed.join(words, "head").filter(F.startswith("window", "word")).select(key, "run_no", "at", "size", "weight", "own")
+    inside = F.expr(f"flatten(transform(sequence(1, length(run)), i -> transform(sequence(1, least({longest}, length(run) - i + 1)), n -> named_struct('at', i, 'word', substring(run, i, n)))))")
+    keyed = runs.select(key, "run_no", F.explode(inside).alias("_e")).select(key, "run_no", F.col("_e.at").alias("at"), F.col("_e.word").alias("word"))
+    words = dictionary.select("word", F.length("word").alias("size"), "weight", "own")
+    return keyed.join(words, "word").select(key, "run_no", "at", "size", "weight", "own")
 
 
 def segmented(rows: DataFrame, key: str, body: str, dictionary: DataFrame) -> DataFrame:
