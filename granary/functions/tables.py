@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, SkipRestOfInputTableException
@@ -39,6 +40,12 @@ def registered(spark: SparkSession) -> None:
     spark.udtf.register("inferred_types", InferredTypes)
 
 
+def first_rows(files: DataFrame, columns: list[str]) -> DataFrame:
+    """The sampled rows of a table in files: the first by file name and place. A bare limit takes them from any file."""
+    place = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    return files.select(*columns, *(c.alias(f"_place{i}") for i, c in enumerate(place))).orderBy("_place0", "_place1").limit(SAMPLE_ROWS).select(*columns)
+
+
 def inferred_types(rows: DataFrame) -> DataFrame:
     """One row with the columns of `rows` and their types by vote; no more than a sample of rows leaves its partition."""
     registered(rows.sparkSession)

@@ -86,7 +86,7 @@ def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The column types of three tables from their first rows, as column and type."""
 
     def of(name: str) -> DataFrame:
-        one = tables.inferred_types(table(spark, sf_dir, name).select(*_INFERRED[name]))
+        one = tables.inferred_types(tables.first_rows(table(spark, sf_dir, name), _INFERRED[name]))
         return one.select(F.lit(name).alias("tbl"), F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("kind")) for c in one.columns))).alias("f")).select("tbl", "f.col", "f.kind")
 
     return reduce(DataFrame.unionByName, map(of, _INFERRED))
