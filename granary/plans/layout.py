@@ -20,8 +20,11 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when(kind == "view", "goes on").when(kind == "click", F.concat(F.lit("Ends here."), F.when(n % 2 == 0, "!").otherwise(""))).when(kind == "error", "- item").when(kind == "signup", "Text").otherwise("key = 1")
     k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     rows = table(spark, sf_dir, "events").withColumn("k", k)
-    y0 = F.col("k") * 10.0 + value / 10
-    return rows.select(F.col("user_id").alias("page"), n.alias("n"), content.alias("content"), (n % 4).cast("double").alias("x0"), y0.alias("y0"), (n % 4 + 50.0 + n % 70).alias("x1"), (y0 + 8).alias("y1"), (10 + (n % 3) * 0.2).alias("size"))
+    # Sums in the order of the SQL: where keys are large, other orders round otherwise.
+    moved = (n - F.col("k")) * 10
+    y0 = n * 10.0 + value / 10
+    y0, y1 = y0 - moved, y0 + 8 - moved
+    return rows.select(F.col("user_id").alias("page"), n.alias("n"), content.alias("content"), (n % 4).cast("double").alias("x0"), y0.alias("y0"), (n % 4 + 50.0 + n % 70).alias("x1"), y1.alias("y1"), (10 + (n % 3) * 0.2).alias("size"))
 
 
 BREAK = """b AS (SELECT *, lag(content) OVER w AS pc, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1, lag(size) OVER w AS ps FROM g WINDOW w AS (PARTITION BY page ORDER BY n)),
