@@ -69,7 +69,8 @@ PLAIN = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?>.*
 )
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of a page's whole text in one paragraph: characters, paragraphs and score."""
-    letters = F.regexp_replace(text.strip_html("html"), r"[^0-9A-Za-z一-鿿 ]", " ")
+    # Behind a bar, so that digits at the beginning are no list mark.
+    letters = F.concat(F.lit("|"), F.regexp_replace(text.strip_html("html"), r"[^0-9A-Za-z一-鿿 ]", " "))
     quality = text.extraction_quality(letters, F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", quality["chars"].alias("chars"), quality["paragraphs"].alias("paragraphs"), quality["score"].alias("score"))
 
