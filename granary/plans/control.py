@@ -109,7 +109,7 @@ def source_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of a stream from its frames."""
-    kind, n = F.col("event_type"), F.round("value").cast("long")
+    kind, n = F.col("event_type"), F.rint("value").cast("long")
     frames = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(kind == "view", n).alias("input_tokens"), F.when((kind == "click") & (F.col("user_id") % 3 > 0), n).alias("output_tokens"), F.when(kind == "error", F.col("event_id")).alias("total_tokens"))
     return control.usage_so_far(frames, "user_id", "event_id")
 
