@@ -110,3 +110,22 @@ def test_numbers_without_one_task(spark):
     plan = ranking.numbered(frame, "n", "v", "id")._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     assert ranking.numbered(frame.limit(0), "n", "v").count() == 0
+
+
+def test_equal_queries_and_equal_terms_are_sought_once(spark, monkeypatch):
+    """Copies of a query or of a glossary's term multiply neither the search nor the pairs before the ranks."""
+    sizes, whole = [], analysis.contained
+
+    def counted(queries, query_id, query, entries, entry):
+        sizes.append((queries.count(), entries.count()))
+        return whole(queries, query_id, query, entries, entry)
+
+    monkeypatch.setattr(analysis, "contained", counted)
+    queries = spark.createDataFrame([(i, ["Red  Ring", "red ring"][i % 2]) for i in range(6)] + [(9, None)], "query_id int, query string")
+    glossary = spark.createDataFrame([(i, "red ring", i == 3) for i in range(5)] + [(7, "RED", None), (8, "red", False)], "entry_id int, term string, own boolean")
+    forced = spark.createDataFrame([(9, "Red"), (9, "red ring")], "query_id int, term string")
+    got = analysis.glossary_entries(queries, glossary, forced, 2).collect()
+    assert sorted((r.query_id, r.entry_id, r["rank"]) for r in got) == [(q, e, k) for q in (*range(6), 9) for e, k in ((3, 1), (8, 2))]
+    lexicon = spark.createDataFrame([(0, "ring", ["x"], 1.0, True)], "item_no int, term string, aliases array<string>, weight double, enabled boolean")
+    assert sorted(r.query_id for r in analysis.match_lexicon(queries, lexicon).collect()) == list(range(6))
+    assert sizes == [(2, 2), (2, 2)]  # the item has a term and an alias
