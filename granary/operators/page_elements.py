@@ -97,36 +97,62 @@ def _inside(outer: DataFrame, inner: DataFrame, key: str, at: str) -> DataFrame:
     return inner.join(o, (F.col(key) == F.col("_k")) & (F.col(at) > F.col("of_begin")) & (F.col(at) < F.col("of_end"))).drop("_k", "of_end")
 
 
+def measured_elements(tokens: DataFrame, key: str) -> DataFrame:
+    """`page_elements` with what each holds: n (what its texts say), links (what links say of that), gain (its tables and headings), tables
+    in it and around it. Running sums over the page, taken at both ends, give them: no element meets its texts in a join."""
+    so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    text = F.col("token")
+    for name, sign in NAMED.items():
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    turn = F.col("opens").cast("int") - F.col("ends").cast("int")
+    deep = lambda tag: F.sum(F.when(F.col("tag") == tag, turn).otherwise(0)).over(so_far)
+    begun = lambda test: F.when(F.col("opens") & test, 1).otherwise(0)
+    rows = tokens.select(
+        "*",
+        F.when(F.col("tag") == "", said(text)).otherwise(0).alias("_n"),
+        deep("a").alias("_in_links"),
+        (deep("table") - F.when(F.col("tag") == "table", F.col("opens").cast("int")).otherwise(0)).alias("around"),
+        begun(F.col("tag") == "table").alias("_table"),
+        (TABLE_SCORE * begun(F.col("tag") == "table") + HEADING_SCORE * begun(F.col("tag").isin(*HEADINGS))).alias("_gain"),
+    )
+    sums = {"n": F.col("_n"), "links": F.col("_n") * F.col("_in_links"), "gain": F.col("_gain"), "tables": F.col("_table")}
+    rows = rows.select("*", *(F.sum(c).over(so_far).alias(f"_{name}_so_far") for name, c in sums.items())).filter("opens or ends")
+    own = Window.partitionBy(key, "level").orderBy("pos")
+    inside = (F.coalesce(F.lead(f"_{name}_so_far").over(own) - F.col(f"_{name}_so_far"), F.lit(0)).alias(name) for name in sums)
+    out = rows.select(key, F.col("pos").alias("begin"), F.lead("pos").over(own).alias("end"), "level", "tag", "token", "opens", "around", *inside)
+    return out.filter("opens").drop("opens")
+
+
+def _scored_containers(measured: DataFrame, key: str) -> DataFrame:
+    role = F.lower(F.regexp_extract("token", r"""(?i)\srole\s*=\s*["']?([^"'\s>]+)""", 1))
+    found = measured.filter(F.col("tag").isin(*CONTAINERS) | ((F.col("tag") == "div") & (role == "main")))
+    return found.select(key, "begin", "end", "level", "tag", F.round(F.col("n") - LINK_SHARE * F.col("links") + F.col("gain"), 4).alias("score"))
+
+
 def container_scores(tokens: DataFrame, key: str) -> DataFrame:
     """key, begin, tag, score: how much each container of a page says, less its links, more for its tables and headings."""
-    elements, texts = page_elements(tokens, key), page_texts(tokens, key).withColumn("n", said(F.col("text")))
-    role = F.lower(F.regexp_extract("token", r"""(?i)\srole\s*=\s*["']?([^"'\s>]+)""", 1))
-    found = elements.filter(F.col("tag").isin(*CONTAINERS) | ((F.col("tag") == "div") & (role == "main")))
-    whole = _inside(found, texts, key, "pos").groupBy(key, "of_begin").agg(F.sum("n").alias("n"))
-    linked = _inside(elements.filter("tag = 'a'"), texts, key, "pos").select(key, "pos", "n")
-    links = _inside(found, linked, key, "pos").groupBy(key, "of_begin").agg(F.sum("n").alias("links"))
-    marks = elements.filter(F.col("tag").isin("table", *HEADINGS)).select(key, "begin", F.when(F.col("tag") == "table", TABLE_SCORE).otherwise(HEADING_SCORE).alias("gain"))
-    gains = _inside(found, marks, key, "begin").groupBy(key, "of_begin").agg(F.sum("gain").alias("gain"))
-    out = found.select(key, F.col("begin").alias("of_begin"), "tag")
-    for part in (whole, links, gains):
-        out = out.join(part, [key, "of_begin"], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.select(key, F.col("of_begin").alias("begin"), "tag", F.round(zero("n") - LINK_SHARE * zero("links") + zero("gain"), 4).alias("score"))
+    return _scored_containers(measured_elements(tokens, key), key).select(key, "begin", "tag", "score")
+
+
+def _main_of(measured: DataFrame, key: str) -> DataFrame:
+    best = F.max(F.struct("score", (-F.col("begin")).alias("first"), "begin", "end", "level", "tag")).alias("b")
+    return _scored_containers(measured, key).groupBy(key).agg(best).select(key, "b.begin", "b.end", "b.level", "b.tag", "b.score")
 
 
 def main_containers(tokens: DataFrame, key: str) -> DataFrame:
     """key, begin, tag, score: the container of the best score of each page, the first of equals."""
-    best = F.max(F.struct("score", (-F.col("begin")).alias("first"), "begin", "tag")).alias("b")
-    return container_scores(tokens, key).groupBy(key).agg(best).select(key, "b.begin", "b.tag", "b.score")
+    return _main_of(measured_elements(tokens, key), key).select(key, "begin", "tag", "score")
 
 
 def page_tables(tokens: DataFrame, key: str) -> DataFrame:
     """key, begin, simple, markdown of each table that lies in no other: simple ones have two rows at least, no spans, one header row at
     most and two to eight equal columns of short cells; others, and tables of fewer than two rows with a text, have no Markdown."""
-    elements, texts = page_elements(tokens, key), page_texts(tokens, key)
-    tables = elements.filter("tag = 'table'")
-    nested = _inside(tables, tables.select(key, "begin"), key, "begin").select(key, "begin").distinct()
-    tables = tables.join(nested, [key, "begin"], "left_anti")
+    return _page_tables(measured_elements(tokens, key), page_texts(tokens, key), key)
+
+
+def _page_tables(measured: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    elements = measured.select(key, "begin", "end", "level", "tag", "token")
+    tables = measured.filter("tag = 'table' and around = 0").select(*elements.columns)
     rows = _inside(tables, elements.filter("tag = 'tr'"), key, "begin").withColumnRenamed("of_begin", "table_at")
     cells = elements.filter(F.col("tag").isin("td", "th"))
     of_row = cells.withColumnRenamed("begin", "cell").withColumnRenamed("end", "cell_end").withColumnRenamed("level", "cell_level").withColumnRenamed("token", "cell_token").withColumn("is_head", F.col("tag") == "th").drop("tag")
@@ -194,31 +220,26 @@ def page_sections(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     blocks are headings, paragraphs, list items and tables in order; a section without any is one block of text. Pages without
     text have no sections. Keys must be unique."""
     tokens = _stored(page_tokens(pages, key, html), "page-tokens")
-    elements = _stored(page_elements(tokens, key), "page-elements")
-    texts = page_texts(tokens, key).withColumn("n", said(F.col("text")))
-    main = main_containers(tokens, key).join(elements.select(key, "begin", "end", "level"), [key, "begin"]).select(key, F.col("begin").alias("m_begin"), F.col("end").alias("m_end"), F.col("level").alias("m_level"), F.col("tag").alias("m_tag"))
+    elements = _stored(measured_elements(tokens, key), "page-elements")
+    texts = page_texts(tokens, key)
+    main = _main_of(elements, key).select(key, F.col("begin").alias("m_begin"), F.col("end").alias("m_end"), F.col("level").alias("m_level"), F.col("tag").alias("m_tag"))
     whole = tokens.groupBy(key).agg((F.max("pos") + 1).alias("_last")).join(main, key, "left")
     main = whole.select(key, F.coalesce("m_begin", F.lit(-1)).alias("m_begin"), F.coalesce("m_end", "_last").alias("m_end"), F.coalesce("m_level", F.lit(0)).alias("m_level"), F.coalesce("m_tag", F.lit("")).alias("m_tag"))
-    below = elements.join(main, key).filter("level = m_level + 1 and begin > m_begin and begin < m_end").select(key, "begin", "end", "tag")
-    amount = _inside(below, texts, key, "pos").groupBy(key, F.col("of_begin").alias("begin")).agg(F.sum("n").alias("n"))
-    tables = elements.filter("tag = 'table'")
-    with_table = _inside(below, tables.select(key, F.col("begin").alias("at")), key, "at").select(key, F.col("of_begin").alias("begin"), F.lit(True).alias("_t")).distinct()
-    enough = below.join(amount, [key, "begin"], "left").join(with_table, [key, "begin"], "left").filter((F.col("n") >= LEAST_SECTION) | (F.col("tag") == "table") | F.col("_t"))
+    below = elements.join(main, key).filter("level = m_level + 1 and begin > m_begin and begin < m_end")
+    enough = below.filter((F.col("n") >= LEAST_SECTION) | (F.col("tag") == "table") | (F.col("tables") > 0))
     enough = enough.select(key, "begin", "end", "tag")
     alone = main.join(enough.select(key).distinct(), key, "left_anti").select(key, F.col("m_begin").alias("begin"), F.col("m_end").alias("end"), F.col("m_tag").alias("tag"))
     number = F.row_number().over(Window.partitionBy(key).orderBy("begin"))
     roots = _stored(enough.unionByName(alone).withColumn("section_no", number), "page-roots")
 
     # Blocks, but those within tables; a section that is a block itself has no other.
-    outer = tables.join(_inside(tables, tables.select(key, F.col("begin").alias("at")), key, "at").select(key, F.col("at").alias("begin")).distinct(), [key, "begin"], "left_anti")
-    candidates = elements.filter(F.col("tag").isin(*BLOCK_TAGS)).select(key, F.col("begin").alias("at"), F.col("end").alias("at_end"), F.col("tag").alias("block_tag"))
-    in_table = _inside(outer, candidates, key, "at").select(key, "at").distinct()
-    candidates = candidates.join(in_table, [key, "at"], "left_anti")
+    outer = elements.filter("tag = 'table' and around = 0")
+    candidates = elements.filter(F.col("tag").isin(*BLOCK_TAGS) & (F.col("around") == 0)).select(key, F.col("begin").alias("at"), F.col("end").alias("at_end"), F.col("tag").alias("block_tag"))
     single = F.col("tag").isin("p", "table", *BLOCK_HEADINGS)
     blocks = candidates.join(roots, key).filter(F.when(single, F.col("at") == F.col("begin")).otherwise((F.col("at") > F.col("begin")) & (F.col("at") < F.col("end"))))
     blocks = blocks.select(key, "section_no", "at", "at_end", "block_tag")
     found = _texts_of(candidates.select(key, F.col("at").alias("begin"), F.col("at_end").alias("end")), texts, key).withColumnRenamed("begin", "at")
-    markdown = page_tables(tokens, key).select(key, F.col("begin").alias("at"), "markdown")
+    markdown = _page_tables(elements, texts, key).select(key, F.col("begin").alias("at"), "markdown")
     spelt = tokens.withColumn("shown", F.col("token")).select(key, "pos", "shown")
     raw = _inside(outer.select(key, (F.col("begin") - 1).alias("begin"), (F.col("end") + 1).alias("end")), spelt, key, "pos").withColumn("at", F.col("of_begin") + 1)
     raw = _joined_in_order(raw, [key, "at"], "pos", "shown", "raw").withColumn("raw", _inline(F.col("raw")))

@@ -94,3 +94,14 @@ def test_texts_of_a_page_end_at_tables(spark):
     out = web.page_chunks(rows, "page_id", 30).filter("role = 'web_text'").collect()
     got = {p: [r.content for r in sorted(out, key=lambda r: r.position) if r.page_id == p] for p in (1, 2, 3)}
     assert got == {1: ["# T\none\n\ntwo", "# T\nthree", "# T\n" + "w " * 40, "# T\nfour"], 2: [], 3: ["alone"]}
+
+
+def test_containers_are_measured_without_joins(spark):
+    """Running sums at both ends of an element: nested links count twice, an outer table holds the inner one."""
+    html = "<body><a>ab<div role=main>c<a>d</a></div></a><table><tr><td>x<table><tr><td>y</table></table><h2>z</h2></body>"
+    tokens = page_elements.page_tokens(spark.createDataFrame([(1, html)], "page_id int, html string"), "page_id", "html")
+    scores = page_elements.container_scores(tokens, "page_id")
+    assert "Join" not in scores._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.tag, r.score) for r in scores.collect()) == [("body", 7.0 - 2 + 160 + 40), ("div", 0.8)]
+    tables = page_elements.measured_elements(tokens, "page_id").filter("tag = 'table'").orderBy("begin")
+    assert [(r.around, r.tables) for r in tables.collect()] == [(0, 1), (1, 0)]
