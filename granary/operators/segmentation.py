@@ -19,6 +19,7 @@ from pyspark.sql.functions import pandas_udf
 
 from granary.functions import text
 from granary.operators.lexical import unstopped_windows
+from granary.sources.scratch import scratch_path
 
 # Frequency of a word that a collection adds, letters of a term, terms and windows by mode, scores.
 OWN_FREQUENCY = 20_000
@@ -34,7 +35,8 @@ _PLACES = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.Stru
 def weighted_dictionary(words: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """word, weight, own: from counted words (word, n) and words that a collection adds (word). A word of both is the collection's.
 
-    Words are normalised; those without letters or longer than a term may be don't count, counts below one count as one."""
+    Words are normalised; those without letters or longer than a term may be don't count, counts below one count as one. The
+    merged words are a scratch table, so that what they were counted from is read once, however often the dictionary is."""
     normal = text.normalize_lexical("word")
     counted = words.select(normal.alias("word"), F.greatest(F.col("n"), F.lit(1)).cast("long").alias("n"), F.lit(False).alias("own"))
     if own is not None:
@@ -42,6 +44,9 @@ def weighted_dictionary(words: DataFrame, own: DataFrame | None = None) -> DataF
     counted = counted.filter(F.length("word").between(1, MOST_LETTERS))
     merged = counted.groupBy("word").agg(F.max(F.struct("own", "n")).alias("top"), F.sum("n").alias("n"))
     merged = merged.select("word", "top.own", F.when(F.col("top.own"), F.col("top.n")).otherwise(F.col("n")).alias("n"))
+    path = scratch_path(words.sparkSession, "dictionary")
+    merged.write.parquet(path)
+    merged = words.sparkSession.read.schema(merged.schema).parquet(path)
     total = merged.agg(F.sum("n")).first()[0] or 1
     return merged.select("word", F.round((F.log("n") - F.lit(math.log(total))) * WEIGHT_UNIT).cast("long").alias("weight"), "own", F.lit(round(-math.log(total) * WEIGHT_UNIT)).cast("long").alias("unknown"))
 

@@ -20,8 +20,8 @@ def unspaced(c: str) -> Column:
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word"))
-    counted = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.length("word") <= 16)
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    counted = words.filter(F.length("word").between(1, 16)).groupBy("word").agg(F.count("*").alias("n"))
     parts = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).distinct()
     signs = F.translate("word", LETTERS, SIGNS)
     return segmentation.weighted_dictionary(counted.select(signs.alias("word"), "n"), parts.select(signs.alias("word")))

@@ -95,3 +95,19 @@ def test_limits_of_a_mode(spark):
         assert len(r.terms) == segmentation.MOST_TERMS[mode] and len(r.windows) == segmentation.MOST_WINDOWS[mode]
     nothing = weighted_dictionary(spark.createDataFrame([], "word string, n long"))
     assert [len(r.words) for r in segmented(rows, "id", "body", nothing).collect()] == [200]
+
+
+def test_what_a_dictionary_is_counted_from_is_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(word):
+        read.add(1)
+        return word
+
+    counted = spark.createDataFrame([("大学", 5), ("学生", 4), ("生活", 3)], "word string, n long").select(seen("word").alias("word"), "n")
+    rows = spark.createDataFrame([(1, "大学生活")], "id long, body string")
+    dictionary = weighted_dictionary(counted)
+    before = read.value
+    found = segmented(rows, "id", "body", dictionary).collect()
+    assert [r.words for r in found] == [["大学", "生活"]] and read.value == before > 0
