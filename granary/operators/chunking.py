@@ -58,9 +58,12 @@ def packed_sized(sized: Column, budget: int, joiner: str, overlap: int = 0) -> C
 
     def step(a: Column, x: Column) -> Column:
         fits = (F.size(a["open"]) == 0) | (a["sum"] + x["n"] <= budget)
-        tail = F.slice(a["open"], F.greatest(F.lit(1), F.size(a["open"]) - overlap + 1), F.lit(overlap)) if overlap else F.array().cast("array<struct<p:string,n:bigint>>")
-        carried = F.when(total(tail) + x["n"] <= budget, tail).otherwise(F.array().cast("array<struct<p:string,n:bigint>>"))
         grown = F.struct(a["done"].alias("done"), F.array_append(a["open"], x).alias("open"), (a["sum"] + x["n"]).alias("sum"))
+        if not overlap:
+            begun = F.struct(F.array_append(a["done"], text(a["open"])).alias("done"), F.array(x).alias("open"), x["n"].alias("sum"))
+            return F.when(fits, grown).otherwise(begun).cast(kind)
+        tail = F.slice(a["open"], F.greatest(F.lit(1), F.size(a["open"]) - overlap + 1), F.lit(overlap))
+        carried = F.when(total(tail) + x["n"] <= budget, tail).otherwise(F.array().cast("array<struct<p:string,n:bigint>>"))
         reset = F.struct(F.array_append(a["done"], text(a["open"])).alias("done"), F.array_append(carried, x).alias("open"), (total(carried) + x["n"]).alias("sum"))
         return F.when(fits, grown).otherwise(reset).cast(kind)
 

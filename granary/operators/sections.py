@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from granary.functions.text import col, mixed_units, strip
 from granary.operators import markdown
 from granary.operators.chunking import packed, packed_sized, recursive_chunks
+from granary.sources.scratch import scratch_path
 
 # What counts as a bare heading, from which level siblings are drawn together, and how small chapters must be.
 STUB_LINES, STUB_UNITS, SIBLING_LEVEL, SMALL_CHAPTERS = 3, 80, 3, 150
@@ -131,6 +132,13 @@ def _with_tail(pieces: Column, least: int, most: Column) -> Column:
     return F.when(fits, F.concat(F.slice(pieces, F.lit(1), F.greatest(n - 2, F.lit(0))), F.array(F.concat_ws("\n\n", before, last)))).otherwise(pieces)
 
 
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a scratch table: worked out once, however many read it."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def section_tree(sections: DataFrame, key: str, size: int, limit: int) -> DataFrame:
     """key, section, role, position, part, vectorize, content: chunks of sections (key, section, path, content).
 
@@ -142,6 +150,7 @@ def section_tree(sections: DataFrame, key: str, size: int, limit: int) -> DataFr
     whole = (units < WHOLE * size) & (units + head <= limit)
     room = F.when(F.lit(limit - MARGIN) - head > 0, F.lit(limit - MARGIN) - head).otherwise(max(1, limit - 50))
     sized = sections.filter(strip(F.col("content")) != "").withColumn("_s", F.struct(key, "section")).select("_s", key, "section", "content", units.alias("units"), whole.alias("whole"), room.cast("long").alias("room"))
+    sized = _written(sized, "sections-sized")
     small = sized.filter("whole").select(key, "section", F.lit("section").alias("role"), F.lit(0).alias("position"), F.lit(0).alias("part"), F.lit(True).alias("vectorize"), "content")
     large = sized.filter(~F.col("whole"))
     found = markdown.elements(large.select("_s", "content"), "_s", "content")
@@ -154,7 +163,9 @@ def section_tree(sections: DataFrame, key: str, size: int, limit: int) -> DataFr
     cut = cut.withColumn("_segments", segments).withColumn("_packed", packed_sized(F.col("_segments"), F.col("budget"), "\n\n"))
     cut = cut.withColumn("children", _with_tail(F.col("_packed"), max(1, size // 4), F.col("room"))).drop("_segments", "_packed")
     protected = F.transform(F.filter("blocks", lambda b: b["kind"] != "plain"), lambda b: F.named_struct(F.lit("text"), b["content"], F.lit("kind"), b["kind"]))
-    items = cut.select(key, "section", "budget", "units", "children", protected.alias("protected"), F.posexplode("children").alias("position", "content"))
+    # Pieces are worked out once: children, their parts and their parents read them.
+    cut = _written(cut.select(key, "section", "units", "children", protected.alias("protected")), "section-pieces")
+    items = cut.select(key, "section", "protected", F.posexplode("children").alias("position", "content"))
     kind = F.try_element_at(F.transform(F.filter("protected", lambda x: x["text"] == F.col("content")), lambda x: x["kind"]), F.lit(1))
     items = items.withColumn("kind", kind).withColumn("split", F.col("kind").isNotNull() & (mixed_units("content") > size))
     children = items.select(key, "section", F.lit("child").alias("role"), "position", F.lit(0).alias("part"), (~F.col("split")).alias("vectorize"), "content")

@@ -132,3 +132,10 @@ def test_user_rules_equal_the_plain_version(spark):
         same = lambda xs: [x.strip() for x in xs]
         assert all(same(got[i]) == same(plain_cut(t, rules, 60, overlap)) for i, t in enumerate(texts))
     assert df.select(F.sum(F.size(cut_by_rules("body", [], 60, 10)))).first()[0] > 60
+
+
+def test_pieces_of_sections_are_worked_out_once(spark):
+    rows = spark.createDataFrame([(1, 0, "", "a line of words\n" * 60 + "\n- one\n- two\n"), (2, 0, "", "short")], "id long, section int, path string, content string")
+    tree = sections.section_tree(rows, "id", 20, 400)
+    assert "Window" not in tree._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.role for r in tree.collect()} == {"section", "child", "parent"}
