@@ -46,16 +46,17 @@ def replaced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "rows-by-document")
     # A folder holds the documents of one bucket, so that folders stay few however many documents there are.
     bucket = F.pmod(F.xxhash64("doc"), F.lit(16))
+    stored = "doc long, sheet string, row_no int, quantity double, bucket int"
     for part in (rows, again):
-        known = spark.read.schema("doc long, sheet string, row_no int, quantity double, row_uid string, bucket int").parquet(path) if part is again else None
-        new = table_rows.row_uids(part, "doc", "sheet", "row_no").withColumn("bucket", bucket.cast("int")).select("doc", "sheet", F.col("row_no").cast("int").alias("row_no"), F.col("quantity").cast("double").alias("quantity"), "row_uid", "bucket")
-        if known is not None:
-            stay = known.join(new.select("doc").distinct(), "doc", "left_anti").join(new.select("bucket").distinct(), "bucket", "left_semi").select(*new.columns)
-            staged = scratch_path(spark, "rows-replaced")
-            new.unionByName(stay).write.parquet(staged)
-            new = spark.read.schema(new.schema).parquet(staged)
+        new = part.select("doc", "sheet", F.col("row_no").cast("int").alias("row_no"), F.col("quantity").cast("double").alias("quantity"), bucket.cast("int").alias("bucket"))
+        if part is again:
+            known = spark.read.schema(stored).parquet(path)
+            stay = known.join(new.select("doc").distinct(), "doc", "left_anti").join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi").select(*new.columns)
+            # Folders are exchanged once all rows are written, so that they can be read until then.
+            new = new.unionByName(stay)
         upserts.replace_partitions(new, path, "bucket")
-    return spark.read.parquet(path).drop("bucket")
+    # Names follow from what is stored: they are neither written nor sent along.
+    return table_rows.row_uids(spark.read.schema(stored).parquet(path), "doc", "sheet", "row_no").select("doc", "sheet", "row_no", "quantity", "row_uid")
 
 
 @query(
