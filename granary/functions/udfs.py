@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,22 +99,28 @@ def stopword_hits(c: Column, stopwords: list[str], most: int = 80) -> Column:
     return F.slice(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), 1, most)
 
 
+#: Rows whose texts are taken out of a batch at once.
+MOST_EMBEDDED = 256
+
+
 def embed(df: DataFrame, body: str, dimensions: int = 64) -> DataFrame:
     """Adds a vector of hashed words of length 1: a stand-in for a model, the same at every run."""
 
-    def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        for frame in frames:
-            rows = np.zeros((len(frame), dimensions))
-            for row, text in zip(rows, frame[body], strict=True):
-                for word in (text or "").lower().split():
+        # By slices of a batch, so that few texts are Python's at once.
+        for batch in (b.slice(at, MOST_EMBEDDED) for b in batches for at in range(0, b.num_rows, MOST_EMBEDDED)):
+            rows = np.zeros((batch.num_rows, dimensions))
+            for row, text in zip(rows, batch.column(body), strict=True):
+                for word in (text.as_py() or "").lower().split():
                     h = zlib.crc32(word.encode())
                     row[h % dimensions] += 1.0 if h >> 31 else -1.0
             rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-            yield frame.assign(vector=list(rows))
+            places = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dimensions)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(places, pa.array(rows.ravel()))], names=[*batch.schema.names, "vector"])
 
-    return df.mapInPandas(vectors, T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))]))
+    return df.mapInArrow(vectors, T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))]))
 
 
 _FIELDS = ((0, 59), (0, 23), (1, 31), (1, 12), (0, 7))
