@@ -63,10 +63,13 @@ def split_table(c: Column, budget: int) -> Column:
 def split_wide_table(c: Column, columns: int) -> Column:
     """A table cut into groups of columns, the first column in each."""
     rows = F.transform(_lines(c), lambda r: F.transform(F.split(F.regexp_replace(r, r"^\s*\||\|\s*$", ""), r"\|"), lambda x: F.trim(x)))
-    width = F.size(F.try_element_at(rows, F.lit(1)))
-    starts = F.sequence(F.lit(2), F.greatest(width, F.lit(2)), F.lit(max(1, columns - 1)))
     line = lambda r, at: F.concat(F.lit("| "), F.array_join(F.concat(F.slice(r, 1, 1), F.slice(r, at, F.lit(max(1, columns - 1)))), " | "), F.lit(" |"))
-    return F.when(width <= columns, F.array(c)).otherwise(F.transform(starts, lambda at: F.array_join(F.transform(rows, lambda r: line(r, at)), "\n")))
+
+    def parts(rows: Column, width: Column) -> Column:
+        starts = F.sequence(F.lit(2), F.greatest(width, F.lit(2)), F.lit(max(1, columns - 1)))
+        return F.when(width <= columns, F.array(c)).otherwise(F.transform(starts, lambda at: F.array_join(F.transform(rows, lambda r: line(r, at)), "\n")))
+
+    return let(rows, lambda rows: let(F.size(F.try_element_at(rows, F.lit(1))), lambda width: parts(rows, width)))
 
 
 def split_header_heavy_table(c: Column, budget: int) -> Column:

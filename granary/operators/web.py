@@ -36,14 +36,19 @@ def is_meaningful(paragraph: Column) -> Column:
 
 def split_html_table(table: Column, budget: int) -> Column:
     """Rows of an HTML table packed to a budget of units, the header rows in each part."""
-    rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr\b.*?</tr>"), F.lit(0))
     is_head = lambda r: r.rlike(r"(?is)<th\b") & ~r.rlike(r"(?is)<td\b")
-    body_at = F.array_position(F.transform(rows, lambda r: ~is_head(r)), F.lit(True))
-    n_head = F.when(body_at > 0, body_at - 1).otherwise(0).cast("int")
-    head = F.array_join(F.slice(rows, F.lit(1), n_head), "")
-    body = F.slice(rows, n_head + 1, F.greatest(F.size(rows) - n_head, F.lit(0)))
-    parts = F.transform(packed(body, budget, "", size=mixed_units), lambda p: F.concat(F.lit("<table>"), head, p, F.lit("</table>")))
-    return F.when(F.size(rows) <= 1, F.array(table)).otherwise(parts)
+
+    def parts(rows: Column, n_head: Column) -> Column:
+        body = F.slice(rows, n_head + 1, F.greatest(F.size(rows) - n_head, F.lit(0)))
+        whole = lambda head: F.transform(packed(body, budget, "", size=mixed_units), lambda p: F.concat(F.lit("<table>"), head, p, F.lit("</table>")))
+        return markdown.let(F.array_join(F.slice(rows, F.lit(1), n_head), ""), whole)
+
+    def cut(rows: Column) -> Column:
+        body_at = F.array_position(F.transform(rows, lambda r: ~is_head(r)), F.lit(True))
+        n_head = markdown.let(body_at, lambda at: F.when(at > 0, at - 1).otherwise(0).cast("int"))
+        return F.when(F.size(rows) <= 1, F.array(table)).otherwise(markdown.let(n_head, lambda n: parts(rows, n)))
+
+    return markdown.let(F.regexp_extract_all(table, F.lit(r"(?is)<tr\b.*?</tr>"), F.lit(0)), cut)
 
 
 def page_chunks(sections: DataFrame, key: str, size: int) -> DataFrame:

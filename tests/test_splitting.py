@@ -167,3 +167,28 @@ def test_chunkers_take_tokens_as_their_size(spark, tmp_path):
     got = [r.content for r in frame.select(F.posexplode(chunking.paragraphs_by("text", 6, counter)).alias("pos", "content")).orderBy("pos").collect()]
     sizes = [Vocabulary({bytes([b]): b for b in range(256)} | {b"ab": 256, b" ab": 257}).count(p) for p in body.split("\n\n")]
     assert sizes == [4, 4, 1, 10] and got == ["ab ab ab ab", "xyz ab\n\nab", "qqqqqqqqqq"]
+
+
+def test_rows_of_a_table_are_found_once(spark):
+    from granary.operators import markdown, web
+
+    frame = spark.range(1).select(F.col("id").cast("string").alias("t"))
+    for cut, pattern in ((web.split_html_table(F.col("t"), 60), r"(?is)<tr\b.*?</tr>"), (markdown.split_wide_table(F.col("t"), 3), r"^\s*\||\|\s*$")):
+        assert frame.select(cut)._jdf.queryExecution().optimizedPlan().toString().count(pattern) <= 2  # the expression, and its name
+
+
+def test_names_of_replaced_rows_are_not_stored(spark, sf_dir):
+    from granary.plans.families import replaced_rows
+
+    found = replaced_rows(spark, sf_dir)
+    assert "row_uid" in found.columns and all("row_uid" not in spark.read.parquet(f).columns for f in found.inputFiles()[:2])
+
+
+def test_embedded_texts_are_taken_in_slices(spark):
+    from granary.functions import udfs
+
+    rows = spark.range(600).select("id", F.when(F.col("id") != 5, F.concat(F.lit("Word w"), F.col("id").cast("string"))).alias("t")).coalesce(1)
+    sizes = udfs.embed(rows, "t").mapInArrow(lambda batches: batches, "id long, t string, vector array<double>")
+    found = {r.id: r.vector for r in sizes.collect()}
+    assert len(found) == 600 and set(found[5]) == {0.0} and all(abs(sum(x * x for x in v) - 1) < 1e-9 or not any(v) for v in found.values())
+    assert udfs.MOST_EMBEDDED < 600
