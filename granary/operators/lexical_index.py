@@ -88,8 +88,8 @@ class LexicalIndex:
         return F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame, name: str, generation: int, *order: str) -> None:
-        # By range: a token that a third of all units have goes to several tasks and files.
-        rows.repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/generation={generation}")
+        # Rebalanced: a bucket that is too large for one task goes to several tasks and files, and rows are made once, without a sample of ranges before.
+        rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", *order).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/generation={generation}")
 
     def _commit(self, generation: int, base: bool) -> None:
         self.spark.createDataFrame([(base,)], "base boolean").write.mode("errorifexists").parquet(f"{self.path}/commits/generation={generation}")

@@ -115,3 +115,17 @@ def test_batch_search_equals_recall_over_whole_texts(spark, index, stopwords):
         want = [(r.unit_id, r.score) for r in lexical.recall(frame, plan, 12, tie="unit_id").collect()]
         assert [s for _, s in got.get(q, [])] == [s for _, s in want], t
         assert [x for x in got.get(q, []) if x[1] > want[-1][1]] == [x for x in want if x[1] > want[-1][1]]
+
+
+def test_written_rows_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def token(n):
+        made.add(1)
+        return f"w{n % 7}"
+
+    rows = spark.range(90).select(F.col("id").alias("unit_id"), F.lit("a").alias("scope"), token("id").alias("token"), (F.col("id") % 4).cast("int").alias("bucket"))
+    index = LexicalIndex(spark, str(tmp_path / "index"), 4)
+    index._write(rows, "postings", 1, "token", "unit_id", "scope")
+    assert made.value == 90 and spark.read.parquet(f"{index.path}/postings").count() == 90
