@@ -7,7 +7,7 @@ each class says.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -59,40 +59,17 @@ def page_versions(pages: DataFrame, key: str, body: str, seen: str) -> DataFrame
 
 
 class _InOrder(StatefulProcessor):
-    """Holds events back until the watermark has passed them, then handles those of a key in order of time and id.
+    """Handles the events of a key in order of time and id. They come once the watermark has passed them, so that those of a later
+    batch are later ones; what one key's state holds is read once and written once a batch. What they get goes back as one row
+    of arrays, as Python's rows are dear."""
 
-    Held are no more events than come within the delay of the watermark; one timer a key stands at the earliest of them."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "at long, id string, action string, scope string")
+    columns: tuple[str, ...]
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        new = [(r.at, r.id, r.action, r.scope) for r in rows]
-        earliest = self._timer()
-        first = min(at for at, *_ in new)
-        self.held.appendList(new)
-        if earliest is None or first < earliest:
-            if earliest is not None:
-                self.handle.deleteTimer(earliest)
-            self.handle.registerTimer(first)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        events = sorted(self.held.get())
-        ready, later = [e for e in events if e[0] <= now], [e for e in events if e[0] > now]
-        if later:
-            self.held.put(later)
-            self.handle.registerTimer(later[0][0])
-        else:
-            self.held.clear()
-        yield from self.handled(key, ready)
-
-    def _timer(self) -> int | None:
-        return min(self.handle.listTimers(), default=None)
-
-    def handled(self, key, events: list[tuple]) -> Iterable[Row]:
+        found = self.handled(sorted(tuple(r[1:]) for r in rows))
+        yield Row("key", *self.columns)(key[0], *map(list, zip(*found, strict=True)))
+
+    def handled(self, events: list[tuple]) -> Iterator[tuple]:
         raise NotImplementedError
 
     def close(self) -> None:
@@ -102,15 +79,17 @@ class _InOrder(StatefulProcessor):
 class _Leases(_InOrder):
     """State of a limiter: the leases held, no more than its limit; those that have expired go when the next event comes."""
 
+    columns = ("at", "id", "action", "scope", "answer", "held")
+
     def __init__(self, most: int, most_of_scope: int | None, ttl: int):
         self.most, self.most_of_scope, self.ttl = most, most_of_scope, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.leases = handle.getMapState("leases", "id string", "scope string, expires long")
+        self.leases = handle.getValueState("leases", "held array<struct<id: string, scope: string, expires: long>>")
 
-    def handled(self, key, events: list[tuple]) -> Iterator[Row]:
-        open_ = {k[0]: tuple(v) for k, v in self.leases.iterator()}
+    def handled(self, events: list[tuple]) -> Iterator[tuple]:
+        held = self.leases.get()
+        open_ = {id_: (scope, expires) for id_, scope, expires in held[0]} if held else {}
         before = dict(open_)
         for at, id_, action, scope in events:
             open_ = {k: v for k, v in open_.items() if v[1] > at}
@@ -125,41 +104,55 @@ class _Leases(_InOrder):
                 answer = "granted" if room else "refused"
                 if room:
                     open_[id_] = (scope, at + self.ttl)
-            yield Row(limiter=key[0], at=at, id=id_, action=action, scope=scope, answer=answer, held=len(open_))
-        for k in before.keys() - open_.keys():
-            self.leases.removeKey((k,))
-        for k, v in open_.items():
-            if before.get(k) != v:
-                self.leases.updateValue((k,), v)
+            yield at, id_, action, scope, answer, len(open_)
+        if not open_ and before:
+            self.leases.clear()
+        elif open_ != before:
+            self.leases.update(([(k, *v) for k, v in open_.items()],))
 
 
 class _Memo(_InOrder):
-    """State of a call's arguments: when the result that is kept expires; one number."""
+    """State of a call's arguments: when the result that is kept was made and when it expires; two numbers."""
+
+    columns = ("at", "id", "hit", "made")
 
     def __init__(self, ttl: int):
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
         self.kept = handle.getValueState("kept", "at long, expires long")
 
-    def handled(self, key, events: list[tuple]) -> Iterator[Row]:
-        made, expires = self.kept.get() if self.kept.exists() else (None, None)
+    def handled(self, events: list[tuple]) -> Iterator[tuple]:
+        before = self.kept.get() or (None, None)
+        made, expires = before
         for at, id_, *_ in events:
             hit = expires is not None and at < expires
             if not hit:
                 made, expires = at, at + self.ttl
-            yield Row(arguments=key[0], at=at, id=id_, hit=hit, made=made)
-        if made is not None:
+            yield at, id_, hit, made
+        if made != before[0]:
             self.kept.update((made, expires))
 
 
-def _events(stream: DataFrame, key: str, at: str, id_: str, late: str, action: str | None, scope: str | None) -> DataFrame:
-    """Events as `_InOrder` takes them, with a watermark; those without key, time or id are left out."""
+def _events(stream: DataFrame, key: str, at: str, id_: str, late: str, **more: str | None) -> DataFrame:
+    """Events as `_InOrder` takes them: those of a key and millisecond together, once the watermark has passed them; those
+    without key, time or id are left out.
+
+    The engine's own aggregation holds them back, so that Python sees each event once and keeps no timers."""
+    time = F.timestamp_millis(F.unix_millis(F.col(at).cast("timestamp")))
     text = lambda c: F.lit(None).cast("string") if c is None else F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = stream.select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("time"), F.col(id_).cast("string").alias("id"), text(action).alias("action"), text(scope).alias("scope"))
+    rows = stream.select(F.col(key).alias("key"), time.alias("time"), F.col(id_).cast("string").alias("id"), *(text(c).alias(name) for name, c in more.items()))
     rows = rows.filter("key is not null and time is not null and id is not null").withWatermark("time", late)
-    return rows.withColumn("at", F.unix_millis("time"))
+    passed = rows.groupBy("key", "time").agg(F.collect_list(F.struct(*rows.columns[2:])).alias("events"))
+    return passed.select("key", F.unix_millis("time").alias("at"), F.inline("events"))
+
+
+def _answered(events: DataFrame, processor: _InOrder, key: str, kinds: str) -> DataFrame:
+    """key and a processor's columns for each event."""
+    kind = events.schema["key"].dataType.simpleString()
+    out = ", ".join(f"{c} array<{k}>" for c, k in zip(processor.columns, kinds.split(), strict=True))
+    found = events.groupBy("key").transformWithState(processor, f"key {kind}, {out}", "Append", "None")
+    return found.select(F.col("key").alias(key), F.inline(F.arrays_zip(*processor.columns)))
 
 
 def leases(stream: DataFrame, limiter: str, at: str, id_: str, action: str, scope: str | None, most: int, ttl_ms: int, late: str, most_of_scope: int | None = None) -> DataFrame:
@@ -169,16 +162,12 @@ def leases(stream: DataFrame, limiter: str, at: str, id_: str, action: str, scop
     `most_of_scope` of its scope; it expires `ttl_ms` after it was taken. Answers: granted, refused, held (taken again while it is
     held: neither counted twice nor prolonged), returned, unknown (nothing to return). Events are answered once the watermark has
     passed them; those that come later than that get no answer. A limiter's events are one key's, as a limit is one number."""
-    events = _events(stream, limiter, at, id_, late, action, scope)
-    kind = stream.schema[limiter].dataType.simpleString()
-    out = f"limiter {kind}, at long, id string, action string, scope string, answer string, held int"
-    return events.groupBy("key").transformWithState(_Leases(most, most_of_scope, ttl_ms), out, "Append", "EventTime")
+    events = _events(stream, limiter, at, id_, late, action=action, scope=scope)
+    return _answered(events, _Leases(most, most_of_scope, ttl_ms), "limiter", "long string string string string int")
 
 
 def memo(stream: DataFrame, arguments: str, at: str, id_: str, ttl_ms: int, late: str) -> DataFrame:
     """arguments, at, id, hit, made: whether each call finds a result that was made less than `ttl_ms` before, and when that was.
 
     A call that finds none makes one, which later calls find until it expires; finding doesn't prolong it. Late calls get no row."""
-    events = _events(stream, arguments, at, id_, late, None, None)
-    kind = stream.schema[arguments].dataType.simpleString()
-    return events.groupBy("key").transformWithState(_Memo(ttl_ms), f"arguments {kind}, at long, id string, hit boolean, made long", "Append", "EventTime")
+    return _answered(_events(stream, arguments, at, id_, late), _Memo(ttl_ms), "arguments", "long string boolean long")

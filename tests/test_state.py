@@ -112,6 +112,21 @@ def test_results_are_kept_until_they_expire(feed):
     assert table == sorted(want) and {w[3] for w in want} == {True, False}
 
 
+def test_events_wait_in_the_engine(spark, tmp_path):
+    """Python keeps no timers: its state is one row for each limiter, and what waits lies with the aggregation."""
+    inbox, schema = str(tmp_path / "inbox"), "limiter long, at timestamp, id string, action string"
+    rows = [(i, START + timedelta(minutes=m), f"l{m}", "take") for i in range(50) for m in range(3)] + [(0, START + timedelta(days=1), "end", "take")]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(inbox)
+    stream = state.leases(state.state_session(spark).readStream.schema(schema).parquet(inbox), "limiter", "at", "id", "action", None, 2, 60 * MINUTE, "40 minutes")
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).format("parquet").option("path", str(tmp_path / "o")).start()
+    query.awaitTermination()
+    found = [s for p in query.recentProgress for s in p["stateOperators"] if s["operatorName"].startswith("transformWithState")]
+    assert found and sum(s["customMetrics"].get("numRegisteredTimers", 0) for s in found) == 0
+    assert max(s["numRowsTotal"] for s in found) == 50
+    answers = [r["answer"] for r in spark.read.parquet(str(tmp_path / "o")).collect()]
+    assert sorted(answers) == ["granted"] * 100 + ["refused"] * 50
+
+
 def test_the_callers_settings_stay(spark):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     assert state.state_session(spark).conf.get("spark.sql.streaming.stateStore.providerClass") == state.PROVIDER
