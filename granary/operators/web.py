@@ -25,13 +25,17 @@ def try_browser(meaningful: Column, chars: Column, suspicious: Column, link_rati
 
 def is_meaningful(paragraph: Column) -> Column:
     """A paragraph that isn't navigation or a copyright line."""
-    low = F.lower(strip(F.coalesce(paragraph, F.lit(""))))
-    noise = F.lit(False)
-    for w in NOISE_STARTS:
-        noise = noise | low.startswith(w)
-    for w in NOISE_WORDS:
-        noise = noise | F.contains(low, F.lit(w))
-    return (low != "") & ~noise
+
+    def says(low: Column) -> Column:
+        noise = F.lit(False)
+        for w in NOISE_STARTS:
+            noise = noise | low.startswith(w)
+        for w in NOISE_WORDS:
+            noise = noise | F.contains(low, F.lit(w))
+        return (low != "") & ~noise
+
+    # Within an array, so that a paragraph is stripped and lowered once and not for each word.
+    return F.exists(F.array(F.lower(strip(F.coalesce(paragraph, F.lit(""))))), says)
 
 
 def split_html_table(table: Column, budget: int) -> Column:
