@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def col(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where `value` is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without blanks at either end, wide ones included."""
     return F.regexp_replace(c, r"^[\s　]+|[\s　]+$", "")
@@ -79,10 +86,13 @@ def index_text(c: Column | str) -> Column:
 def mixed_units(c: Column | str) -> Column:
     """Length of a text in units: an ideograph 1, a word 1 up to 8 characters and a quarter of its length beyond, any other mark 1."""
     pattern = r"([一-鿿㐀-䶿　-〿＀-￯]|[\p{L}\p{N}_]+|[^\s])"
-    pieces = F.regexp_extract_all(col(c), F.lit(pattern), F.lit(1))
-    # Few words are long: all pieces count one, and the fold goes over what long ones have beyond that.
-    long = F.filter(pieces, lambda p: F.length(p) > 8)
-    return F.aggregate(long, F.size(pieces).cast("long"), lambda a, p: a + F.shiftright(F.length(p) + 3, 2) - 1)
+
+    def counted(pieces: Column) -> Column:
+        # Few words are long: all pieces count one, and the fold goes over what long ones have beyond that.
+        long = F.filter(pieces, lambda p: F.length(p) > 8)
+        return F.aggregate(long, F.size(pieces).cast("long"), lambda a, p: a + F.shiftright(F.length(p) + 3, 2) - 1)
+
+    return let(F.regexp_extract_all(col(c), F.lit(pattern), F.lit(1)), counted)
 
 
 def bigrams(c: Column) -> Column:

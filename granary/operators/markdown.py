@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import col, mixed_units, strip
+from granary.functions.text import col, let, mixed_units, strip
 from granary.operators.chunking import packed
 
 KINDS = ("code", "table", "list", "quote", "html", "plain")
@@ -39,11 +37,6 @@ def _lines(c: Column) -> Column:
     return F.filter(F.split(c, "\n"), lambda x: strip(x) != "")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where `value` is worked out once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def split_table(c: Column, budget: int) -> Column:
     """Rows packed to a budget of units, each part with the table's header; a row over the budget is a part of its own."""
 

@@ -117,6 +117,7 @@ def ancestor_tags(docs: DataFrame, folder_tags: DataFrame) -> DataFrame:
 
 def summary_units(chunks: DataFrame, summaries: DataFrame) -> DataFrame:
     """A unit of each document's usable summary (doc, summary), hung on its first chunk (doc, chunk_id)."""
-    text_ = rules.usable_summary("summary")
+    # Exploded, so that a summary is judged once, not for the filter and for the column.
+    usable = summaries.select("doc", F.explode(F.array(rules.usable_summary("summary"))).alias("search_text")).filter("search_text is not null")
     first = chunks.groupBy("doc").agg(F.min("chunk_id").alias("chunk_id"))
-    return summaries.withColumn("search_text", text_).filter("search_text is not null").join(first, "doc").select("chunk_id", F.lit("doc_summary").alias("search_scope"), "search_text", F.lit(35).alias("priority"), F.lit(False).alias("vectorize"))
+    return usable.join(first, "doc").select("chunk_id", F.lit("doc_summary").alias("search_scope"), "search_text", F.lit(35).alias("priority"), F.lit(False).alias("vectorize"))

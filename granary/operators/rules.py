@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import any_of, ascii_terms, cjk_terms, col, collapse, mixed_units, numeric_density
+from granary.functions.text import any_of, ascii_terms, cjk_terms, col, collapse, let, mixed_units, numeric_density
 
 
 def enhancement(content: Column, kind: Column, is_leaf: Column, least: int = 40, most: int = 2000, most_numeric: float = 0.45) -> Column:
@@ -17,10 +17,13 @@ def enhancement(content: Column, kind: Column, is_leaf: Column, least: int = 40,
 
 def usable_summary(c: Column | str, excluded: tuple[str, ...] = (), most: int = 1200) -> Column:
     """A document's summary if it says enough: 24 characters, 8 units, 3 different terms, none of the excluded phrases; cut to `most`."""
-    text = collapse(col(c))
-    terms = F.size(F.array_union(ascii_terms(text), cjk_terms(text)))
-    bad = any_of(F.lower(text), tuple(map(str.lower, excluded))) if excluded else F.lit(False)
-    return F.when(~bad & (F.length(text) >= 24) & (mixed_units(text) >= 8) & (terms >= 3), F.substring(text, 1, most))
+
+    def judged(text: Column) -> Column:
+        terms = F.size(F.array_union(ascii_terms(text), cjk_terms(text)))
+        bad = any_of(F.lower(text), tuple(map(str.lower, excluded))) if excluded else F.lit(False)
+        return F.when(~bad & (F.length(text) >= 24) & (mixed_units(text) >= 8) & (terms >= 3), F.substring(text, 1, most))
+
+    return let(collapse(col(c)), judged)
 
 
 def candidate_status(confidence: Column, evidence: Column, conflicts: Column, allowed: Column, least: float = 0.5) -> Column:
