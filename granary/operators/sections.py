@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,13 +68,23 @@ def joined_sections(sections: DataFrame, key: str, limit: int) -> DataFrame:
     sized = sections.select(key, F.struct("section", "level", "heading", "path", "content", mixed_units("content").alias("units"), mixed_units("path").alias("above")).alias("s"))
     docs = sized.groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("s"))
     kind = sections.schema[key].dataType.simpleString()
-
-    def walked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(k, i, *s) for k, found in zip(frame[key], frame["s"], strict=True) for i, s in enumerate(join_neighbours([dict(x) if isinstance(x, dict) else x.asDict() for x in found], limit))]
-            yield pd.DataFrame(rows, columns=[key, "section", "level", "heading", "path", "content"])
-
-    return docs.mapInPandas(walked, f"{key} {kind}, section int, level int, heading string, path string, content string")
+    columns = {"level": pa.int32(), "heading": pa.string(), "path": pa.string(), "content": pa.string()}
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, at, rows = [], [], []
+            # Field by field, as Arrow makes nested values one by one.
+            every, lengths = batch.column("s").flatten(), pc.list_value_length(batch.column("s")).to_pylist()
+            names, values = [f.name for f in every.type], zip(*(v.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(v.type) else v.to_pylist() for v in every.flatten()), strict=True)
+            for i, n in enumerate(lengths):
+                out = join_neighbours([dict(zip(names, s, strict=True)) for s in islice(values, n)], limit)
+                of += [i] * len(out)
+                at += range(len(out))
+                rows += out
+            told = [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), columns.values(), strict=True)] if rows else [pa.array([], t) for t in columns.values()]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(of, pa.int64())), pa.array(at, pa.int32()), *told], [key, "section", *columns])
+
+    return docs.mapInArrow(walked, f"{key} {kind}, section int, level int, heading string, path string, content string")
 
 
 def join_neighbours(sections: list[dict], limit: int) -> list[tuple]:
