@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.text import col, let, mixed_units, strip
@@ -11,26 +11,46 @@ from granary.operators.chunking import packed
 KINDS = ("code", "table", "list", "quote", "html", "plain")
 
 
-def elements(df: DataFrame, key: str, body: str) -> DataFrame:
-    """key, element, kind, first_line, content: runs of lines of one kind. A fence and all up to its end are code."""
-    lines = df.select(key, F.posexplode(F.split(col(body), "\n")).alias("line_no", "line"))
-    w = Window.partitionBy(key).orderBy("line_no")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("line").rlike(r"^\s*```")
-    inside = F.sum(fence.cast("int")).over(so_far) % 2 == 1
-    kind = (
-        F.when(fence | inside, "code")
-        .when(F.col("line").rlike(r"^\s*\|"), "table")
-        .when(F.col("line").rlike(r"^\s*([-*+]|\d+[.)]) "), "list")
-        .when(F.col("line").rlike(r"^\s*>"), "quote")
-        .when(F.col("line").rlike(r"^\s*</?[a-zA-Z]"), "html")
+def _kind(line: Column) -> Column:
+    """What a line outside of code is."""
+    return (
+        F.when(line.rlike(r"^\s*\|"), "table")
+        .when(line.rlike(r"^\s*([-*+]|\d+[.)]) "), "list")
+        .when(line.rlike(r"^\s*>"), "quote")
+        .when(line.rlike(r"^\s*</?[a-zA-Z]"), "html")
         .otherwise("plain")
     )
-    lines = lines.withColumn("kind", kind)
-    new = (~F.lag("kind").over(w).eqNullSafe(F.col("kind"))).cast("int")
-    lines = lines.withColumn("new", new).withColumn("element", F.sum("new").over(so_far))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return lines.groupBy(key, "element").agg(F.first("kind").alias("kind"), F.min("line_no").alias("first_line"), text.alias("content")).filter(strip(F.col("content")) != "")
+
+
+def _kinds(lines: Column) -> Column:
+    """The kind of each line. Every second fence ends what the one before began; the last may be open."""
+    n = F.size(lines)
+    fences = F.filter(F.sequence(F.lit(1), n), lambda i: F.get(lines, i - 1).rlike(r"^\s*```"))
+
+    def stretch(at: Column, k: Column) -> Column:
+        """What lies between two codes, and the code behind it."""
+        before, begin, end = F.when(k == 0, 0).otherwise(F.get(at, 2 * k - 1)), F.coalesce(F.get(at, 2 * k), n + 1), F.coalesce(F.get(at, 2 * k + 1), n)
+        return F.concat(F.transform(F.slice(lines, before + 1, begin - before - 1), _kind), F.array_repeat(F.lit("code"), end - begin + 1))
+
+    return let(fences, lambda at: F.flatten(F.transform(F.sequence(F.lit(0), F.shiftright(F.size(at), 1)), lambda k: stretch(at, k))))
+
+
+def elements(df: DataFrame, key: str, body: str) -> DataFrame:
+    """key, element, kind, first_line, content: runs of lines of one kind. A fence and all up to its end are code.
+
+    Lines stay in their row: each is looked at by its place, so that none is sorted or sent and a text costs what its length does."""
+
+    def runs(lines: Column, kinds: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == 1) | (F.get(kinds, i - 1) != F.get(kinds, i - 2)))
+
+        def run(starts: Column, start: Column, j: Column) -> Column:
+            text = F.array_join(F.slice(lines, start, F.coalesce(F.get(starts, j + 1), F.size(lines) + 1) - start), "\n")
+            return F.struct((j + 1).cast("long").alias("element"), F.get(kinds, start - 1).alias("kind"), (start - 1).alias("first_line"), text.alias("content"))
+
+        return let(starts, lambda starts: F.transform(starts, lambda start, j: run(starts, start, j)))
+
+    found = let(F.split(col(body), "\n"), lambda lines: let(_kinds(lines), lambda kinds: runs(lines, kinds)))
+    return df.select(key, F.explode(found).alias("_e")).select(key, "_e.*").filter(strip(F.col("content")) != "")
 
 
 def _lines(c: Column) -> Column:

@@ -49,9 +49,10 @@ def split_wide_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def markdown_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain lines, lists, code and quotes of a text, in order."""
-    item = F.concat(F.lit("- part "), "l_partkey")
-    items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", item.alias("r")))), lambda x: x["r"]), "\n")
-    docs = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit("# Order\ntext\n"), items, F.lit("\n```\n- not an item\n```\n> quoted")).alias("body"))
+    # What is sent are numbers; items are written where they have met.
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("lines"))
+    items = F.array_join(F.transform("lines", lambda x: F.concat(F.lit("- part "), x["l_partkey"])), "\n")
+    docs = lines.select("l_orderkey", F.concat(F.lit("# Order\ntext\n"), items, F.lit("\n```\n- not an item\n```\n> quoted")).alias("body"))
     return markdown.elements(docs, "l_orderkey", "body").select("l_orderkey", "kind", "first_line", "content")
 
 

@@ -192,3 +192,25 @@ def test_embedded_texts_are_taken_in_slices(spark):
     found = {r.id: r.vector for r in sizes.collect()}
     assert len(found) == 600 and set(found[5]) == {0.0} and all(abs(sum(x * x for x in v) - 1) < 1e-9 or not any(v) for v in found.values())
     assert udfs.MOST_EMBEDDED < 600
+
+
+def plain_elements(body):
+    lines, code, kinds = (body or "").split("\n"), False, []
+    for line in lines:
+        fence = re.match(r"[ \t\r\f\v]*```", line)
+        marks = {"table": r"\s*\|", "list": r"\s*([-*+]|[0-9]+[.)]) ", "quote": r"\s*>", "html": r"\s*</?[a-zA-Z]"}
+        kinds.append("code" if fence or code else next((k for k, m in marks.items() if re.match(m, line)), "plain"))
+        code ^= bool(fence)
+    starts = [i for i in range(len(lines)) if i == 0 or kinds[i] != kinds[i - 1]]
+    runs = [(n, kinds[a], a, "\n".join(lines[a:b])) for n, (a, b) in enumerate(zip(starts, [*starts[1:], len(lines)], strict=True), 1)]
+    return [r for r in runs if r[3].strip()]
+
+
+def test_elements_without_sorting_lines(spark):
+    rng = random.Random(7)
+    lines = ["", "  ", "text", "- a", "12) c", "+ d", "-no", " > q", "```", "```py", "\t```", "````", "| a |", "  |x", "<p>", "</p> x", "<1", "1.x"]
+    texts = [None, "", "\n\n", "```", "```\n" * 401, *("\n".join(rng.choice(lines) for _ in range(rng.randrange(14))) for _ in range(300))]
+    out = markdown.elements(spark.createDataFrame(list(enumerate(texts)), "id int, body string"), "id", "body")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Window", "Exchange", "Sort", "Aggregate"))
+    assert sorted(map(tuple, out.collect())) == [(i, *r) for i, t in enumerate(texts) for r in plain_elements(t)]
