@@ -129,3 +129,17 @@ def test_equal_queries_and_equal_terms_are_sought_once(spark, monkeypatch):
     lexicon = spark.createDataFrame([(0, "ring", ["x"], 1.0, True)], "item_no int, term string, aliases array<string>, weight double, enabled boolean")
     assert sorted(r.query_id for r in analysis.match_lexicon(queries, lexicon).collect()) == list(range(6))
     assert sizes == [(2, 2), (2, 2)]  # the item has a term and an alias
+
+
+@pytest.mark.parametrize("most", [1000, 0], ids=["few", "many"])
+def test_windows_of_queries_are_not_sent(spark, monkeypatch, tmp_path, most):
+    """Windows are many times their texts, which Spark's size of exploded rows doesn't say: few entries go to them, many are merged."""
+    texts, entries = random_data(4)
+    entries += [f"entry {i} that is in no text and makes their table the larger one" for i in range(200)]
+    monkeypatch.setattr(analysis, "MOST_SENT", most, raising=False)
+    spark.createDataFrame(texts, "id long, text string").write.parquet(f"{tmp_path}/texts")  # files have a size
+    spark.createDataFrame([(e,) for e in dict.fromkeys(entries)], "word string").write.parquet(f"{tmp_path}/words")
+    found = analysis.contained(spark.read.parquet(f"{tmp_path}/texts"), "id", "text", spark.read.parquet(f"{tmp_path}/words"), "word")
+    joins = re.findall(r"(\w+Join) \[_anchor#\d+\], \[_anchor#\d+\], Inner(, Build\w+)?", found._jdf.queryExecution().executedPlan().toString())
+    assert joins == [("BroadcastHashJoin", ", BuildRight") if most else ("SortMergeJoin", "")]
+    assert sorted((r.id, r.word) for r in found.collect()) == plain(texts, entries)
