@@ -1,8 +1,8 @@
 """Cutting unspaced script into the words of a weighted dictionary, and the terms that an index or a query takes from it.
 
 A run of ideographs is a graph: its letters are the nodes, the dictionary's words found in it are the edges. Words are found by
-an equality join of all stretches up to the longest word, so that a dictionary of any size will do: Spark sends it to
-all tasks where it is small and deals both sides out where it isn't, with the same words either way. The best path has the
+an equality join of all stretches up to the longest word, both sides dealt out and merged, so that a dictionary of any size will
+do and stretches, many times their texts, are never sent to all tasks. Equal runs are cut once. The best path has the
 greatest sum of log frequencies; weights are whole millionths of e-folds, so that sums are exact, and of equal paths the one
 with the longer first word counts. A letter that is no word stands for itself with the weight of a word seen once.
 """
@@ -96,13 +96,15 @@ def runs_of(rows: DataFrame, key: str, body: str) -> DataFrame:
     return rows.select(key, F.posexplode(found).alias("run_no", "run"))
 
 
-def word_graph(runs: DataFrame, key: str, dictionary: DataFrame) -> DataFrame:
-    """key, run_no, at, size, weight, own: a row for each dictionary word in each run."""
+def word_graph(runs: DataFrame, keys: list[str], dictionary: DataFrame) -> DataFrame:
+    """The keys, at, size, weight, own: a row for each dictionary word in each run.
+
+    Spark takes exploded rows for no larger than what they come from, and would else send all stretches of all runs to every task."""
     longest = dictionary.agg(F.max(F.length("word"))).first()[0] or 1
     inside = F.expr(f"flatten(transform(sequence(1, length(run)), i -> transform(sequence(1, least({longest}, length(run) - i + 1)), n -> named_struct('at', i, 'word', substring(run, i, n)))))")
-    keyed = runs.select(key, "run_no", F.explode(inside).alias("_e")).select(key, "run_no", F.col("_e.at").alias("at"), F.col("_e.word").alias("word"))
+    keyed = runs.select(*keys, F.explode(inside).alias("_e")).select(*keys, F.col("_e.at").alias("at"), F.col("_e.word").alias("word"))
     words = dictionary.select("word", F.length("word").alias("size"), "weight", "own")
-    return keyed.join(words, "word").select(key, "run_no", "at", "size", "weight", "own")
+    return keyed.hint("merge").join(words, "word").select(*keys, "at", "size", "weight", "own")
 
 
 def segmented(rows: DataFrame, key: str, body: str, dictionary: DataFrame) -> DataFrame:
@@ -110,11 +112,14 @@ def segmented(rows: DataFrame, key: str, body: str, dictionary: DataFrame) -> Da
 
     `key` must be unique. Rows without ideographs give none."""
     runs = runs_of(rows, key, body)
+    once = runs.select("run").distinct()
     unknown = dictionary.agg(F.max("unknown")).first()[0] or 0
-    edges = word_graph(runs, key, dictionary).groupBy(key, "run_no").agg(F.collect_list(F.struct("at", "size", "weight", "own")).alias("edges"))
+    edges = word_graph(once, ["run"], dictionary).groupBy("run").agg(F.collect_list(F.struct("at", "size", "weight", "own")).alias("edges"))
     none = F.array().cast("array<struct<at int, size int, weight long, own boolean>>")
     cut = _cut(F.length("run"), F.coalesce("edges", none), F.lit(unknown).cast("long"))
-    found = runs.join(edges, [key, "run_no"], "left").select(key, "run_no", "run", cut.alias("cut"))
+    # The left joins keep Spark from sending the runs.
+    paths = once.join(edges, "run", "left").select("run", cut.alias("cut"))
+    found = runs.join(paths, "run", "left").select(key, "run_no", "run", "cut")
     word = lambda p: F.col("run").substr(p["at"], p["size"])
     return found.select(key, "run_no", "run", F.transform("cut.path", word).alias("words"), F.transform("cut.search", lambda p: F.struct(word(p).alias("word"), p["own"].alias("own"))).alias("search"))
 

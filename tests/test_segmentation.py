@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from granary.operators import segmentation
@@ -111,3 +112,20 @@ def test_what_a_dictionary_is_counted_from_is_read_once(spark):
     before = read.value
     found = segmented(rows, "id", "body", dictionary).collect()
     assert [r.words for r in found] == [["大学", "生活"]] and read.value == before > 0
+
+
+def test_stretches_are_not_sent_and_equal_runs_are_cut_once(spark, tmp_path, monkeypatch):
+    """Stretches are many times their runs, which Spark's size of exploded rows doesn't say; copies of a text add none."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice(LETTERS) for _ in range(rng.randrange(1, 13))) for _ in range(3000)]
+    spark.createDataFrame([(w, 1) for w in words], "word string, n long").write.parquet(f"{tmp_path}/words")  # files have a size
+    spark.createDataFrame([(i, "中国大学 and 学生活动") for i in range(20)], "id long, body string").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    rows, dictionary, graphs = spark.read.parquet(f"{tmp_path}/rows"), weighted_dictionary(spark.read.parquet(f"{tmp_path}/words")), []
+    whole = segmentation.word_graph
+    monkeypatch.setattr(segmentation, "word_graph", lambda runs, *a: graphs.append(runs) or whole(runs, *a))
+    found = segmented(rows, "id", "body", dictionary)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"(\w+Join) \[word#\d+\], \[word#\d+\]", plan) == ["SortMergeJoin"]
+    got = found.collect()
+    assert len(got) == 40 and len({tuple(r.words) for r in got}) == 2
+    assert [g.count() for g in graphs] == [2]
