@@ -7,7 +7,8 @@ themselves never leave a block before that: only bin counts do, and of those onl
 kth score, for the kth of all can't be lower.
 
 Scores are inner products of whole numbers, exact below 2 ** 53; vectors that could reach that raise an error. Blocks hold a bounded number
-of vectors; a block of queries meets each block of candidates once a pass, dealt out by shares of both, so that no key gathers all candidates.
+of vectors, in the least bytes that hold their numbers; a block of queries meets each block of candidates once a pass, dealt out by shares
+of both, so that no key gathers all candidates. Both sides are merged: copies of blocks are never sent through the driver.
 
 Queries and candidates follow the rules in `vectors`; an empty table gives no rows, and a query with fewer candidates
 than k gets all of them.
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import stored, table
-from granary.llm.vectors import BLOCK, distinct_vectors, matrix, packed, usable
+from granary.llm.vectors import BLOCK, distinct_vectors, packed, usable
 
 K = 20
 EVERY = 20
@@ -34,6 +35,10 @@ BINS = 128
 #: candidates more than one only beyond LEAST_GROUPS blocks.
 QUERY_BLOCK, QUERY_SLICE, CANDIDATE_BLOCK = 8192, 1024, 4096
 MOST_SHARE, LEAST_GROUPS = 16, 512
+#: Tasks of a pass: two for each key that pairs are dealt out by, up to this many.
+MOST_TASKS = 2000
+#: How a block's numbers are kept, by their bytes.
+KINDS = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.float64}
 
 
 def quantised(rows: DataFrame) -> DataFrame:
@@ -42,11 +47,27 @@ def quantised(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & usable()).select("vec_id", vector.alias("vector"))
 
 
+def _narrow(vectors: np.ndarray) -> np.ndarray:
+    """Whole numbers as the smallest kind that holds them all."""
+    least, most = vectors.min(), vectors.max()
+    return vectors.astype(next((k for k in (np.int8, np.int16, np.int32) if np.iinfo(k).min <= least and most <= np.iinfo(k).max), np.float64))
+
+
+def _matrix(data: bytes, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(data, KINDS[len(data) // (rows * width)]).reshape(rows, width).astype(np.float64)
+
+
+def _block(frame: pd.DataFrame) -> pd.DataFrame:
+    out = packed(frame, "key")
+    vectors = np.frombuffer(out["vectors"].iloc[0], np.float64)
+    return out.assign(vectors=[_narrow(vectors).tobytes()])
+
+
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
     """The distinct vectors in blocks of about `size`, a row each, numbered from 0 within each vector length."""
     counts = vectors.groupBy(F.size("vector").alias("width")).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
-    numbered = vectors.withColumn("width", F.size("vector")).join(counts, "width").withColumn("block", F.pmod("key", "blocks").cast("int"))
-    return numbered.groupBy("width", "block").applyInPandas(lambda f: packed(f, "key"), BLOCK)
+    numbered = vectors.withColumn("width", F.size("vector")).join(F.broadcast(counts), "width").withColumn("block", F.pmod("key", "blocks").cast("int"))
+    return numbered.groupBy("width", "block").applyInPandas(_block, BLOCK)
 
 
 def _grid(queries: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -63,19 +84,23 @@ def _pairs(queries: DataFrame, candidates: DataFrame, state: DataFrame | None) -
     """Each block of queries with each block of candidates; state: low, width of the bin and count above, by query.
 
     Pairs are dealt out by a share of the query blocks and a share of the candidate blocks: no key has more than MOST_SHARE of
-    either, and both sides are copied about equally little."""
+    either, and both sides are copied about equally little. Spark takes the copies for no larger than the blocks, and would else
+    send all copies of the queries to every task."""
     q = queries.select("block", "width", F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors"))
     if state is not None:
-        q = q.join(state, ["width", "block"])
+        q = q.hint("merge").join(state, ["width", "block"])
     else:
         q = q.withColumn("states", F.lit(None).cast("binary"))
     grid = _grid(queries, candidates)
     place = lambda block, share: F.floor(F.col(block) / F.col(share)).cast("int")
-    q = q.join(grid, "width").withColumn("q_part", place("block", "q_share")).withColumn("c_part", F.explode("c_parts"))
+    q = q.join(F.broadcast(grid), "width").withColumn("q_part", place("block", "q_share")).withColumn("c_part", F.explode("c_parts"))
     c = candidates.select("width", F.col("block").alias("c_block"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
-    c = c.join(grid, "width").withColumn("c_part", place("c_block", "c_share")).withColumn("q_part", F.explode("q_parts"))
+    c = c.join(F.broadcast(grid), "width").withColumn("c_part", place("c_block", "c_share")).withColumn("q_part", F.explode("q_parts"))
     drop = ("q_share", "c_share", "q_parts", "c_parts")
-    return c.drop(*drop).join(q.drop(*drop), ["width", "q_part", "c_part"])
+    # As many tasks as the pairs need: by the blocks' bytes alone Spark would take fewer.
+    keys = ["width", "q_part", "c_part"]
+    tasks = min(2 * (grid.agg(F.sum(F.size("q_parts") * F.size("c_parts"))).first()[0] or 1), MOST_TASKS)
+    return c.drop(*drop).repartition(tasks, *keys).hint("merge").join(q.drop(*drop).repartition(tasks, *keys), keys)
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -88,8 +113,8 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 def _counts(row, k: int, bins: int, top: int) -> pd.DataFrame:
     """Counts by bin of one pair of blocks: key, bin, n. A vector counts as often as it has ids; bin numbers fall with the score."""
-    q, c = matrix(row.q_vectors, row.width), matrix(row.c_vectors, row.width)
     keys = np.frombuffer(row.q_keys, np.int64)
+    q, c = _matrix(row.q_vectors, len(keys), row.width), _matrix(row.c_vectors, len(row.c_ids), row.width)
     low, wide = _ranges(row.states, len(keys), top, bins)
     times = np.fromiter(map(len, row.c_ids), np.int64, len(c))
     return pd.concat([_counts_of(row, keys[i : i + QUERY_SLICE], q[i : i + QUERY_SLICE], c, times, low[i : i + QUERY_SLICE], wide[i : i + QUERY_SLICE], k, bins) for i in range(0, len(keys), QUERY_SLICE)])
@@ -150,7 +175,7 @@ def select_topk(queries: DataFrame, candidates: DataFrame, k: int, bins: int = B
         if ranges is None:
             known = counts.withColumn("low", F.lit(float(top + 1 - wide * bins))).withColumn("above", F.lit(0).cast("long"))
         else:
-            known = counts.join(ranges, ["width", "block", "key"])
+            known = counts.hint("merge").join(ranges, ["width", "block", "key"])
         running = F.sum("n").over(Window.partitionBy("width", "block", "key").orderBy("bin")) + F.col("above")
         # The bin in which the kth score lies; the last one that has scores, where there are fewer than k.
         reached = known.withColumn("upto", running).withColumn("before", running - F.col("n"))
@@ -190,7 +215,7 @@ def _kept(row, k: int) -> pd.DataFrame:
     """The scores of one pair of blocks that are not below the query's kth, at most k a query."""
     keys = np.frombuffer(row.q_keys, np.int64)
     least, _ = np.frombuffer(row.states, np.float64).reshape(-1, 2).T
-    q, c = matrix(row.q_vectors, row.width), matrix(row.c_vectors, row.width)
+    q, c = _matrix(row.q_vectors, len(keys), row.width), _matrix(row.c_vectors, len(row.c_ids), row.width)
     found = []
     for i in range(0, len(keys), QUERY_SLICE):
         scores = _scores(q[i : i + QUERY_SLICE], c)

@@ -129,3 +129,31 @@ def test_no_task_reads_more_than_its_share(spark, monkeypatch):
         keys[r.q_part, r.c_part] = keys.get((r.q_part, r.c_part), 0) + 1
     assert queries.count() >= 5 and max(keys.values()) <= 4 and len(keys) >= len(pairs) / 4
     assert got == plain([(i, np.floor(64 * np.array(v))) for i, v in rows], lambda x, y: int(x @ y))
+
+
+def test_copies_of_blocks_are_not_sent(spark, monkeypatch, tmp_path):
+    """Copies of the queries' blocks are as many as there are shares of candidates, which Spark's size of exploded rows doesn't say."""
+    from granary.llm import exact_topk as topk
+
+    for name, value in (("QUERY_BLOCK", 12), ("CANDIDATE_BLOCK", 30), ("MOST_SHARE", 2), ("LEAST_GROUPS", 10)):
+        monkeypatch.setattr(topk, name, value)
+    vectors = topk.quantised(spark.createDataFrame(rows_of(8, 600, copies=0), "vec_id long, embedding array<double>"))
+    sides = {"q": (vectors.filter(topk.is_query()), 1, topk.QUERY_BLOCK), "c": (vectors, 21, topk.CANDIDATE_BLOCK)}
+    for name, (rows, kept, size) in sides.items():
+        topk._blocks(topk.distinct_vectors(rows, kept), size).write.parquet(f"{tmp_path}/{name}")  # files have a size
+    queries, candidates = (spark.read.parquet(f"{tmp_path}/{name}") for name in sides)
+    plan = topk._pairs(queries, candidates, None)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [width#" in plan and "q_part" in plan
+    sent = [line for line, below in zip(plan.splitlines(), plan.splitlines()[1:], strict=False) if "BroadcastExchange" in line and "Generate" in below]
+    assert not sent
+    least = candidates.selectExpr("sum(length(vectors))", "sum(size(ids))", "max(width)").first()
+    assert least[0] == least[1] * least[2]  # a byte a number
+
+
+@pytest.mark.parametrize("most", [100, 30_000, 2_000_000_000, 1 << 40])
+def test_numbers_of_any_size_come_back(most):
+    from granary.llm import exact_topk as topk
+
+    vectors = np.array([[most, -most, 0.0], [1.0, 2.0, -3.0]])
+    kept = topk._narrow(vectors)
+    assert np.array_equal(topk._matrix(kept.tobytes(), 2, 3), vectors) and kept.dtype == topk.KINDS[kept.itemsize]
