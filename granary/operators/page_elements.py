@@ -1,14 +1,19 @@
-"""Elements of pages as rows: tags in order, depth by a running sum, each element an interval of positions; containers scored and
-tables read by joins over intervals. Nothing leaves the JVM."""
+"""Elements of pages as rows: tags in order, depth by a running sum, each element an interval of positions; containers scored by
+running sums, texts of blocks by joins over intervals. Two walks over one page's tokens in order are small Arrow functions: what
+puts its tags right, and what reads its tables, whose tokens so stay in their page's row."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from granary.operators.markdown import VOID_TAGS, let
+from granary.operators.markdown import VOID_TAGS
 from granary.sources.scratch import scratch_path
 
 # Tags whose content isn't read, and what ends where another element begins.
@@ -21,42 +26,66 @@ LINK_SHARE, TABLE_SCORE, HEADING_SCORE, HEADINGS = 0.4, 80, 40, ("h1", "h2", "h3
 MOST_COLUMNS, MOST_CELL = 8, 120
 #: Named characters that are written out; numbers are not, others stay as they are.
 NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
-_TOKEN = r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>|<![^>]*>|[^<]+|<"
+_BLANKS, _SPANS = re.compile(r"[ \t\n\x0b\f\r]{2,}"), re.compile(r"[ \t\n\x0b\f\r](?ai:rowspan|colspan)\b")
 
 
 def _name(token: Column) -> Column:
     return F.lower(F.regexp_extract(token, r"^</?([A-Za-z][A-Za-z0-9:-]*)", 1))
 
 
+#: A token, whether it is an end tag, and its tag's name.
+_TOKENS = re.compile(r"(?s)(<!--.*?-->|<(/?)([A-Za-z][A-Za-z0-9:-]*)[^>]*>|<![^>]*>|[^<]+|<)")
+_TEXT, _OPENS, _ENDS, _STANDS = range(4)
+
+
+def _kind(token: str, end: str, name: str) -> int:
+    """What a token is: a text, a start tag, an end tag, or an element that has no end."""
+    return _TEXT if not name else _ENDS if end else _STANDS if token.endswith("/>") or name in VOID_TAGS else _OPENS
+
+
+def _balanced(html: str) -> list[tuple[str, str, int]]:
+    """Tokens in order, each with its name and kind, with what tags end and what is open at the end written out."""
+    out, open_ = [], []
+    close = lambda name: out.append((f"</{name}>", name, _ENDS))
+    for token, end, name in _TOKENS.findall(html):
+        name = name.lower()
+        if not name:
+            if not token.startswith("<!"):
+                out.append((token, "", _TEXT))
+        elif name == "html":
+            continue
+        elif end:
+            if name in open_:
+                while (last := open_.pop()) != name:
+                    close(last)
+                close(name)
+        else:
+            # What `name` ends at the top of what is open is closed before it.
+            while open_ and open_[-1] in ENDS.get(name, ()):
+                close(open_.pop())
+            kind = _kind(token, end, name)
+            out.append((token, name, kind))
+            if kind == _OPENS:
+                open_.append(name)
+    for name in reversed(open_):
+        close(name)
+    return out
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def _all_balanced(html: pd.Series) -> pd.Series:
+    return pd.Series([[token for token, _, _ in _balanced(x)] for x in html], dtype=object)
+
+
+def _read(html: Column) -> Column:
+    return F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?is)<({'|'.join(UNREAD)})\b[^>]*>.*?</\1\s*>", "")
+
+
 def balanced_tokens(html: Column) -> Column:
     """Tags and texts in order, each element with its end: start tags that end others before them, end tags that end what is open inside,
-    end tags that nothing opened, and what is open at the end are put right. Comments, declarations and unread elements go."""
-    read = F.regexp_replace(F.coalesce(html, F.lit("")), rf"(?is)<({'|'.join(UNREAD)})\b[^>]*>.*?</\1\s*>", "")
-    # A text is read as HTML has it: a mark that begins no tag is text.
-    tokens = F.filter(F.regexp_extract_all(read, F.lit(_TOKEN), F.lit(0)), lambda t: ~t.startswith("<!") & (_name(t) != "html"))
-    kind = "struct<out: array<string>, open: array<string>>"
-    ends_here = F.create_map(*(x for k, v in ENDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    close = lambda names: F.transform(F.reverse(names), lambda n: F.concat(F.lit("</"), n, F.lit(">")))
-    first = lambda a, n: F.slice(a, F.lit(1), n)
-    rest = lambda a, n: F.slice(a, n + 1, F.greatest(F.size(a) - n, F.lit(0)))
-    state = lambda out, open_: F.struct(out.alias("out"), open_.alias("open")).cast(kind)
-
-    def started(s: Column, x: Column, name: Column) -> Column:
-        """What `name` ends at the top of what is open is closed before it."""
-        ended = F.coalesce(ends_here[name], F.array().cast("array<string>"))
-        tops = F.filter(F.sequence(F.lit(0), F.size(s["open"])), lambda n: F.forall(rest(s["open"], n), lambda o: F.array_contains(ended, o)))
-        alone = x.rlike(r"/>$") | name.isin(*VOID_TAGS)
-        return let(F.array_min(tops), lambda n: state(F.array_append(F.concat(s["out"], close(rest(s["open"], n))), x), F.when(alone, first(s["open"], n)).otherwise(F.array_append(first(s["open"], n), name))))
-
-    def ended(s: Column, name: Column) -> Column:
-        at = F.array_max(F.filter(F.sequence(F.lit(0), F.size(s["open"])), lambda n: F.coalesce(F.get(s["open"], n) == name, F.lit(False))))
-        return let(at, lambda n: F.when(n.isNull(), s).otherwise(state(F.concat(s["out"], close(rest(s["open"], n))), first(s["open"], n))))
-
-    def step(s: Column, x: Column) -> Column:
-        return let(_name(x), lambda name: F.when(name == "", state(F.array_append(s["out"], x), s["open"])).when(x.startswith("</"), ended(s, name)).otherwise(started(s, x, name)))
-
-    start = state(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return F.aggregate(tokens, start, step, lambda s: F.concat(s["out"], close(s["open"])))
+    end tags that nothing opened, and what is open at the end are put right. Comments, declarations and unread elements go. A text is
+    read as HTML has it: a mark that begins no tag is text."""
+    return _all_balanced(_read(html))
 
 
 def page_tokens(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -144,36 +173,81 @@ def main_containers(tokens: DataFrame, key: str) -> DataFrame:
     return _main_of(measured_elements(tokens, key), key).select(key, "begin", "tag", "score")
 
 
-def page_tables(tokens: DataFrame, key: str) -> DataFrame:
+def _cell_text(texts: list[str]) -> str:
+    text = "".join(texts)
+    return _BLANKS.sub(" ", text.strip(" \t\n\r"))
+
+
+def _markdown_of(rows: list[list[tuple[list[str], bool]]]) -> str | None:
+    """A table of rows of cells (texts, whether a head), where it is simple."""
+    lines = [([_cell_text(texts) for texts, _ in row], any(head for _, head in row)) for row in rows]
+    lines = [(line, head) for line, head in lines if any(line)]
+    width = len(lines[0][0]) if lines else 0
+    fit = all(len(line) == width and all(len(t) <= MOST_CELL and "\n" not in t for t in line) for line, _ in lines)
+    if len(lines) < 2 or sum(head for _, head in lines) > 1 or not 2 <= width <= MOST_COLUMNS or not fit:
+        return None
+    bars = ["| " + " | ".join(t.replace("|", "\\|") for t in line) + " |" for line, _ in lines]
+    return "\n".join([bars[0], "| " + " | ".join(["---"] * width) + " |", *bars[1:]])
+
+
+def _tables_in(tokens: Iterable[tuple[str, str, int]]) -> list[dict]:
+    """begin, simple, markdown of each table that lies in no other, from balanced tokens with their names and kinds."""
+    found: list[dict] = []
+    rows, spanned, depth = [], False, None  # of the table that is open, and how deep it is
+    open_: list[tuple[list | None, bool]] = []  # a row's cells, whether a cell
+    cells: list[list[str]] = []  # the texts of the cells that are open
+    for pos, (token, name, kind) in enumerate(tokens):
+        if kind == _TEXT:
+            if cells:
+                if "&" in token:
+                    for sign, plain in NAMED.items():
+                        token = token.replace(sign, plain)
+                for texts in cells:
+                    texts.append(token)
+        elif kind == _ENDS:
+            if open_.pop()[1]:
+                cells.pop()
+            if len(open_) == depth:
+                markdown = None if spanned else _markdown_of(rows)
+                found[-1] |= {"simple": markdown is not None, "markdown": markdown}
+                depth = None
+        elif kind == _OPENS:
+            row, cell = None, False
+            if depth is not None:
+                spanned = spanned or (len(token) > len(name) + 2 and _SPANS.search(token) is not None)
+                if name == "tr":
+                    row = []
+                    rows.append(row)
+                elif name in ("td", "th") and open_[-1][0] is not None:
+                    cell = True
+                    cells.append([])
+                    open_[-1][0].append((cells[-1], name == "th"))
+            elif name == "table":
+                rows, spanned, depth = [], False, len(open_)
+                found.append({"begin": pos})
+            open_.append((row, cell))
+    return found
+
+
+_TABLES = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("simple", T.BooleanType()), T.StructField("markdown", T.StringType())]))
+
+
+@pandas_udf(_TABLES)
+def _tables_of_pages(html: pd.Series) -> pd.Series:
+    return pd.Series([_tables_in(_balanced(x)) for x in html], dtype=object)
+
+
+@pandas_udf(_TABLES)
+def _tables_of_tokens(tokens: pd.Series) -> pd.Series:
+    named = lambda token: (token, *_TOKENS.match(token).groups(default="")[1:])
+    kinds = lambda token, end, name: (token, name.lower(), _kind(token, end, name.lower()))
+    return pd.Series([_tables_in(kinds(*named(x)) for x in page) for page in tokens], dtype=object)
+
+
+def page_tables(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, begin, simple, markdown of each table that lies in no other: simple ones have two rows at least, no spans, one header row at
     most and two to eight equal columns of short cells; others, and tables of fewer than two rows with a text, have no Markdown."""
-    return _page_tables(measured_elements(tokens, key), page_texts(tokens, key), key)
-
-
-def _page_tables(measured: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    elements = measured.select(key, "begin", "end", "level", "tag", "token")
-    tables = measured.filter("tag = 'table' and around = 0").select(*elements.columns)
-    rows = _inside(tables, elements.filter("tag = 'tr'"), key, "begin").withColumnRenamed("of_begin", "table_at")
-    cells = elements.filter(F.col("tag").isin("td", "th"))
-    of_row = cells.withColumnRenamed("begin", "cell").withColumnRenamed("end", "cell_end").withColumnRenamed("level", "cell_level").withColumnRenamed("token", "cell_token").withColumn("is_head", F.col("tag") == "th").drop("tag")
-    own = rows.select(key, "table_at", F.col("begin").alias("row_at"), F.col("end").alias("row_end"), "level").join(of_row, key).filter("cell > row_at and cell < row_end and cell_level = level + 1")
-    said_in = _inside(cells, texts, key, "pos").groupBy(key, F.col("of_begin").alias("cell")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("t"))
-    plain = F.regexp_replace(F.btrim(F.coalesce("t", F.lit("")), F.lit(" \t\n\r")), r"\s{2,}", " ")
-    filled = own.join(said_in, [key, "cell"], "left").withColumn("t", plain)
-    line = F.array_sort(F.collect_list(F.struct("cell", "t", "is_head")))
-    lines = filled.groupBy(key, "table_at", "row_at").agg(line.alias("c")).withColumn("texts", F.transform("c", lambda x: x["t"])).withColumn("head", F.exists("c", lambda x: x["is_head"]))
-    lines = lines.filter(F.exists("texts", lambda t: t != ""))
-    whole = lines.groupBy(key, "table_at").agg(F.array_sort(F.collect_list(F.struct("row_at", "texts"))).alias("rows"), F.sum(F.col("head").cast("int")).alias("heads"))
-    spans = _inside(tables, elements.filter(F.col("token").rlike(r"(?i)\s(rowspan|colspan)\b")).select(key, "begin"), key, "begin").groupBy(key, F.col("of_begin").alias("table_at")).agg(F.count("*").alias("spans"))
-    out = tables.select(key, F.col("begin").alias("table_at")).join(whole, [key, "table_at"], "left").join(spans, [key, "table_at"], "left")
-    r = F.transform("rows", lambda x: x["texts"])
-    width = F.size(F.get(r, F.lit(0)))
-    fit = F.forall(r, lambda x: (F.size(x) == width) & F.forall(x, lambda t: (F.length(t) <= MOST_CELL) & ~F.contains(t, F.lit("\n"))))
-    simple = F.coalesce((F.size(r) >= 2) & F.col("spans").isNull() & (F.col("heads") <= 1) & width.between(2, MOST_COLUMNS) & fit, F.lit(False))
-    bars = lambda x: F.concat(F.lit("| "), F.array_join(F.transform(x, lambda t: F.replace(t, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
-    rule = F.transform(F.get(r, F.lit(0)), lambda _: F.lit("---"))
-    text = F.array_join(F.concat(F.array(bars(F.get(r, F.lit(0))), bars(rule)), F.transform(F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0))), bars)), "\n")
-    return out.withColumn("simple", simple).select(key, F.col("table_at").alias("begin"), "simple", F.when(F.col("simple"), text).alias("markdown"))
+    return pages.select(key, F.inline(_tables_of_pages(_read(F.col(html)))))
 
 
 # How much a section must say, tags that are blocks, words that tell a section's kind.
@@ -239,7 +313,9 @@ def page_sections(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     blocks = candidates.join(roots, key).filter(F.when(single, F.col("at") == F.col("begin")).otherwise((F.col("at") > F.col("begin")) & (F.col("at") < F.col("end"))))
     blocks = blocks.select(key, "section_no", "at", "at_end", "block_tag")
     found = _texts_of(candidates.select(key, F.col("at").alias("begin"), F.col("at_end").alias("end")), texts, key).withColumnRenamed("begin", "at")
-    markdown = _page_tables(elements, texts, key).select(key, F.col("begin").alias("at"), "markdown")
+    # Tables are few: only pages that have any are gathered again.
+    gathered = tokens.join(outer.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_t"))
+    markdown = gathered.select(key, F.inline(_tables_of_tokens(F.col("_t.token")))).select(key, F.col("begin").alias("at"), "markdown")
     spelt = tokens.withColumn("shown", F.col("token")).select(key, "pos", "shown")
     raw = _inside(outer.select(key, (F.col("begin") - 1).alias("begin"), (F.col("end") + 1).alias("end")), spelt, key, "pos").withColumn("at", F.col("of_begin") + 1)
     raw = _joined_in_order(raw, [key, "at"], "pos", "shown", "raw").withColumn("raw", _inline(F.col("raw")))

@@ -97,10 +97,9 @@ def container_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of pages, with rows and cells that nothing ends, as Markdown where they are simple; some have a span."""
-    row = F.concat(F.lit("<tr><td>"), "l_linenumber", F.lit("<td> <b>p|"), "l_partkey", F.lit("</b>  &lt;b"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", row.alias("r")))), lambda x: x["r"])
+    row = lambda x: F.concat(F.lit("<tr><td>"), x["l_linenumber"], F.lit("<td> <b>p|"), x["l_partkey"], F.lit("</b>  &lt;b"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), row)
     head = F.when(F.col("l_orderkey") % 5 == 2, "<tr><th>no</th><th colspan=1>part</th></tr>").otherwise("<tr><th>no<th>part")
     pages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(rows, "").alias("rows"))
     pages = pages.select("l_orderkey", F.concat(F.lit("<p>text<table>"), head, "rows", F.lit("</table><p>more")).alias("html"))
-    tokens = page_elements.page_tokens(pages, "l_orderkey", "html")
-    return page_elements.page_tables(tokens, "l_orderkey").select("l_orderkey", "simple", "markdown")
+    return page_elements.page_tables(pages, "l_orderkey", "html").select("l_orderkey", "simple", "markdown")

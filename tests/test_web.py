@@ -105,3 +105,22 @@ def test_containers_are_measured_without_joins(spark):
     assert sorted((r.tag, r.score) for r in scores.collect()) == [("body", 7.0 - 2 + 160 + 40), ("div", 0.8)]
     tables = page_elements.measured_elements(tokens, "page_id").filter("tag = 'table'").orderBy("begin")
     assert [(r.around, r.tables) for r in tables.collect()] == [(0, 1), (1, 0)]
+
+
+def test_tables_are_read_within_their_page(spark):
+    """No token of a page becomes a row: nothing is joined, sorted or dealt out."""
+    nested = "<table><tr><th>a<th>b<tr><td>x &amp;lt; | y<td><b> two\n\n words</b><tr><td>1<td>in <table><tr><td>p<td>q</table></table>"
+    spanned = "<TABLE><tr><td>1<td>2<tr><td RowSpan=2>3<td>4</TABLE>"
+    line = "<table><tr><td>1<td>2<br/></td></tr><tr><td></td></tr></table>"
+    pages = [f"<p>{nested}<div>{spanned}{line}", "<table>", "<tr><td>1<td>2<tr><td>3<td>4", "", None, "<table><tr><td>1<td>a\nb<tr><td>3<td>4</table><!-- <table> --><table><tr><td>1<td>2<tr><td>3<td>4"]
+    found = page_elements.page_tables(table_of(spark, pages), "page_id", "html")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Window", "Exchange", "Sort"))
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.page_id, r.begin)):
+        got.setdefault(r.page_id, []).append((r.begin, r.simple, r.markdown))
+    assert got == {
+        0: [(1, True, "| a | b |\n| --- | --- |\n| x &lt; \\| y | two words |\n| 1 | in pq |\n| p | q |"), (40, False, None), (58, False, None)],
+        1: [(0, False, None)],
+        5: [(0, False, None), (18, True, "| 1 | 2 |\n| --- | --- |\n| 3 | 4 |")],
+    }
